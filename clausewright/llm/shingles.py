@@ -9,6 +9,8 @@ from .common import mix64
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Marks all ASCII but letters and digits; other characters count as letters.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER += 1
@@ -34,12 +36,12 @@ def _make_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z lower-cased, cut at ASCII white space) of texts that lie one after the other; and the first word of each text, with the total at the end."""
+def word_hashes(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased, cut at bytes that `between` marks) of texts that lie one after the other; and the first word of each text, with the total at the end."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    word = ~_SPACE[data]
+    word = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.empty(n, bool)
