@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contaminated
+from .quality import quality
 from .near_dedup import near_duplicates
 from .pivot_search import pivot_top_k
 from .token_output import token_output
@@ -36,8 +37,14 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_top_k": op2_pivot_top_k,
+    "op3_quality_trees": op3_quality_trees,
     "op4_token_output": op4_token_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -62,8 +69,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
                 ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-        k AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-        e AS (SELECT u, v FROM k JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * both >= 85 * (nu.n + nv.n - both)),
+        k AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT u, v FROM k JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * shared >= 85 * (nu.n + nv.n - shared)),
         r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.other),
         c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
