@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contaminated
 from .quality import quality
+from .token_counts import token_counts
 from .near_dedup import near_duplicates
 from .pivot_search import pivot_top_k
 from .token_output import token_output
@@ -42,12 +43,18 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+
+def op9_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_quality_trees": op3_quality_trees,
     "op4_token_output": op4_token_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_unigram_token_counts": op9_unigram_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
