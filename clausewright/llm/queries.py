@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contaminated
 from .quality import quality
 from .token_counts import token_counts
+from .secret_scan import RandomStrings, find_secrets, ordinary_words, random_strings
 from .near_dedup import near_duplicates
 from .pivot_search import pivot_top_k
 from .token_output import token_output
@@ -48,6 +49,12 @@ def op9_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+
+def op10_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_secrets(docs, RandomStrings(random_strings(), ordinary_words(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_quality_trees": op3_quality_trees,
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_unigram_token_counts": op9_unigram_token_counts,
+    "op10_markov_secret_scan": op10_markov_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
