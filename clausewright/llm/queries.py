@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
 from .quality import quality
 from .token_counts import token_counts
 from .secret_scan import RandomStrings, find_secrets, ordinary_words, random_strings
+from .url_filter import Rule, judge_urls
 from .near_dedup import near_duplicates
 from .pivot_search import pivot_top_k
 from .token_output import token_output
@@ -55,12 +57,28 @@ def op10_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(docs, RandomStrings(random_strings(), ordinary_words(docs)))
 
 
+
+#: Fixed rules of op8.
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+
+
+def op8_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_quality_trees": op3_quality_trees,
     "op4_token_output": op4_token_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_url_association_rules": op8_url_association_rules,
     "op9_unigram_token_counts": op9_unigram_token_counts,
     "op10_markov_secret_scan": op10_markov_secret_scan,
 }
