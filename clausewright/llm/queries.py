@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
-from .quality import quality
-from .token_counts import token_counts
-from .secret_scan import RandomStrings, find_secrets, ordinary_words, random_strings
-from .url_filter import Rule, judge_urls
+from .mixture import mixture
 from .near_dedup import near_duplicates
 from .pivot_search import pivot_top_k
+from .quality import quality
+from .secret_scan import RandomStrings, find_secrets, ordinary_words, random_strings
+from .token_counts import token_counts
 from .token_output import token_output
+from .url_filter import Rule, judge_urls
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -72,12 +73,60 @@ def op8_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+
+#: The tree and the weights of op7: source src0 is the crawl, all others are curated.
+MIX_WEIGHTS = {"domain": {"crawl": 2, "curated": 3}, "lang": {"en": 5, "de": 2, "fr": 2}, "source": {"src1": 3, "src2": 2}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.75, 2, 17
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    domain = F.when(F.col("source") == "src0", "crawl").otherwise("curated")
+    levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    return mixture(docs, levels, MIX_WEIGHTS, **({"share": MIX_SHARE, "epochs": MIX_EPOCHS, "seed": MIX_SEED} | how))
+
+
+def op7_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def _mixture_sql(levels: tuple[str, ...] = ("domain", "lang", "source")) -> str:
+    steps = []
+    for depth, level in enumerate(levels):
+        own, parent = ", ".join(levels[: depth + 1]), ", ".join(levels[:depth])
+        by = f"PARTITION BY {parent}" if parent else ""
+        whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items())
+        given = f"JOIN b{depth - 1} USING ({parent})" if parent else f"CROSS JOIN (SELECT CAST(floor(sum(cap) // {MIX_EPOCHS} * {MIX_SHARE}) AS BIGINT) AS budget FROM leaf)"
+        steps.append(f"""
+        n{depth} AS (SELECT {own}, cap, w, CAST(budget AS HUGEINT) AS given FROM (
+            SELECT {own}, sum(cap) AS cap, CASE {level} {whens} ELSE 1 END AS w FROM leaf GROUP BY {own}) {given}),
+        f{depth} AS (SELECT *, cap * sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+            <= (given - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full
+            FROM n{depth} WINDOW o AS ({by} ORDER BY CAST(cap AS DOUBLE) / w, {level})),
+        s{depth} AS (SELECT *, CASE WHEN is_full THEN cap ELSE (given - coalesce(sum(cap) FILTER (is_full) OVER p, 0)) * w // sum(w) FILTER (NOT is_full) OVER p END AS part
+            FROM f{depth} WINDOW p AS ({by})),
+        t{depth} AS (SELECT *, least(given, sum(cap) OVER p) - sum(part) OVER p AS spare,
+            sum(CASE WHEN NOT is_full AND part < cap THEN 1 ELSE 0 END) OVER ({by} ORDER BY CAST(cap AS DOUBLE) / w, {level} ROWS UNBOUNDED PRECEDING) AS turn
+            FROM s{depth} WINDOW p AS ({by})),
+        b{depth} AS (SELECT {own}, CAST(part + CASE WHEN NOT is_full AND part < cap AND turn <= spare THEN 1 ELSE 0 END AS BIGINT) AS budget FROM t{depth})""")
+    keys = ", ".join(levels)
+    return rf"""
+        WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' ELSE 'curated' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+        leaf AS (SELECT {keys}, sum(n_tokens) * {MIX_EPOCHS} AS cap FROM d GROUP BY {keys}),{",".join(steps)},
+        p AS (SELECT d.*, budget, CAST(CASE WHEN cap > 0 THEN budget // (cap // {MIX_EPOCHS}) ELSE 0 END AS BIGINT) AS whole, CASE WHEN cap > 0 THEN budget % (cap // {MIX_EPOCHS}) ELSE 0 END AS rest
+            FROM d JOIN leaf USING ({keys}) JOIN b{len(levels) - 1} USING ({keys})),
+        e AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {keys} ORDER BY substr(md5('{MIX_SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM p)
+        SELECT doc_id, {keys}, n_tokens, budget, CAST(whole + CASE WHEN upto <= rest AND rest > 0 THEN 1 ELSE 0 END AS BIGINT) AS copies FROM e
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_quality_trees": op3_quality_trees,
     "op4_token_output": op4_token_output,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_hierarchical_mixture": op7_hierarchical_mixture,
     "op8_url_association_rules": op8_url_association_rules,
     "op9_unigram_token_counts": op9_unigram_token_counts,
     "op10_markov_secret_scan": op10_markov_secret_scan,
@@ -108,4 +157,5 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
     """,
+    "op7_hierarchical_mixture": _mixture_sql(),
 }
