@@ -17,6 +17,7 @@ from .secret_scan import RandomStrings, find_secrets, ordinary_words, random_str
 from .token_counts import token_counts
 from .token_output import token_output
 from .url_filter import Rule, judge_urls
+from .warc import derivatives, responses_of_pages
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -120,7 +121,13 @@ def _mixture_sql(levels: tuple[str, ...] = ("domain", "lang", "source")) -> str:
     """
 
 
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_quality_trees": op3_quality_trees,
     "op4_token_output": op4_token_output,
