@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
 def plain_dashes(text: Column) -> Column:
     return F.translate(text, R.DASHES, R.PLAIN_DASHES)
 
@@ -23,29 +30,36 @@ def normalize_standard(text: Column, known: Column | None = None) -> Column:
     `known`: an array of normalized standards, of which the first with the same number completes a missing year.
     """
     clean = strip(F.regexp_replace(F.upper(plain_dashes(F.coalesce(text, F.lit("")))), r"(?U)\s+", " "))
-    prefix, slash, number, year = (F.regexp_extract(clean, R.STANDARD, g) for g in (1, 2, 3, 4))
-    head = F.concat(prefix, F.when(slash != "", "/T").otherwise(""), F.lit(" "), number)
-    full = F.when(year != "", F.concat(head, F.lit("-"), year))
-    if known is not None:
-        full = F.coalesce(full, F.get(F.filter(known, lambda k: F.startswith(k, F.concat(head, F.lit("-")))), 0))
-    return F.when(prefix.isin("", "T"), clean).otherwise(F.coalesce(full, head))
+
+    def spelled(t: Column, prefix: Column) -> Column:
+        slash, number, year = (F.regexp_extract(t, R.STANDARD, g) for g in (2, 3, 4))
+        head = F.concat(prefix, F.when(slash != "", "/T").otherwise(""), F.lit(" "), number)
+        full = F.when(year != "", F.concat(head, F.lit("-"), year))
+        if known is not None:
+            full = F.coalesce(full, F.get(F.filter(known, lambda k: F.startswith(k, F.concat(head, F.lit("-")))), 0))
+        return F.when(prefix.isin("", "T"), t).otherwise(F.coalesce(full, head))
+
+    return _let(clean, lambda t: _let(F.regexp_extract(t, R.STANDARD, 1), lambda prefix: spelled(t, prefix)))
 
 
 def article_key(number: Column) -> Column:
     """The key of a clause number without its wrapping: `第 3.1.6 条` is 3.1.6, `4.3.5-表` is 4.3.5, `附表 b` is 附录B; digits are never changed."""
-    t = F.regexp_replace(strip(F.coalesce(number, F.lit(""))), "[．。]", ".")
-    appendix = F.regexp_extract(t, r"(?U)^(?:附\s*[表录]|附录)\s*([A-Za-z]|[一二三四五六七八九十]+)", 1)
-    bare = strip(F.regexp_replace(F.regexp_replace(t, "^(第|表|附表|条文号)", ""), "(条|款|项)$", ""))
-    letter = F.regexp_extract(bare, r"(?U)^([A-Za-z])\s*-?\s*\d+$", 1)
-    dotted = F.regexp_extract(bare, r"(?U)^(\d+(?:\.\d+)+)", 1)
     two = r"(?U)^(\d+)\s*[-—]\s*(\d+)$"
-    return (
-        F.when(appendix != "", F.concat(F.lit("附录"), F.upper(appendix)))
-        .when(letter != "", F.concat(F.lit("附录"), F.upper(letter)))
-        .when(dotted != "", dotted)
-        .when(bare.rlike(two), F.concat_ws(".", F.regexp_extract(bare, two, 1), F.regexp_extract(bare, two, 2)))
-        .otherwise(bare)
-    )
+
+    def unwrapped(t: Column) -> Column:
+        return strip(F.regexp_replace(F.regexp_replace(t, "^(第|表|附表|条文号)", ""), "(条|款|项)$", ""))
+
+    def plain(bare: Column) -> Column:
+        letter = F.regexp_extract(bare, r"(?U)^([A-Za-z])\s*-?\s*\d+$", 1)
+        dotted = F.regexp_extract(bare, r"(?U)^(\d+(?:\.\d+)+)", 1)
+        pair = F.when(bare.rlike(two), F.concat_ws(".", F.regexp_extract(bare, two, 1), F.regexp_extract(bare, two, 2))).otherwise(bare)
+        return F.coalesce(F.when(letter != "", F.concat(F.lit("附录"), F.upper(letter))), F.nullif(dotted, F.lit("")), pair)
+
+    def key(t: Column) -> Column:
+        appendix = F.regexp_extract(t, r"(?U)^(?:附\s*[表录]|附录)\s*([A-Za-z]|[一二三四五六七八九十]+)", 1)
+        return F.when(appendix != "", F.concat(F.lit("附录"), F.upper(appendix))).otherwise(_let(unwrapped(t), plain))
+
+    return _let(F.regexp_replace(strip(F.coalesce(number, F.lit(""))), "[．。]", "."), key)
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -55,11 +69,11 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 def article_numbers(text: Column) -> Column:
     """The distinct clause keys that a text cites, sorted: labelled ones, bare ones of two levels or more (after standards, years and quantities are cut), and lettered appendices."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("．"), F.lit("."))
-    labelled = F.transform(F.concat(_all(t, R.LABELLED, 1), _all(t, R.LABELLED, 2)), article_key)
+    labelled = F.transform(F.concat(_all(t, R.LABELLED, 1), _all(t, R.LABELLED, 2)), lambda a: article_key(a))
     cut = t
     for pattern in (R.STANDARD, R.YEAR, R.QUANTITY):
         cut = F.regexp_replace(cut, pattern, " ")
-    bare = F.filter(F.transform(_all(cut, R.BARE, 1), article_key), lambda k: F.contains(k, F.lit(".")))
+    bare = F.filter(F.transform(_all(cut, R.BARE, 1), lambda a: article_key(a)), lambda k: F.contains(k, F.lit(".")))
     lettered = F.transform(_all(t, R.APPENDIX, 1), lambda a: F.concat(F.lit("附录"), F.upper(a)))
     return F.sort_array(F.array_distinct(F.filter(F.concat(labelled, bare, lettered), lambda k: k != "")))
 
