@@ -1,0 +1,303 @@
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from clausewright.llm.boosted_trees import fit
+from clausewright.llm.decontaminate import contaminated, decontaminate
+from clausewright.llm.mixture import mixture
+from clausewright.llm.near_dedup import near_duplicates
+from clausewright.llm.pivot_search import pivot_top_k
+from clausewright.llm.quality import quality
+from clausewright.llm.queries import URL_RULES, tokenizer_path
+from clausewright.llm.rans import decode_segment, encode_segment
+from clausewright.llm.secret_scan import KINDS, RandomStrings, find_secrets, ordinary_words, random_strings
+from clausewright.llm.token_counts import CountOnlyViterbi, sentencepiece_pieces, token_counts
+from clausewright.llm.token_output import token_output
+from clausewright.llm.url_filter import judge_urls
+from clausewright.llm.warc import derivatives, parse_html, read_warc, responses_of_pages, write_warc
+
+RNG = random.Random(5)
+WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
+SCHEMA = "doc_id long, text string, key string, id long, lang string, source string"
+
+
+def prose(n):
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+def corpus():
+    """Nulls, empty and long texts, repeated rows, near copies, and extra columns whose names clash."""
+    base = [prose(RNG.randint(20, 60)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(10):
+        words = base[i].split()
+        words[3] = "changed"
+        rows += [(100 + i, " ".join(words)), (200 + i, base[i].upper())]
+    rows += [(300, ""), (301, None), (302, prose(20_000)), (303, "one"), (304, "ONE"), (305, "\x1f\x85 é"), (None, base[0]), (5, base[5])]
+    return [(i, t, "k", 7, RNG.choice(["en", "de", None]), RNG.choice(["src0", "src0", "src1", None])) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, k):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
+
+
+def test_near_duplicates(spark, rows, docs, empty):
+    own = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            own[i] = shingles(t, 3)
+    root = {i: i for i in own}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(own), 2):
+        both, union = len(own[a] & own[b]), len(own[a] | own[b])
+        if own[a] and own[b] and 100 * both >= 85 * union:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = near_duplicates(docs, words=3, percent=85).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and not r.kept
+        else:
+            assert (r.component_id, r.n_shingles, r.kept) == (find(r.doc_id), len(own[r.doc_id]), find(r.doc_id) == r.doc_id)
+    assert near_duplicates(empty).count() == 0
+
+
+def test_pivot_top_k(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    x[10:14] = x[9]
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(5000, None), (5001, [1.0] * 7 + [float("nan")]), (5002, [None] + [1.0] * 7), (9, [float(v) for v in x[9]])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in pivot_top_k(frame, frame.filter("vec_id % 100 = 9 and vec_id <> 9"), k=10).collect()]
+    whole = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    ids = np.array([*range(1500), 9])
+    whole = np.vstack([whole, whole[9:10]])
+    want = []
+    for q in range(109, 1500, 100):
+        score = whole @ whole[q]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:10]
+        want += [(q, n, int(ids[j]), int(score[j])) for n, j in enumerate(order, 1)]
+    assert sorted(got) == sorted(want)
+    assert pivot_top_k(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_token_files(spark, rows, docs, empty):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    want, start = [], 0
+    encoded = sorted(((-1 if i is None else i), np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes(), i) for i, t, *_ in rows)
+    for _, raw, i in encoded:
+        want.append((i, len(raw) // 4, zlib.crc32(raw)))
+    got = sorted(token_output(docs, tokenizer_path()).collect(), key=lambda r: r.start)
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got)
+    assert [r.doc_id for r in got] == [i for *_, i in encoded]
+    assert token_output(empty, tokenizer_path()).count() == 0
+
+
+def test_range_coder():
+    rng = np.random.default_rng(1)
+    for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), np.full(70_000, 3, np.uint32), rng.zipf(1.3, 200_000).clip(0, 49_000).astype(np.uint32)):
+        sizes = np.array([len(ids) // 2, 0, len(ids) - len(ids) // 2])
+        data = encode_segment(ids, sizes, np.array([1, -2, 3]), np.array([False, True, False]))
+        back = decode_segment(data)
+        assert (back[0] == ids).all() and (back[1] == sizes).all() and back[3].tolist() == [False, True, False]
+        broken = bytearray(data)
+        broken[len(data) // 2] ^= 1
+        with pytest.raises(ValueError):
+            decode_segment(bytes(broken))
+
+
+def test_quality(spark, empty):
+    good = [(i, prose(40) + ".") for i in range(0, 600, 2)]
+    bad = [(i, " ".join(w.upper() + "!!" for w in prose(40).split())) for i in range(1, 600, 2)]
+    data = [*good, *bad, (900, None), (901, ""), (None, "x")]
+    frame = spark.createDataFrame([(i, t, 1.0) for i, t in data], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(600)] + [(None, 1), (3, None), (8, 0)], "doc_id long, quality int")
+    got = quality(frame, labels).collect()
+    assert len(got) == len(data) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 600:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+            assert r.predicted == 1 - r.doc_id % 2
+    assert {r.predicted for r in quality(frame, labels.limit(0)).collect()} == {0}
+    assert quality(empty, labels).count() == 0
+
+
+def test_trees_match_plain_traversal():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4))
+    trees = fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=20)
+    for row, score in zip(x[:50], trees.score(x[:50]), strict=True):
+        total = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + int(row[f[node]] > t[node])
+            total += v[node - len(f)]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_decontamination(spark, empty):
+    items = [(i, prose(14) + ". " + prose(10) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "too short")]
+    plain = [(i, prose(80)) for i in range(40)]
+    leaks = [(100 + i, prose(300) + " " + items[i][1] + " " + prose(300)) for i in range(0, 30, 3)]
+    frame = spark.createDataFrame([(*r, "k") for r in [*plain, *leaks, (500, None), (501, ""), (None, items[1][1])]], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame, bench).collect()}
+    assert got == {(100 + i, i) for i in range(0, 30, 3)} | {(None, 1)}
+    kept = {r.doc_id for r in decontaminate(frame, bench).collect()}
+    assert kept == {i for i, _ in plain} | {500, 501, None}
+    assert contaminated(frame, bench.limit(0)).count() == 0 and contaminated(empty, bench).count() == 0
+
+
+def test_mixture(spark, rows, docs, empty):
+    from pyspark.sql import functions as F
+
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    got = mixture(docs, levels, {"lang": {"de": 9}, "source": {"src1": 3}}, share=0.7, epochs=2, seed=3).collect()
+    assert len(got) == len(rows)
+    total = sum(r.n_tokens for r in got)
+    leaf = Counter()
+    limit = Counter()
+    chosen = Counter()
+    for r in got:
+        leaf[r.lang, r.source] = r.budget
+        limit[r.lang, r.source] += 2 * r.n_tokens
+        chosen[r.lang, r.source] += r.copies * r.n_tokens
+        assert 0 <= r.copies <= 2
+    assert sum(leaf.values()) == int(total * 0.7)
+    assert all(chosen[k] <= leaf[k] <= limit[k] for k in leaf)
+    assert mixture(empty, levels, {}).count() == 0
+
+
+def test_url_rules_and_mining(spark):
+    urls = [None, "", "no-scheme", "http://A.Example.ORG/es/1", "https://example.org/en/12?x", "http://x.org", "http://b.org/", "ftp://c.com/de/5#f", "http://c.com/fr/", "http://notorg/", "http://spam.c.com/de/win"]
+    urls += [f"http://spam-{i}.com/de/pills/{i}" for i in range(30)] + [f"http://good-{i}.org/news/{i}" for i in range(30)] + ["http://x.net/de/pills/1", "http://y.net/news/2"]
+    frame = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, token string")
+    got = {r.page_id: r for r in judge_urls(frame, URL_RULES, support=0.05).collect()}
+    assert len(got) == len(urls)
+    labelled, judged = [], {}
+    for i, u in enumerate(urls):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: len(r.name), default=None)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule.name if rule else None)
+        rest = u.partition("://")[2][len(host) :] if m else ""
+        tokens = {"h:" + w for w in re.findall(r"[a-z0-9-]+", host) if not w.isdigit()} | {"p:" + w for w in re.findall(r"[a-z0-9-]+", rest) if not w.isdigit()} | ({"n:"} if re.search(r"\d", rest) else set())
+        judged[i] = (rule, tokens)
+        if rule:
+            labelled.append((tokens, rule.verdict))
+    sets = Counter()
+    blocks = Counter()
+    for tokens, verdict in labelled:
+        for n in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), n):
+                sets[part] += 1
+                blocks[part] += verdict == "block"
+    mined = [set(p) for p, n in blocks.items() if n >= np.ceil(0.05 * len(labelled)) and n / sets[p] >= 0.9]
+    for i, (rule, tokens) in judged.items():
+        assert got[i].verdict == (rule.verdict if rule else "block" if any(m <= tokens for m in mined) else "allow")
+    assert {"http://x.net/de/pills/1": "block", "http://y.net/news/2": "allow"} == {urls[i]: got[i].verdict for i in got if ".net" in (urls[i] or "")}
+    assert judge_urls(frame.limit(0), URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_token_counts(fallback):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = sentencepiece_pieces(tokenizer_path("piece_bpe_32k.model")) if fallback else [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("▁a", -3.0), ("aba", -3.0), ("c", -1.5)]
+    model = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=fallback))
+    model.pre_tokenizer = pre_tokenizers.Metaspace()
+    counter = CountOnlyViterbi(pieces)
+    rng = random.Random(1)
+    texts = ["", " ", "  a  b", "▁x", "日本語 テスト\n\n\tq", "😀😀 x", "a" * 300, "<0x41>", "\n"] + ["".join(rng.choice("aabbcz \nè") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    for text in texts:
+        assert counter.count(text) == len(model.encode(text, add_special_tokens=False).ids), text
+
+
+def test_token_count_rows(spark, rows, docs, empty):
+    path = tokenizer_path("piece_bpe_32k.model")
+    got = token_counts(docs, path).collect()
+    counter = CountOnlyViterbi(sentencepiece_pieces(path))
+    assert sorted(map(str, ((r.doc_id, r.n_tokens) for r in got))) == sorted(str((i, counter.count(t or ""))) for i, t, *_ in rows)
+    assert token_counts(empty, path).count() == 0
+
+
+def test_secrets(spark):
+    key = "Zk3vQ9xT1mWc7RbY5uLp8HsD2nGf"
+    texts = [None, "", f'é password = "hunter2hunter2" and AKIA{"Q7" * 8} {"0af9" * 10}', "token: secret: abcdefgh", "TOKEN=short", f"see {key} here", "internationalization-of-identifiers", "aſecret=abcdefghi", prose(3000)]
+    frame = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(None, "x", "k")], "doc_id long, text string, spans string")
+    model = RandomStrings(random_strings(2000), [*WORDS, *dir(np), *dir(np.ndarray), *dir(json), *dir(hashlib), "international", "identifiers", "ization", "of-identifiers"])
+    got = {r.doc_id: r for r in find_secrets(frame, model).collect()}
+    for i, text in enumerate(texts):
+        t = text or ""
+        base = [(m.start(), 0, m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(base))
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(b[1] == k for b in base) for k in range(3))
+        assert set(joined.split(",")) <= set(got[i].spans.split(","))
+    assert got[5].spans == f"random:4:{4 + len(key)}" and got[6].spans == "" and got[8].spans == ""
+    caught = sum(model.score(s) > model.margin for s in random_strings(500, seed=77))
+    assert caught >= 490
+    assert ordinary_words(frame.limit(0)) == []
+
+
+def test_warc(spark, tmp_path):
+    page = '<html><head><title>A &amp; B</title><meta name="d" content="x"><script>var p = "</p>";</script></head><body><p>One <b>two</b></p><!-- no --><a href="/q?a=1&amp;b=2" rel="next">three</a><br>four</body></html>'
+    text, found = parse_html(page, "http://h.org/x/")
+    assert text == "One two\nthree\nfour" and found["Title"] == "A & B"
+    assert found["Links"] == [{"path": "A@/href", "url": "http://h.org/q?a=1&b=2", "rel": "next"}]
+    rows = [(1, "http://h.org/x/", page, "k"), (2, None, None, "k"), (3, "u", "", "k"), (1, "http://h.org/x/", page, "k"), (4, "http://[bad", "<a href='http://[x'>é\r\n\r\nWARC/1.0", "k"), (None, "u", "<" * 5000, "k")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, block string")
+    responses = responses_of_pages(pages)
+    made = derivatives(responses)
+    got = made.collect()
+    assert len(got) == 2 * len(rows)
+    by_id = {r.record_id: r for r in responses.collect()}
+    for r in got:
+        source = by_id[r.refers_to]
+        assert r.source_block_digest == dict(source.warc_headers)["WARC-Block-Digest"] and r.target_uri == source.target_uri
+        if r.warc_type == "metadata":
+            assert json.loads(r.block)["Envelope"]["Payload-Metadata"]["Digests-Match"]
+    write_warc(made, str(tmp_path / "w"))
+    back = read_warc(spark, str(tmp_path / "w")).collect()
+    assert Counter((r.headers["WARC-Record-ID"], bytes(r.block).decode()) for r in back) == Counter((r.record_id, r.block) for r in got)
+    assert all(r.headers["WARC-Refers-To"] in by_id for r in back)
+    assert derivatives(responses_of_pages(pages.limit(0))).count() == 0
