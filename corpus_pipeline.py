@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixture", budget),
     ("token_output", tokens),
 ]
-#: The trees' scores, the index's searches and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The trees' scores, the index's searches and the tokenizer are beyond SQL; tests check the operators by brute force and the stages by columns and counts.
 ORACLE_SQL = None
 
 
