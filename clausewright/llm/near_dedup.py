@@ -83,7 +83,9 @@ def _large_bucket_pairs(member: DataFrame, sets: DataFrame, percent: int, folder
     """
     nodes = stage(member.select("id", "n", "component").distinct(), f"{folder}/large")
     own = stage(sets.join(nodes.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s")), f"{folder}/large_shingles")
-    rare = stage(own.join(own.groupBy("s").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") <= RARE), "s"), f"{folder}/rare")
+    per = stage(own.groupBy("s").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("id")).filter(F.col("docs") <= RARE), f"{folder}/rare")
+    listed = stage(own.join(per.filter("docs > 1").select("s"), "s"), f"{folder}/listed")
+    rare = per.filter("docs = 1").select("id").unionByName(listed.select("id"))
     once = sets.groupBy("id").count().filter("count = 1").select("id")  # an id that repeats with other texts gets no bound
     common = F.col("n") - F.coalesce("rare", F.lit(0))
     nodes = stage(nodes.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare")).join(once, "id"), "id", "left").select("id", "n", "component", common.alias("common")), f"{folder}/bounds")
@@ -95,7 +97,6 @@ def _large_bucket_pairs(member: DataFrame, sets: DataFrame, percent: int, folder
     could = lambda shared: (100 + percent) * (F.least("common_u", "common_v") + shared) >= percent * (F.col("n_u") + F.col("n_v"))
     wide = member.select("key", "id").join(nodes, "id").filter((100 + percent) * F.col("common") >= percent * F.col("n"))
     without = side(wide, "u", "key").join(side(wide, "v", "key"), "key").filter(crosses & could(F.lit(0))).select("u", "v")
-    listed = rare.filter("docs > 1").select("s", "id")
     met = listed.select("s", F.col("id").alias("u")).join(listed.select("s", F.col("id").alias("v")), "s").filter("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
     with_rare = met.join(side(nodes, "u"), "u").join(side(nodes, "v"), "v").filter(crosses & could(F.col("shared"))).select("u", "v")
     return without.unionByName(with_rare).distinct()
