@@ -91,12 +91,14 @@ def _large_bucket_pairs(member: DataFrame, sets: DataFrame, percent: int, folder
     nodes = stage(nodes.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare")).join(once, "id"), "id", "left").select("id", "n", "component", common.alias("common")), f"{folder}/bounds")
 
     def side(frame: DataFrame, x: str, *by: str) -> DataFrame:
-        return frame.select(*by, F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "common")))
+        return frame.select(*by, F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "common", "keys") if c in frame.columns))
 
     crosses = (F.col("component_u") != F.col("component_v")) & (F.col("u") > F.col("v"))
     could = lambda shared: (100 + percent) * (F.least("common_u", "common_v") + shared) >= percent * (F.col("n_u") + F.col("n_v"))
-    wide = member.select("key", "id").join(nodes, "id").filter((100 + percent) * F.col("common") >= percent * F.col("n"))
-    without = side(wide, "u", "key").join(side(wide, "v", "key"), "key").filter(crosses & could(F.lit(0))).select("u", "v")
+    wide = member.select("key", "id").join(nodes.filter(100 * F.col("common") >= percent * F.col("n")), "id")
+    wide = stage(wide.join(wide.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), f"{folder}/wide")  # at most tables**2 keys for a set
+    once_each = F.array_min(F.array_intersect("keys_u", "keys_v")) == F.col("key")  # two documents meet in many buckets
+    without = side(wide, "u", "key").join(side(wide, "v", "key"), "key").filter(crosses & could(F.lit(0)) & once_each).select("u", "v")
     met = listed.select("s", F.col("id").alias("u")).join(listed.select("s", F.col("id").alias("v")), "s").filter("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
     with_rare = met.join(side(nodes, "u"), "u").join(side(nodes, "v"), "v").filter(crosses & could(F.col("shared"))).select("u", "v")
     return without.unionByName(with_rare).distinct()
