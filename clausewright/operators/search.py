@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from .predicates import Where, compile_where
 
-#: A batch of questions is compared with every row, so it is one stated, bounded set; larger batches run in blocks.
+#: Questions that are broadcast against all rows at a time; larger batches run in blocks of about so many.
 QUESTIONS = 10_000
 
 
@@ -22,17 +24,21 @@ def top_k_single(rows: DataFrame, vector: list[float], k: int = 5, where: Where
 def top_k(rows: DataFrame, questions: DataFrame, k: int = 5, where: Where | None = None, min_score: float | None = None, pair: Column | None = None, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", qvector_col: str = "qvector") -> DataFrame:
     """The k best rows for each question, with `rank` from 1; ties to the smaller id.
 
-    The questions are broadcast against all rows when they are no more than QUESTIONS; more are refused, to be given in
-    blocks. Ranks above k are cut before and after the one exchange (by question). `pair`: a condition on question and row.
+    The questions are broadcast against all rows in blocks, as many as keep a block at about QUESTIONS; a question is whole in
+    one block (by a hash of its qid), so its ranks are those of a single block. Ranks above k are cut before and after the one
+    exchange (by question) of each block. `pair`: a condition on question and row.
     """
-    if questions.limit(QUESTIONS + 1).count() > QUESTIONS:
-        raise ValueError(f"more than {QUESTIONS} questions: give them in blocks")
-    asked = F.broadcast(questions.select(*(F.col(c).alias(c) for c in questions.columns)))
-    both = rows.filter(compile_where(where)).join(asked, F.lit(True) if pair is None else pair, "inner")
-    scored = both.withColumn("score", cosine(F.col(vector_col), F.col(qvector_col))).filter("score is not null")
-    order = Window.partitionBy(qid_col).orderBy(F.desc("score"), id_col)
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (k or 5))
-    return best if min_score is None else best.filter(F.col("score") >= min_score)
+    blocks = max(1, math.ceil(questions.count() / QUESTIONS))
+    found = None
+    for b in range(blocks):
+        own = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b)
+        asked = F.broadcast(own.select(*(F.col(c).alias(c) for c in questions.columns)))
+        both = rows.filter(compile_where(where)).join(asked, F.lit(True) if pair is None else pair, "inner")
+        scored = both.withColumn("score", cosine(F.col(vector_col), F.col(qvector_col))).filter("score is not null")
+        order = Window.partitionBy(qid_col).orderBy(F.desc("score"), id_col)
+        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (k or 5))
+        found = best if found is None else found.unionByName(best)
+    return found if min_score is None else found.filter(F.col("score") >= min_score)
 
 
 def self_hits(rows: DataFrame, sample: int = 10, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
