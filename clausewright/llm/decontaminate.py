@@ -5,6 +5,9 @@ score is divided by what the item scores on itself, so that 1 means that all of
 time: the sum of the terms' greatest impacts (the pivot test) drops passages for which no item can reach the threshold, the
 sums of block maxima drop blocks, and only items of the blocks left are scored. No passage is sampled and no list is cut, so
 all items at or above the threshold are retrieved. Retrieved items are then verified on word n-grams of question and answer.
+
+Items of few words, and those in scripts written without spaces, whose words are not cut, are looked up apart: as a whole, in
+units that are words or, in such scripts, single characters.
 """
 
 from __future__ import annotations
@@ -20,13 +23,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small, stage, text_slices
+from .common import mix64, scratch, small, stage, text_slices
 from .shingles import NOT_ALNUM, word_hashes
 
 BLOCK, SHARD_ITEMS, PASS_BYTES = 16, 1024, 32 << 20
 K1, B = 1.2, 0.75
-NGRAM = 5
+NGRAM, LEAD = 5, 8
 _CUT = re.compile(r"(?:\n\s*(?:A|Answer)\s*[:.]|[.?!]\s)(?=\s*\S)")
+_CUT_ALSO = r"[\p{Z}\p{P}\p{Cc}\p{Cf}]"
+#: Scripts written without spaces; each of their characters is a unit, and so is each symbol.
+_SCRIPTS = r"\p{Han}\p{Hiragana}\p{Katakana}\x{3000}-\x{30FF}\x{FF66}-\x{FF9F}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Javanese}\p{Balinese}\p{Tai_Le}\p{Tai_Tham}\p{New_Tai_Lue}"
+_SINGLE = "[" + _SCRIPTS + r"\p{S}]"
+_MASK = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Lower-case texts in which NOT_ALNUM cuts the units apart."""
+    return pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(texts), _CUT_ALSO, " "), f"({_SINGLE})", r" \1 ")
 
 
 def _words(text: str) -> np.ndarray:
@@ -125,15 +138,63 @@ class Shard:
         return shares[0], shares[1]
 
 
+class Runs:
+    """Items (key, item id, text) that are looked up as a whole: by the hash of their first LEAD units, then by all units."""
+
+    def __init__(self, items: list[tuple[tuple, int | None, str]]):
+        self.items: list[tuple[tuple, int | None, np.ndarray]] = []
+        by: dict[int, dict[int, list[int]]] = {}
+        for key, item_id, text in items:
+            raw = np.frombuffer(_spaced(pa.array([text]))[0].as_py().encode(), np.uint8)
+            units = word_hashes(raw, np.array([0, len(raw)]), NOT_ALNUM)[0]
+            if len(units):
+                lead = min(len(units), LEAD)
+                by.setdefault(lead, {}).setdefault(int(self._leads(units[:lead], lead)[0]), []).append(len(self.items))
+                self.items.append((key, item_id, units))
+        self.by = {lead: (np.array(sorted(own), np.uint64), [own[h] for h in sorted(own)]) for lead, own in by.items()}
+
+    @staticmethod
+    def _leads(units: np.ndarray, lead: int) -> np.ndarray:
+        out = np.zeros(max(0, len(units) - lead + 1), np.uint64)
+        for i in range(lead):
+            out = out * _MASK + units[i : i + len(out)]
+        return mix64(out)
+
+    def search(self, units: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, first unit, item) of each item's first place in each document that holds it."""
+        for lead, (hashes, owners) in self.by.items():
+            found = self._leads(units, lead)
+            which = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+            place = np.flatnonzero(hashes[which] == found)
+            doc = np.searchsorted(start, place, "right") - 1
+            inside = place + lead <= start[doc + 1]
+            place, doc, which = place[inside], doc[inside], which[place[inside]]
+            if lead < LEAD:  # hashes are of whole items
+                once = np.unique(doc * len(hashes) + which, return_index=True)[1]
+                place, doc, which = place[once], doc[once], which[once]
+            seen = set()
+            for p, d, w in zip(place.tolist(), doc.tolist(), which.tolist(), strict=True):
+                for item in owners[w]:
+                    own = self.items[item][2]
+                    if (d, item) not in seen and p + len(own) <= start[d + 1] and np.array_equal(units[p : p + len(own)], own):
+                        seen.add((d, item))
+                        yield d, int(p - start[d]), item
+
+
 def _searcher(shared, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = shared.value
+        shards, runs = shared.value
         for batch in batches:
             ids = batch.column(0)
             found: list[tuple] = []
+            whole = set()
+            for row, data, at in text_slices(_spaced(batch.column(1))) if runs.items else ():
+                for d, first, item in runs.search(*word_hashes(data, at, NOT_ALNUM)):
+                    whole.add((row + d, runs.items[item][0]))
+                    found.append((ids[row + d].as_py(), runs.items[item][1], first, 1.0, 1.0, 1.0))
             for row, data, at in text_slices(pc.utf8_lower(batch.column(1))):
                 words, start = word_hashes(data, at, NOT_ALNUM)
-                for shard in shards:
+                for k, shard in enumerate(shards):
                     best: dict[tuple[int, int], tuple] = {}
                     grams: dict[tuple[int, int], dict] = {}
                     for d, first, item, score in shard.search(words, start, threshold):
@@ -141,7 +202,7 @@ def _searcher(shared, threshold: float, overlap: float):
                         q, a = shard.overlap(item, passage, grams.setdefault((d, first), {}))
                         if q >= overlap and a >= overlap:
                             best[d, item] = max(best.get((d, item), (-1.0, 0)), (q + a, -first, score, q, a))
-                    found += [(ids[row + d].as_py(), shard.ids[item], -first, score, q, a) for (d, item), (_, first, score, q, a) in best.items()]
+                    found += [(ids[row + d].as_py(), shard.ids[item], -first, score, q, a) for (d, item), (_, first, score, q, a) in best.items() if (row + d, (k, item)) not in whole]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True) if found else [()] * 6, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], ["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
 
     return run
@@ -153,7 +214,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
     A passage is `2 * span` words at every `span` words of the whole text, where span is 64 or the longest item of its index
     shard; words are lower-case runs of letters and digits. Retrieved: score of at least `threshold`. Verified: at least the
     share `overlap` of the n-grams (5 words) of the item's question, and of its answer, occur in the passage. Items of fewer
-    than `min_words` words, empty or null, tell nothing and take no part; rows that repeat an item_id are items of their own.
+    than `min_words` words and those in scripts without spaces (see _SCRIPTS) are found where all of their units stand in one
+    run, whatever cuts them; first_word is then the first unit, score and overlaps are 1. Such an item of one common word is
+    found in every document with that word. Items without a unit tell nothing; rows that repeat an item_id are items of their own.
     Null and empty texts contain nothing; null ids are returned as null. Other columns of `docs` and `items` take no part.
     Items are indexed on the driver in passes of about PASS_BYTES of text, and each pass's index is broadcast.
     """
@@ -165,9 +228,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
     out = None
     for p in range(passes):
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).toLocalIterator()
-        own = sorted(((len(w), r.item_id, r.text) for r in rows if len(w := _words(r.text)) >= min_words), key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2]))
+        own = sorted(((len(_words(r.text)), r.item_id, r.text) for r in rows), key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2]))
+        short = [x for x in own if x[0] < min_words]
+        own = own[len(short) :]
         shards = [Shard([(i, t) for _, i, t in own[k : k + SHARD_ITEMS]]) for k in range(0, len(own), SHARD_ITEMS)]
-        found = source.mapInArrow(_searcher(spark.sparkContext.broadcast(shards), threshold, overlap), schema)
+        single = pc.match_substring_regex(pa.array([t for *_, t in own], pa.string()), f"[{_SCRIPTS}]").to_pylist()
+        runs = Runs([((-1, n), i, t) for n, (_, i, t) in enumerate(short)] + [(divmod(n, SHARD_ITEMS), i, t) for n, (_, i, t) in enumerate(own) if single[n]])
+        found = source.mapInArrow(_searcher(spark.sparkContext.broadcast((shards, runs)), threshold, overlap), schema)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -184,6 +184,22 @@ def test_decontamination(spark, empty):
     assert contaminated(frame, bench.limit(0)).count() == 0 and contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+    japanese = "日本で一番高い山は何ですか。答えは富士山で、標高は三千七百七十六メートルです。"
+    thai = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    mixed = "次の式 a b c d e f g h の答えは何ですか 二です"
+    items = [(1, "Capital of Peru? Lima."), (2, "Lima"), (3, japanese), (4, "富士山"), (5, thai), (6, mixed), (7, "?!"), (8, " "), (9, None), (10, "Lima"), (None, "Äpfel"), (11, "😀🎬")]
+    texts = ["so: capital of  peru -- LIMA, yes", "limab capital of peru", "Peru lima capital of", f"昔{japanese.replace('。', '、')}と言う", "富士の山", "山は富士山だ", f"x{thai}x", thai[:-1], f"前{mixed}後", prose(50) + " “äpfel” " + prose(5000), "capital of peru", "lima", None, "", "a 😀🎬b", "?!"]
+    frame = spark.createDataFrame([*enumerate(texts), (None, "lima")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in contaminated(frame, bench).collect())
+    lima = [(d, i) for d in (0, 2, 11, None) for i in (2, 10)]
+    assert got == Counter([(0, 1), *lima, (3, 3), (3, 4), (5, 4), (6, 5), (8, 6), (9, None), (14, 11)])
+    rows = {(r.doc_id, r.item_id): r for r in contaminated(frame, bench).collect()}
+    assert rows[0, 1].first_word == 1 and rows[9, None].first_word == 50 and rows[8, 6].first_word == 1 and rows[8, 6].score == 1
+    assert {r.doc_id for r in decontaminate(frame, bench).collect()} == {1, 4, 7, 10, 12, 13, 15, None}
+
+
 def test_mixture(spark, rows, docs, empty):
     from pyspark.sql import functions as F
 
