@@ -26,7 +26,7 @@ _CODE = np.full(128, len(_CHARS), np.int64)
 _CODE[[ord(c) for c in _CHARS]] = np.arange(len(_CHARS))
 _N = len(_CHARS) + 1  # the last: any other, and the start
 SAMPLE_TEXTS, SAMPLE_WORDS = 2_000, 50_000
-LEAST_RUN, MARGIN = 20, 12.0
+LEAST_RUN, MARGIN = 12, 12.0
 
 
 def _codes(text: str) -> np.ndarray:
@@ -63,7 +63,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 class RandomStrings:
-    """The two models, compared: scan() gives the runs that are likelier random by `margin` nats."""
+    """The two models, compared: scan() gives the runs that are likelier random by `margin` nats, of other runs the stretches that are."""
 
     def __init__(self, random: Iterable[str], ordinary: Iterable[str], margin: float = MARGIN, least: int = LEAST_RUN):
         self.ratio, self.margin, self.least = train(random) - train(ordinary), margin, least
@@ -74,7 +74,28 @@ class RandomStrings:
         return float(self.ratio[c[:-1], c[1:]].sum())
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
-        return [(m.start(), 3, m.end()) for m in self.runs.finditer(text) if self.score(m[0]) > self.margin]
+        found = []
+        for m in self.runs.finditer(text):
+            c = _codes(m[0])
+            found += [(m.start() + s, 3, m.start() + e) for s, e in self._stretches(self.ratio[c[:-1], c[1:]])]
+        return found
+
+    def _stretches(self, ratio: np.ndarray) -> list[tuple[int, int]]:
+        """The whole run, if its sum exceeds the margin; else the stretch of the greatest sum, if that does and has `least` characters, and so on to both sides of it."""
+        if ratio.sum() > self.margin:
+            return [(0, len(ratio))]
+        out, parts = [], [(0, len(ratio))]
+        while parts:
+            s, e = parts.pop()
+            if e - s >= self.least and ratio[s:e].clip(0).sum() > self.margin:
+                upto = np.concatenate([[0.0], np.cumsum(ratio[s:e])])
+                last = int(np.argmax(upto - np.minimum.accumulate(upto)))
+                first = int(np.argmin(upto[: last + 1]))
+                if upto[last] - upto[first] > self.margin:
+                    if last - first >= self.least:
+                        out.append((s + first, s + last))
+                    parts += [(s, s + first), (s + last, e)]
+        return sorted(out)
 
 
 def ordinary_words(docs: DataFrame, texts: int = SAMPLE_TEXTS, words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
@@ -101,7 +122,7 @@ def ordinary_words(docs: DataFrame, texts: int = SAMPLE_TEXTS, words: int = SAMP
 def find_secrets(docs: DataFrame, model: RandomStrings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start and kind, comma-joined; the models' kind is `random`).
 
-    Runs of at least `model.least` key characters that overlap no base span are given to the models. Null and empty texts
+    Runs of at least `model.least` key characters, or the random stretches in them, are spans where they overlap no base span. Null and empty texts
     have no span. Null and repeated ids stay as they are; other columns take no part. Texts are scanned whole.
     """
 

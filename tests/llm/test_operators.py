@@ -295,6 +295,23 @@ def test_secrets(spark):
     assert ordinary_words(frame.limit(0)) == []
 
 
+def test_short_secrets_and_secrets_within_runs(spark):
+    ordinary = ordinary_words(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    model = RandomStrings(random_strings(2000), ordinary)
+    long = max((w for w in ordinary if w.isalpha() and w.islower()), key=lambda w: -model.score(w))
+    path = (long + "/") * (60 // len(long))
+    one, two, short = "Zk3vQ9xT1mWc7RbY5uLp", "h4KqX8dJ2sVt6GnP0aEw", "Zk3vQ9xT1mWc"
+    text = f"a {path}{one}/{path}{two} b"
+    assert model.score(text[2:-2]) < model.margin
+    spans = [(s, e) for s, _, e in model.scan(text)]
+    assert len(spans) == 2
+    for (s, e), key in zip(spans, (one, two), strict=True):
+        at = text.index(key)
+        assert abs(s - at) <= 3 and abs(e - at - len(key)) <= 3
+    assert model.scan(f"see {short} here") == [(4, 3, 16)]
+    assert model.scan(path) == []
+
+
 def test_warc(spark, tmp_path):
     page = '<html><head><title>A &amp; B</title><meta name="d" content="x"><script>var p = "</p>";</script></head><body><p>One <b>two</b></p><!-- no --><a href="/q?a=1&amp;b=2" rel="next">three</a><br>four</body></html>'
     text, found = parse_html(page, "http://h.org/x/")
