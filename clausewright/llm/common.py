@@ -50,20 +50,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _offsets(texts: pa.Array) -> np.ndarray:
+    if not len(texts):
+        return np.zeros(1, np.int64)
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def row_slices(texts: pa.Array, limit: int = SLICE_BYTES):
+    """(first row, number of rows) of slices of about `limit` bytes of an Arrow string column."""
+    at, row = _offsets(texts), 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
+        yield row, end - row
+        row = end
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """Cuts an Arrow string column into slices of about `limit` bytes: (first row, bytes, offsets). Nulls count as empty."""
     texts = texts.fill_null("") if texts.null_count else texts
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    _, offsets, data = texts.buffers()
-    n = len(texts)
-    if not n:
-        return
-    at = np.frombuffer(offsets, width)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    at, data = _offsets(texts), texts.buffers()[2] if len(texts) else None
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    row = 0
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
-        yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
-        row = end
+    for row, n in row_slices(texts, limit):
+        yield row, data[at[row] : at[row + n]], at[row : row + n + 1] - at[row]

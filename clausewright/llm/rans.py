@@ -51,7 +51,7 @@ def encode_segment(ids: np.ndarray, sizes: np.ndarray, doc_ids: np.ndarray, null
     if n and int(ids.max()) < 1 << 22:
         counts = np.bincount(ids)
         symbols = np.flatnonzero(counts)
-        symbol, counts = (np.cumsum(counts > 0) - 1)[ids], counts[symbols]
+        symbol, counts = (np.cumsum(counts > 0) - 1).astype(np.int32)[ids], counts[symbols]
     else:
         symbols, symbol, counts = np.unique(ids, return_inverse=True, return_counts=True)
     scale = min(24, max(12, (4 * len(symbols)).bit_length()))
@@ -60,7 +60,7 @@ def encode_segment(ids: np.ndarray, sizes: np.ndarray, doc_ids: np.ndarray, null
     blocks = -(-n // BLOCK)
     steps = -(-np.minimum(BLOCK, n - BLOCK * np.arange(blocks)) // LANES) if n else np.zeros(0, np.int64)
     most = int(steps[0]) if blocks else 0
-    padded = np.zeros(blocks * BLOCK, np.int64)
+    padded = np.zeros(blocks * BLOCK, np.int32)
     padded[:n] = symbol
     if n:
         padded[n:] = int(np.argmax(freq))

@@ -15,30 +15,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import SLICE_BYTES, row_slices, scratch
 from .rans import decode_segment, encode_segment
 from .tokenize import encoder
 
 #: Ids that share one frequency table; a longer document is a segment of its own.
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 21
+#: The place of rows without an id.
+NULL_ID = -(1 << 63)
 FILE_SCHEMA = "part int, segment int, start long, n_docs long, n_tokens long, data binary"
 
 
 def _tokenizer(path: str, end_id: int, bounds: list[int]):
+    # An id that is several bounds is dealt over the parts behind the first of them, by the CRC-32 of its rows' ids.
+    values, repeats = np.unique(np.array(bounds, np.int64), return_counts=True)
+
+    def parts_of(doc_ids: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        first = np.searchsorted(bounds, doc_ids, "left")
+        if not len(values):
+            return first
+        at = np.minimum(np.searchsorted(values, doc_ids), len(values) - 1)
+        own = np.where(values[at] == doc_ids, repeats[at], 0)
+        return first + np.where(own > 1, 1 + (sums * own >> 32), 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         wide = np.dtype("<u2" if max(tokens.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
-            for row in range(0, batch.num_rows, 500):
-                ids = batch.column(0).slice(row, 500)
-                texts = [t or "" for t in batch.column(1).slice(row, 500).to_pylist()]
-                flat, sizes = tokens.encode(texts)
+            for row, n in row_slices(batch.column(1), SLICE_BYTES):
+                ids = batch.column(0).slice(row, n)
+                flat, sizes = tokens.encode(batch.column(1).slice(row, n))
                 ends = np.cumsum(sizes)
                 flat = np.insert(flat, ends, end_id).astype(wide)
-                at = np.concatenate([[0], ends + np.arange(1, len(sizes) + 1)])
-                parts = np.searchsorted(bounds, np.array(ids.fill_null(np.iinfo(np.int64).min)), "left").astype(np.int32)
-                lists = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((at * wide.itemsize).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(parts), ids, pa.array(np.full(len(sizes), wide.itemsize, np.int32)), lists], ["part", "doc_id", "width", "ids"])
+                at = np.concatenate([[0], ends + np.arange(1, n + 1)]) * wide.itemsize
+                if at[-1] >= 1 << 31:
+                    raise ValueError("a text has ids of over 2 GB, which is no value of a Spark row")
+                raw = memoryview(flat.tobytes())
+                sums = np.array([zlib.crc32(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
+                parts = parts_of(ids.fill_null(NULL_ID).to_numpy(), sums).astype(np.int32)
+                lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(parts), ids, pa.array(np.full(n, wide.itemsize, np.int32)), lists, pa.array(sums)], ["part", "doc_id", "width", "ids", "sum"])
 
     return run
 
@@ -83,18 +99,20 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each text's followed by `end_id`, in ascending order of `id_col`.
 
-    Null texts count as empty: they have the end id alone. Rows without an id come first; rows of one id follow each other, by
-    their ids as bytes, and all are kept. Other columns take no part. An empty table gives an empty folder that reads as no rows.
-    The tokenizer file is opened on the executors.
+    Null texts count as empty: they have the end id alone. Rows without an id come first; rows of one id, or of none, follow
+    each other by the CRC-32 of their ids, then by the ids, and all are kept: an id with more rows than a part takes several
+    parts. Other columns take no part. An empty table gives an empty folder that reads as no rows. A text of more than 2 GB of
+    ids fails. The tokenizer file is opened on the executors.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = source.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = sorted(set(cut or []))
-    tokens = source.mapInArrow(_tokenizer(tokenizer, end_id, bounds), "part int, doc_id long, width int, ids binary")
-    ordered = tokens.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_coder, FILE_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
+    placed = F.coalesce("doc_id", F.lit(NULL_ID))
+    cut = source.select(F.percentile_approx(placed, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    bounds = sorted(cut or [])
+    tokens = source.mapInArrow(_tokenizer(tokenizer, end_id, bounds), "part int, doc_id long, width int, ids binary, sum long")
+    ordered = tokens.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "sum", "ids")
+    ordered.select("part", "doc_id", "width", "ids").mapInArrow(_coder, FILE_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clausewright.llm.boosted_trees import fit
@@ -20,6 +21,7 @@ from clausewright.llm.rans import decode_segment, encode_segment
 from clausewright.llm.secret_scan import KINDS, RandomStrings, find_secrets, ordinary_words, random_strings
 from clausewright.llm.token_counts import CountOnlyViterbi, sentencepiece_pieces, token_counts
 from clausewright.llm.token_output import token_output
+from clausewright.llm.tokenize import TokenEncoder
 from clausewright.llm.url_filter import judge_urls
 from clausewright.llm.warc import derivatives, parse_html, read_warc, responses_of_pages, write_warc
 
@@ -117,7 +119,7 @@ def test_token_files(spark, rows, docs, empty):
     model = Tokenizer.from_file(tokenizer_path())
     want, start = [], 0
     encoded = sorted(((-1 if i is None else i), np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes(), i) for i, t, *_ in rows)
-    for _, raw, i in encoded:
+    for _, raw, i in encoded:  # rows of one id are equal here
         want.append((i, len(raw) // 4, zlib.crc32(raw)))
     got = sorted(token_output(docs, tokenizer_path()).collect(), key=lambda r: r.start)
     for r in got:
@@ -128,6 +130,33 @@ def test_token_files(spark, rows, docs, empty):
     assert token_output(empty, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("words", [100_000, 40])
+def test_token_ids_equal_the_library_s(words):
+    from tokenizers import Tokenizer
+
+    model, own = Tokenizer.from_file(tokenizer_path()), TokenEncoder(tokenizer_path(), words)
+    rng = random.Random(8)
+    every = [chr(c) for c in [*range(1, 0x3100), *range(0xAC00, 0xAC80), *range(0x10400, 0x10430), 0x1F600, 0x1D49C]]
+    close = list("İıſKéÅ.,.,' \u0331\u0301\u0307\x85\x1c~<|HhAa1s'tre3!-") + ["\u0915\u093c", "\u0958", "<|endoftext|>"]
+    texts = ["ANKARALİ.", "क़.", "", " ", "~ a~b", "it's. We're, 's.", "<|endoftext|>x", "H\u0331.", "w" * 5000, "(x'd)('s 3.14m", "a. " * 3000]
+    texts += ["".join(rng.choice(close if i % 2 else every) if rng.random() < 0.7 else rng.choice("  .,abcXYZ'") for _ in range(rng.randint(1, 14))) for i in range(6000)]
+    for i in range(0, len(texts), 400):
+        part = texts[i : i + 400]
+        flat, sizes = own.encode(pa.array(part))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [e.ids for e in model.encode_batch(part, add_special_tokens=False)]
+
+
+def test_many_rows_of_one_id_or_none_take_several_parts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(None if i < 300 else 7 if i < 600 else i, f"{prose(2)} {i}") for i in range(900)], "doc_id long, text string")
+    rows = sorted(token_output(frame, tokenizer_path(), str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert ids == sorted(ids) and len(rows) == 900 and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+    parts = spark.read.parquet(str(tmp_path / "t")).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(parts) >= 6 and max(r.n for r in parts) < 300
+
+
 def test_range_coder():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), np.full(70_000, 3, np.uint32), rng.zipf(1.3, 200_000).clip(0, 49_000).astype(np.uint32)):
