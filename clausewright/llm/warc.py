@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.0"
-#: Files of a derivative folder hold so many records at most, so that each can be read as a whole.
-FILE_RECORDS = 20_000
+#: Files of a derivative folder hold so many records, and so many bytes (or one record) at most, so that each can be read as a whole.
+FILE_RECORDS, FILE_BYTES = 20_000, 256 << 20
 _NAMESPACE = uuid.UUID("5e0f0b52-6d5c-5ac2-9a0e-6b7a1d1c7f10")
 RESPONSES = "page_id long, record_id string, target_uri string, date string, warc_headers map<string,string>, block binary"
 DERIVATIVES = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, source_block_digest string, source_payload_digest string, block_digest string, content_length long, status int, block string"
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.DOTALL)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*+))")
+#: A whole tag, without going back over what it passed; else what opens one.
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|" + _OPEN.pattern)
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "template", "noscript", "textarea", "title", "svg")}
 _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src", "embed": "src", "form": "action"}
@@ -43,45 +46,78 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, chr(31).join(map(str, parts)))}>"
 
 
+def _tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag, comment and declaration (these without a name), in one pass forward.
+
+    A `>` within quotes does not end a tag. Where a page leaves quotes open, so that a tag would never end, this and all later
+    tags of the page end at the next `>`. What never ends is text. The caller may send() a place to go on from.
+    """
+    at, last, quoted = 0, source.rfind(">"), True
+    while (m := (_TAG if quoted else _OPEN).search(source, at)) is not None:
+        start, at = m.start(), m.end()
+        if quoted and m[2]:
+            moved = yield start, at, m[2].lower(), bool(m[1]), m[3]
+            at = moved or at
+            continue
+        if m[0] in ("<!--", "<![CDATA["):
+            close = "-->" if m[0] == "<!--" else "]]>"
+            end = source.find(close, at)
+            at = len(source) if end < 0 else end + len(close)
+            moved = yield start, at, "", False, ""
+            at = moved or at
+            continue
+        if at > last:
+            return
+        end = at
+        slash, name = m.groups()[-2:]
+        if quoted and name:
+            while (stop := _STOP.search(source, end)) is not None and stop[0] != ">":
+                close = source.find(stop[0], stop.end())
+                end = stop.end() if close < 0 else close + 1
+            quoted = stop is not None
+            end = stop.start() if stop else source.find(">", at)
+        else:
+            end = source.find(">", at)
+        moved = yield start, end + 1, (name or "").lower(), bool(slash), source[at:end] if name else ""
+        at = moved or end + 1
+
+
 def parse_html(source: str, base: str) -> tuple[str, dict]:
-    """The plain text (lines of block elements, white space squeezed) and the metadata (Title, Metas, Links) of a page."""
+    """The plain text (lines of block elements, white space squeezed) and the metadata (Title, Metas, Links) of a page. Broken pages take time in proportion too."""
     out: list[str] = []
     title, metas, links = None, [], []
-    at = 0
-    while True:
-        m = _TAG.search(source, at)
-        if m is None:
-            out.append(html.unescape(source[at:]))
-            break
-        if m.start() > at:
-            out.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in _BREAKS:
-            out.append("\n")
-        if closing:
-            continue
-        if m[3] and (tag in _LINKS or tag == "meta" or tag == "base"):
-            own: dict[str, str] = {}
-            for name, *values in _ATTRIBUTE.findall(m[3]):
-                own.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
-            if tag == "meta":
-                metas.append(own)
-            elif tag == "base":
-                base = _join(base, own.get("href", ""))
-            elif own.get(_LINKS[tag]):
-                link = {"path": f"{tag.upper()}@/{_LINKS[tag]}", "url": _join(base, own[_LINKS[tag]])}
-                links.append(link | ({"rel": own["rel"]} if own.get("rel") else {}))
-        if tag in _RAW and not m[3].endswith("/"):
-            end = _RAW[tag].search(source, at)
-            inner = source[at : end.start() if end else len(source)]
-            at = end.end() if end else len(source)
-            if tag == "title" and title is None:
-                title = " ".join(html.unescape(inner).split())
-            elif tag in ("textarea", "title"):
-                out.append(html.unescape(inner))
+    at, tags, found = 0, _tags(source), None
+    try:
+        found = next(tags)
+        while True:
+            start, end, tag, closing, attributes = found
+            out.append(html.unescape(source[at:start]))
+            at, moved = end, None
+            if tag in _BREAKS:
+                out.append("\n")
+            if tag and not closing:
+                if attributes and (tag in _LINKS or tag == "meta" or tag == "base"):
+                    own: dict[str, str] = {}
+                    for name, *values in _ATTRIBUTE.findall(attributes):
+                        own.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
+                    if tag == "meta":
+                        metas.append(own)
+                    elif tag == "base":
+                        base = _join(base, own.get("href", ""))
+                    elif own.get(_LINKS[tag]):
+                        link = {"path": f"{tag.upper()}@/{_LINKS[tag]}", "url": _join(base, own[_LINKS[tag]])}
+                        links.append(link | ({"rel": own["rel"]} if own.get("rel") else {}))
+                if tag in _RAW and not attributes.endswith("/"):
+                    close = _RAW[tag].search(source, at)
+                    inner = source[at : close.start() if close else len(source)]
+                    at = moved = close.end() if close else len(source)
+                    if tag == "title" and title is None:
+                        title = " ".join(html.unescape(inner).split())
+                    elif tag in ("textarea", "title"):
+                        out.append(html.unescape(inner))
+            found = tags.send(moved)
+    except StopIteration:
+        out.append(html.unescape(source[at:]))
     text = _LINES.sub("\n", _BLANK.sub(" ", "".join(out))).strip()
     return text, {"Title": title, "Metas": metas, "Links": links}
 
@@ -187,11 +223,17 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, folder: str, compression: str = "gzip") -> None:
-    """Writes derived records as WARC files; a reader needs nothing but the WARC standard."""
+    """Writes derived records as WARC files; a reader needs nothing but the WARC standard.
+
+    A first pass over `records` takes the longest record, from which the records of a file follow; stage() them where they are
+    costly to make.
+    """
     line = lambda name, column: F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(F.col(column).cast("string"), r"[\r\n]+", " "), F.lit("\r\n"))).otherwise("")
     named = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"), ("WARC-Source-Block-Digest", "source_block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
     row = F.concat(F.lit(VERSION + "\r\n"), *(line(n, c) for n, c in named), F.lit("\r\n"), F.col("block"))
-    records.select(row.alias("value")).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    rows = records.select(row.alias("value"))
+    longest = rows.agg(F.max(F.octet_length("value"))).first()[0] or 1
+    rows.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", max(1, min(FILE_RECORDS, FILE_BYTES // longest))).text(folder)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
