@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -12,7 +13,8 @@ from .common import scratch, small, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PATTERN = r"^.*?://([^/?#]*)([^?#]*)"
-_LABEL = "label="
+_LABEL = "label"  # no token of a url, as those have a colon
+LONGEST = 20
 
 
 @dataclass(frozen=True)
@@ -53,33 +55,59 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(words(host(url), "h:"), words(rest, "p:"), number))
 
 
-def mine_rules(labelled: DataFrame, verdict: str = "block", support: float = 0.002, confidence: float = 0.9, url_col: str = "url", label_col: str = "label", parts: int | None = None) -> DataFrame:
-    """Combinations of url tokens that imply `verdict`: antecedent (array, sorted), confidence, support.
+def mine_rules(labelled: DataFrame, verdict: str = "block", support: float = 0.002, confidence: float = 0.9, url_col: str = "url", label_col: str = "label", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Combinations of url tokens that imply `verdict`: (antecedent (array, sorted), confidence, support, first) and (token, same).
 
-    FP-growth over all labelled rows; the label is one of the items. Rows without a url or label take no part. A rule of
-    which a part already is a rule is pruned, as it matches nothing more. Without rows there are no rules.
+    All labelled rows count; those without a url or label take no part, and without rows there are no rules. A rule of which a
+    part already is a rule is pruned, as it matches nothing more. So tokens that are rules by themselves, and those too rare
+    under `verdict` for any rule, are settled by counts. FP-growth mines the combinations of the others, in which tokens that
+    occur in the very same urls stand as one, `same`, the least of them: what holds for one holds for all. `first` is the rarest
+    token of a rule, by which it is listed. A url of more than LONGEST such tokens would have 2**LONGEST combinations: ValueError.
     """
-    mark = F.concat(F.lit(_LABEL), F.col(label_col).cast("string"))
-    baskets = labelled.filter(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(F.array_append(url_tokens(F.col(url_col)), mark).alias("items"))
-    # Equal baskets differ only in how often they come, but FPGrowth takes no weights: all rows go in, partitioned by Spark.
-    grower = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, **({"numPartitions": parts} if parts else {}))
-    if baskets.isEmpty():
-        return labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
-    rules = grower.fit(baskets).associationRules.filter(F.array_contains("consequent", _LABEL + verdict))
-    rules = rules.filter(~F.exists("antecedent", lambda a: F.startswith(a, F.lit(_LABEL)))).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
-    rules = stage(rules, f"{scratch(labelled.sparkSession)}/rules")
-    # A general rule is found through each of its tokens.
-    general = rules.select(F.col("antecedent").alias("part"), F.explode("antecedent").alias("token"))
-    special = rules.select("antecedent", F.explode("antecedent").alias("token"))
-    wider = special.join(general, "token").groupBy("antecedent", "part").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") == F.size("part")) & (F.size("part") < F.size("antecedent")))
-    return rules.join(wider.select("antecedent").distinct(), "antecedent", "left_anti")
-
-
-def _matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Ids (`_row`) of the rows whose `tokens` hold all of some rule's. The index lists each rule under its least token."""
-    index = small(rules.select(F.col("antecedent")[0].alias("token"), "antecedent").distinct())
-    posted = rows.select("_row", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return posted.filter(F.size(F.array_except("antecedent", "tokens")) == 0).select("_row").distinct()
+    folder = scratch(labelled.sparkSession)
+    rows = labelled.filter(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
+    hit = (F.col(label_col).cast("string") == verdict).cast("long")
+    # Equal baskets once, with how often they come and how often under the verdict.
+    baskets = stage(rows.select(F.sort_array(url_tokens(F.col(url_col))).alias("tokens"), hit.alias("hit")).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits")), f"{folder}/baskets")
+    total = baskets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(1, math.ceil(support * total))
+    urls = (F.sum(F.xxhash64("tokens").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("tokens", F.lit(1))))
+    stats = baskets.select("tokens", "n", "hits", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.concat_ws(":", *(x.cast("string") for x in urls)).alias("urls"))
+    stats = stage(stats.filter(F.col("hits") >= least).withColumn("alone", F.col("hits") / F.col("n") >= confidence), f"{folder}/tokens")
+    alone = stats.filter("alone").select(F.array("token").alias("antecedent"), (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / F.lit(max(1, total))).alias("support"), F.col("token").alias("first"))
+    same = stats.filter("not alone").groupBy("urls").agg(F.min("token").alias("same"), F.first("n").alias("n"))
+    same = stage(stats.filter("not alone").select("token", "urls").join(same, "urls").select("token", "same", "n"), f"{folder}/same")
+    few = small(same.filter("token = same").select("token"))
+    items = baskets.select("tokens", "n", "hits", F.explode("tokens").alias("token")).join(few, "token").groupBy("tokens", "n", "hits").agg(F.collect_list("token").alias("items"))
+    items = stage(items.filter(F.size("items") > 1), f"{folder}/items")
+    given, longest = items.agg(F.sum("n"), F.max(F.size("items"))).first()
+    if not given:
+        return alone, same.select("token", "same")
+    if longest > LONGEST:
+        raise ValueError(f"a url has {longest} tokens that are frequent and no rules by themselves; raise the support or give labels that tell more")
+    mark = F.when(F.col("at") <= F.col("hits"), F.array_append("items", F.lit(_LABEL))).otherwise(F.col("items"))
+    single = items.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(mark.alias("items"))
+    grower = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / given, minConfidence=confidence, **({"numPartitions": parts} if parts else {}))
+    mined = grower.fit(single).associationRules.filter(F.array_contains("consequent", _LABEL))
+    mined = stage(mined.select(F.sort_array("antecedent").alias("antecedent"), "confidence", (F.col("support") * given / total).alias("support")), f"{folder}/mined")
+    names = small(same.filter("token = same").select("token", "n"))
+    listed = mined.select("antecedent", F.explode("antecedent").alias("token")).join(names, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("first"))
+    rules = stage(mined.join(listed, "antecedent"), f"{folder}/rules")
+    special = rules.select("antecedent", F.explode("antecedent").alias("first"))
+    general = rules.select("first", F.col("antecedent").alias("part"))
+    wider = special.join(general, "first").filter((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0))
+    rules = rules.join(wider.select("antecedent").distinct(), "antecedent", "left_anti")
+    return alone.unionByName(rules.select(*alone.columns)), same.select("token", "same")
+
+
+def _matches(rows: DataFrame, rules: DataFrame, same: DataFrame) -> DataFrame:
+    """Ids (`_row`) of the rows whose `tokens` hold all of some rule's. The index lists each rule under its rarest token."""
+    single = small(rules.filter(F.size("antecedent") == 1).select(F.col("first").alias("token")).distinct())
+    index = small(rules.filter(F.size("antecedent") > 1).select("first", "antecedent").distinct())
+    tokens = rows.select("_row", F.explode("tokens").alias("token"))
+    held = tokens.join(small(same), "token").groupBy("_row").agg(F.collect_set("same").alias("held"))
+    posted = held.select("_row", "held", F.explode("held").alias("first")).join(index, "first").filter(F.size(F.array_except("antecedent", "held")) == 0)
+    return tokens.join(single, "token", "left_semi").select("_row").unionByName(posted.select("_row")).distinct()
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", **how) -> DataFrame:
@@ -95,9 +123,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None =
     judged = judged.withColumn("_fixed", rule_for(rules, F.col("host"), F.col("path")))
     if labelled is None:
         labelled = judged.filter("_fixed is not null").select(F.col("_url").alias("url"), F.col("_fixed.verdict").alias("label"))
-    mined = stage(mine_rules(labelled, **how), f"{scratch(pages.sparkSession)}/mined")
+    mined, same = mine_rules(labelled, **how)
+    mined = stage(mined, f"{scratch(pages.sparkSession)}/mined")
     # Equal urls are matched once.
     open_urls = judged.filter("_fixed is null and _url is not null").select(F.col("_url").alias("_row")).distinct().withColumn("tokens", url_tokens(F.col("_row")))
-    blocked = stage(_matches(open_urls, mined), f"{scratch(pages.sparkSession)}/blocked")
+    blocked = stage(_matches(open_urls, mined, same), f"{scratch(pages.sparkSession)}/blocked")
     hit = small(blocked.select(F.col("_row").alias("_url"), F.lit("block").alias("_mined")))
     return judged.join(hit, "_url", "left").select("page_id", "host", "path", F.col("_fixed.rule").alias("rule"), F.coalesce("_fixed.verdict", "_mined", F.lit("allow")).alias("verdict"))
