@@ -4,12 +4,15 @@ With m the largest squared norm, each vector v gets one more component, sqrt(m -
 vectors are then those of the greatest inner products. Vectors are keyed by (nearest pivot, distance to it) and sorted so
 that each block of BLOCK rows of one pivot is an annulus around it. A query whose distance to that pivot is x can score with
 a vector of the annulus [near, far] no more than (|q|**2 + m - gap**2) / 2, gap being what x lies outside the annulus.
-A first step looks into the annuli around the query's own position and gives a k-th best score; the second expands to all
-annuli whose bound still reaches it. Scores are exact integers; only bounds are floating-point, with slack.
+A first step looks into the annuli around the query's own position, at its nearest pivots, and gives a k-th best score; the
+second expands to all annuli whose bound still reaches it. The queries are a stated set: they are broadcast in chunks of about
+QUERY_BYTES, and each task keeps the k best of its annuli, so no vector is shipped. Scores are exact integers; only bounds are
+floating-point, with slack.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stage
 
-BLOCK, QUERY_BLOCK, SAMPLE = 1024, 256, 4096
-_INDEX = "pivot int, near double, far double, n int, ids binary, vectors binary, block long"
-_QUERIES = "qblock long, n int, ids binary, vectors binary"
+BLOCK, SAMPLE = 1024, 4096
+#: Bytes of queries that are broadcast at a time; queries that are scored against a block at a time.
+QUERY_BYTES, QUERY_BLOCK = 16 << 20, 256
+_INDEX = "pivot int, above double, near double, far double, ids binary, vectors binary"
 
 
 def whole_components(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -71,18 +75,17 @@ def _keyer(centres: np.ndarray, most: float, dim: int):
 
 
 def _blocker(dim: int):
-    """Cuts sorted (pivot, distance, id, v) rows into blocks of one pivot each."""
+    """Cuts sorted (pivot, distance, id, v) rows into blocks of one pivot each. `above`: the greatest distance before the block, where its task had one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        made, held = TaskContext.get().partitionId() << 32, None
+        held, above = None, (-1, 0.0)
 
         def out(block: tuple) -> pa.RecordBatch:
-            nonlocal made
+            nonlocal above
             pivot, distance, ids, m = block
-            made += 1
-            return pa.RecordBatch.from_pylist([{"pivot": int(pivot[0]), "near": float(distance.min()), "far": float(distance.max()), "n": len(ids), "ids": ids.tobytes(), "vectors": m.tobytes(), "block": made}], schema=pa.schema([("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("block", pa.int64())]))
+            before = above[1] if above[0] == pivot[0] else -np.inf
+            above = (pivot[0], float(distance[-1]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in (([int(pivot[0])], pa.int32()), ([before], pa.float64()), ([float(distance[0])], pa.float64()), ([float(distance[-1])], pa.float64()), ([ids.tobytes()], pa.binary()), ([m.tobytes()], pa.binary()))], ["pivot", "above", "near", "far", "ids", "vectors"])
 
         for batch in batches:
             pivot, distance, ids = (batch.column(i).to_numpy() for i in range(3))
@@ -94,29 +97,15 @@ def _blocker(dim: int):
                         yield out(held)
                         held = None
                     held = tuple(np.concatenate(x) for x in zip(held, more, strict=True)) if held else more
-                    while len(held[0]) >= BLOCK:
+                    while held and len(held[0]) >= BLOCK:
                         yield out(tuple(x[:BLOCK] for x in held))
                         held = tuple(x[BLOCK:] for x in held) if len(held[0]) > BLOCK else None
-                        if held is None:
-                            break
         if held:
             yield out(held)
 
     return run
 
 
-def _query_blocker(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    made = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        m, ids = _matrix(batch.column(1), dim), batch.column(0).to_numpy()
-        for s in range(0, len(ids), QUERY_BLOCK):
-            made += 1
-            own = m[s : s + QUERY_BLOCK]
-            yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([len(own)], pa.int32()), pa.array([ids[s : s + QUERY_BLOCK].tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["qblock", "n", "ids", "vectors"])
-
-
 def _bounds(q: np.ndarray, centre: np.ndarray, near: float, far: float, most: float) -> np.ndarray:
     """The greatest score that each query could have with a vector of the annulus."""
     x = np.sqrt(np.maximum(0.0, np.einsum("ij,ij->i", q, q) + centre @ centre - 2 * (q @ centre[:-1])))
@@ -133,50 +122,37 @@ def _exact(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.clip(whole(q) @ whole(m).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _scorer(centres: np.ndarray, most: float, dim: int, k: int):
-    """For rows of a query block, an annulus and each query's k-th score so far: the k best of the annulus, for queries that it could serve."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q = np.frombuffer(row["qvectors"]).reshape(-1, dim)
-                qids, ids = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                floor = np.frombuffer(row["floors"], np.float64) if row["floors"] else np.full(len(q), -np.inf)
-                able = np.flatnonzero(_bounds(q, centres[row["pivot"]], row["near"], row["far"], most) >= floor)
-                if not len(able):
-                    continue
-                score = _exact(q[able], np.frombuffer(row["vectors"]).reshape(-1, dim))
-                outs = []
-                for i, own in zip(able, score, strict=True):
-                    fits = np.flatnonzero((own >= floor[i]) & (ids != qids[i]))
-                    best = fits[np.lexsort((ids[fits], -own[fits]))[:k]]
-                    outs.append((np.full(len(best), qids[i]), ids[best], own[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*outs, strict=True)], ["query_id", "vec_id", "score"])
-
-    return run
-
-
-def _pairer(centres: np.ndarray, most: float, dim: int, blocks, k: int):
-    """For each query block, the annuli to look into: with `floors` all whose bound reaches some query's, else those where the queries themselves lie."""
+def _scorer(centres: np.ndarray, most: float, dim: int, k: int, shared, probe: bool):
+    """The k best of the task's annuli for each query: `probe` looks into those where the queries themselves lie, else into all that could reach a query's k-th score so far, which rises on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, pivot, near, far, size = blocks.value
+        number, qids, queries, floors, places, depths = shared.value
+        floor = floors.copy()
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                q = np.frombuffer(row["vectors"]).reshape(-1, dim)
-                if row["floors"]:
-                    floor = np.frombuffer(row["floors"], np.float64)
-                    chosen = [b for b in range(len(block)) if (_bounds(q, centres[pivot[b]], near[b], far[b], most) >= floor).any()]
+                ids, m = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dim)
+                if probe:
+                    able = ((places == row["pivot"]) & (depths > row["above"]) & (depths <= row["far"])).any(axis=1)
                 else:
-                    x = _distances(np.column_stack([q, np.zeros(len(q))]), centres)
-                    chosen = set()
-                    for i in range(len(q)):
-                        gap = np.maximum(near - x[i, pivot], x[i, pivot] - far)
-                        order = np.argsort(gap, kind="stable")
-                        chosen.update(order[: int(np.searchsorted(np.cumsum(size[order]), k + 1)) + 1].tolist())
-                chosen = sorted(chosen)
-                if chosen:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), row["qblock"])), pa.array(block[chosen])], ["qblock", "block"])
+                    able = _bounds(queries, centres[row["pivot"]], row["near"], row["far"], most) >= floor
+                able = np.flatnonzero(able)
+                for part in (able[i : i + QUERY_BLOCK] for i in range(0, len(able), QUERY_BLOCK)):
+                    score = _exact(queries[part], m)
+                    for i, own in zip(part.tolist(), score, strict=True):
+                        fits = np.flatnonzero((own >= floor[i]) & (ids != qids[i]))
+                        if len(fits):
+                            s, d = own[fits], ids[fits]
+                            if i in best:
+                                s, d = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], d])
+                            order = np.lexsort((d, -s))[:k]
+                            best[i] = s[order], d[order]
+                            if len(order) == k:
+                                floor[i] = max(floor[i], float(s[order[-1]]))
+        for i in range(0, len(found := sorted(best)), 1000):
+            part = found[i : i + 1000]
+            size = [len(best[j][0]) for j in part]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number[part], size)), pa.array(np.repeat(qids[part], size)), pa.array(np.concatenate([best[j][1] for j in part])), pa.array(np.concatenate([best[j][0] for j in part]))], ["q", "query_id", "vec_id", "score"])
 
     return run
 
@@ -186,17 +162,18 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int
 
     Components are floor(scale * x). Rows of either side whose id is null or whose vector is null, empty or holds a null or
     non-finite component take no part. A vector is no candidate of the query of the same id. Vectors of unequal length meet
-    in their common components. Rows that repeat an id are candidates of their own. Scores beyond a long are held at its
-    ends. Fewer than k candidates give fewer rows; empty tables give none. Other columns take no part.
-    Pivots are fitted on at most SAMPLE vectors, those of the smallest hashes of the id; every vector is indexed.
+    in their common components. Rows that repeat an id are candidates of their own, and queries of their own, each with its
+    own ranks. Scores beyond a long are held at its ends. Fewer than k candidates give fewer rows; empty tables give none.
+    Other columns take no part. Pivots are fitted on at most SAMPLE vectors, those of the smallest hashes of the id; every
+    vector is indexed. A chunk of queries makes two passes over the index.
     """
     spark = vectors.sparkSession
     folder = scratch(spark)
-    schema = "query_id long, vec_id long, score long"
+    schema = "q long, query_id long, vec_id long, score long"
     valid = stage(whole_components(vectors, id_col, vector_col, scale), f"{folder}/vectors")
-    asked = whole_components(queries, id_col, vector_col, scale)
+    asked = stage(whole_components(queries, id_col, vector_col, scale).withColumn("q", F.monotonically_increasing_id()), f"{folder}/queries")
     dim, most = valid.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).first()
-    width = asked.agg(F.max(F.size("v"))).first()[0]
+    width, total = asked.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
     if dim is None or width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(dim, width)
@@ -204,37 +181,31 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int
     sample = np.array([list(r.v) + [0.0] * (dim - len(r.v)) for r in valid.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
     centres = choose_pivots(_lift(sample, most), min(pivots, len(sample)))
     keyed = stage(valid.mapInArrow(_keyer(centres, most, dim), "pivot int, distance double, id long, v array<double>"), f"{folder}/keyed")
-    index = stage(keyed.repartitionByRange(parts, "pivot", "distance", "id").sortWithinPartitions("pivot", "distance", "id").mapInArrow(_blocker(dim), _INDEX), f"{folder}/index")
-    asked = stage(asked.repartitionByRange(parts, "id").mapInArrow(lambda x: _query_blocker(x, dim), _QUERIES), f"{folder}/queries")
-
-    # One short row for each BLOCK vectors.
-    heads = index.select("block", "pivot", "near", "far", "n").orderBy("pivot", "near", "block").toPandas()
-    blocks = spark.sparkContext.broadcast(tuple(heads[c].to_numpy() for c in heads.columns))
-    members = index.select("block", "pivot", "near", "far", "ids", "vectors")
-
-    def looked_into(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = asked.mapInArrow(_pairer(centres, most, dim, blocks, k), "qblock long, block long")
-        rows = pairs.join(members, "block").join(asked.select("qblock", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), "floors"), "qblock")
-        return pairs, rows.select("qids", "qvectors", "floors", "pivot", "near", "far", "ids", "vectors").mapInArrow(_scorer(centres, most, dim, k), schema)
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    _, probe = looked_into(asked.withColumn("floors", F.lit(None).cast("binary")))
-    kth = stage(probe.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", "score"), f"{folder}/kth")
-    located = asked.select("qblock", "n", "ids").mapInArrow(_spread, "qblock long, place int, query_id long")
-    floors = located.join(kth, "query_id", "left").groupBy("qblock").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("score", F.lit(-(2**63))).cast("double").alias("score")))).alias("f"))
-    floors = floors.select("qblock", "f.score").mapInArrow(_pack, "qblock long, floors binary")
-    _, found = looked_into(stage(asked.join(floors, "qblock"), f"{folder}/bounded"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["ids"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["qblock"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], ["qblock", "place", "query_id"])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([r["qblock"] for r in rows], pa.int64()), pa.array([np.array(r["score"]).tobytes() for r in rows], pa.binary())], ["qblock", "floors"])
+    order = ("pivot", "distance", "id", "row")  # the last parts rows that repeat
+    index = keyed.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    index = stage(index.select("pivot", "distance", "id", "v").mapInArrow(_blocker(dim), _INDEX), f"{folder}/index")
+    ends = {r.pivot: r.far for r in index.groupBy("pivot").agg(F.max("far").alias("far")).collect()}  # a row for each pivot
+    used = np.array(sorted(ends))
+
+    found, by_query = None, Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    chunks = max(1, math.ceil(total * dim * 8 / QUERY_BYTES))
+    for chunk in range(chunks):
+        own = asked.filter(F.pmod(F.xxhash64("q"), F.lit(chunks)) == chunk).collect()
+        if not own:
+            continue
+        m = np.zeros((len(own), dim))
+        for i, r in enumerate(own):
+            m[i, : len(r.v)] = r.v
+        number, qids = np.array([r.q for r in own]), np.array([r.id for r in own])
+        x = _distances(np.column_stack([m, np.zeros(len(m))]), centres[used])
+        near = np.argsort(x, axis=1, kind="stable")[:, :2]
+        places, depths = used[near], np.minimum(np.take_along_axis(x, near, axis=1), np.array([ends[p] for p in used])[near])
+        first = spark.sparkContext.broadcast((number, qids, m, np.full(len(own), -np.inf), places, depths))
+        probed = index.mapInArrow(_scorer(centres, most, dim, k, first, True), schema)
+        kth = {r.q: float(r.score) for r in probed.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") == k).select("q", "score").collect()}
+        first.unpersist()
+        floors = np.array([kth.get(q, -np.inf) for q in number.tolist()])
+        second = spark.sparkContext.broadcast((number, qids, m, floors, places, depths))
+        best = index.mapInArrow(_scorer(centres, most, dim, k, second, False), schema)
+        found = best if found is None else found.unionByName(best)
+    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
