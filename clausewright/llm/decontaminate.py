@@ -12,9 +12,7 @@ units that are words or, in such scripts, single characters.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import mix64, scratch, small, stage, text_slices
 from .shingles import NOT_ALNUM, word_hashes
 
-BLOCK, SHARD_ITEMS, PASS_BYTES = 16, 1024, 32 << 20
+BLOCK, SHARD_ITEMS, INDEX_BYTES = 16, 1024, 64 << 20
 K1, B = 1.2, 0.75
 NGRAM, LEAD = 5, 8
 _CUT = re.compile(r"(?:\n\s*(?:A|Answer)\s*[:.]|[.?!]\s)(?=\s*\S)")
@@ -59,37 +57,48 @@ def question_answer(text: str) -> tuple[str, str]:
     return " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
 
 
-def _grams(words: np.ndarray, n: int) -> set[bytes]:
-    raw = words.tobytes()
-    return {raw[8 * i : 8 * (i + n)] for i in range(len(words) - n + 1)}
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n words."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for i in range(n):
+        out = out * _MASK + words[i : i + len(out)]
+    return mix64(out)
 
 
 class Shard:
-    """The index of up to SHARD_ITEMS items."""
-
-    def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids = [i for i, _ in items]
-        words = [_words(t) for _, t in items]
-        self.span = max(64, *(len(w) for w in words))
-        self.parts = [[(min(NGRAM, len(p)), _grams(p, min(NGRAM, len(p)))) for p in map(_words, question_answer(t))] for _, t in items]
-        mean = sum(map(len, words)) / len(words)
-        tfs = [Counter(w.tolist()) for w in words]
-        df = Counter(t for tf in tfs for t in tf)
-        self.terms = np.array(sorted(df), np.uint64)
-        at = {t: i for i, t in enumerate(self.terms.tolist())}
-        blocks = -(-len(items) // BLOCK)
-        self.impact = np.zeros((blocks, len(self.terms), BLOCK), np.float32)
-        for j, tf in enumerate(tfs):
-            long = K1 * (1 - B + B * len(words[j]) / mean)
-            own = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + long) for t, f in tf.items()}
-            total = sum(own.values())
-            for t, v in own.items():
-                self.impact[j // BLOCK, at[t], j % BLOCK] = v / total
-        self.block_max = np.ascontiguousarray(self.impact.max(axis=2).T)
+    """The index of up to SHARD_ITEMS items (item_id, text, number of words, terms, how often each comes, items that have it): postings by block, block maxima by term.
+
+    `items` and `mean` are the number and mean length of all items of the benchmark.
+    """
+
+    def __init__(self, rows: list[tuple], items: int, mean: float):
+        self.ids = [r[0] for r in rows]
+        self.span = max(64, *(r[2] for r in rows))
+        self.parts = [[(min(NGRAM, len(p)), np.unique(_runs(p, min(NGRAM, len(p))))) for p in map(_words, question_answer(r[1]))] for r in rows]
+        count = np.array([len(r[3]) for r in rows])
+        term = np.concatenate([np.asarray(r[3], np.int64) for r in rows]).view(np.uint64)
+        tf, df = (np.concatenate([np.asarray(r[i], float) for r in rows]) for i in (4, 5))
+        item = np.repeat(np.arange(len(rows)), count)
+        long = K1 * (1 - B + B * np.array([r[2] for r in rows], float)[item] / mean)
+        impact = np.log(1 + (items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + long)
+        impact /= np.bincount(item, impact)[item]
+        self.terms, at = np.unique(term, return_inverse=True)
+        self.block_max = np.zeros((len(self.terms), -(-len(rows) // BLOCK)), np.float32)
+        np.maximum.at(self.block_max, (at, item // BLOCK), impact)
         self.term_max = self.block_max.max(axis=1)
+        self.postings = []
+        for b in range(self.block_max.shape[1]):
+            own = item // BLOCK == b
+            have, row = np.unique(at[own], return_inverse=True)
+            held = np.zeros((len(have), BLOCK), np.float32)
+            held[row, item[own] % BLOCK] = impact[own]
+            self.postings.append((have.astype(np.int32), held))
         self.hit = np.zeros(1 << 16, bool)
         self.hit[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.terms, self.block_max, self.term_max, self.hit)) + sum(t.nbytes + h.nbytes for t, h in self.postings) + sum(g.nbytes + 200 for parts in self.parts for _, g in parts)
+
     def search(self, words: np.ndarray, start: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float]]:
         """(document, first word of the passage in it, item, score) of all passages: 2 * span words, every span words."""
         maybe = np.flatnonzero(self.hit[(words & np.uint64(0xFFFF)).astype(np.int64)])
@@ -120,7 +129,11 @@ class Shard:
         for b in np.flatnonzero(bound.any(axis=0)).tolist():
             own = bound[:, b]
             rows, sizes = term[np.repeat(own, size)], size[own]
-            score = np.add.reduceat(self.impact[b][rows].astype(np.float64), np.cumsum(sizes) - sizes, axis=0)
+            have, held = self.postings[b]
+            at = np.minimum(np.searchsorted(have, rows), len(have) - 1)
+            among = have[at] == rows  # each of these passages has a term of the block
+            of = np.repeat(np.arange(len(sizes)), sizes)[among]
+            score = np.add.reduceat(held[at[among]].astype(np.float64), np.searchsorted(of, np.arange(len(sizes))), axis=0)
             which = passage[cut[own]]
             for p, j in zip(*np.nonzero(score >= threshold - 1e-6), strict=True):
                 item = b * BLOCK + int(j)
@@ -128,13 +141,13 @@ class Shard:
                     d = int(np.searchsorted(first, which[p], "right") - 1)
                     yield d, int((which[p] - first[d]) * self.span), item, float(score[p, j])
 
-    def overlap(self, item: int, passage: np.ndarray, grams: dict[int, set[bytes]]) -> tuple[float, float]:
+    def overlap(self, item: int, passage: np.ndarray, grams: dict[int, np.ndarray]) -> tuple[float, float]:
         """The shares of the question's and of the answer's n-grams that the passage has."""
         shares = []
         for n, own in self.parts[item]:
             if n not in grams:
-                grams[n] = _grams(passage, n) if n else set()
-            shares.append(len(own & grams[n]) / len(own) if own else 0.0)
+                grams[n] = _runs(passage, n) if n else np.zeros(0, np.uint64)
+            shares.append(float(np.isin(own, grams[n]).mean()) if len(own) else 0.0)
         return shares[0], shares[1]
 
 
@@ -149,21 +162,17 @@ class Runs:
             units = word_hashes(raw, np.array([0, len(raw)]), NOT_ALNUM)[0]
             if len(units):
                 lead = min(len(units), LEAD)
-                by.setdefault(lead, {}).setdefault(int(self._leads(units[:lead], lead)[0]), []).append(len(self.items))
+                by.setdefault(lead, {}).setdefault(int(_runs(units[:lead], lead)[0]), []).append(len(self.items))
                 self.items.append((key, item_id, units))
         self.by = {lead: (np.array(sorted(own), np.uint64), [own[h] for h in sorted(own)]) for lead, own in by.items()}
 
-    @staticmethod
-    def _leads(units: np.ndarray, lead: int) -> np.ndarray:
-        out = np.zeros(max(0, len(units) - lead + 1), np.uint64)
-        for i in range(lead):
-            out = out * _MASK + units[i : i + len(out)]
-        return mix64(out)
+    def bytes(self) -> int:
+        return sum(u.nbytes + 400 for *_, u in self.items)
 
     def search(self, units: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(document, first unit, item) of each item's first place in each document that holds it."""
         for lead, (hashes, owners) in self.by.items():
-            found = self._leads(units, lead)
+            found = _runs(units, lead)
             which = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
             place = np.flatnonzero(hashes[which] == found)
             doc = np.searchsorted(start, place, "right") - 1
@@ -196,7 +205,7 @@ def _searcher(shared, threshold: float, overlap: float):
                 words, start = word_hashes(data, at, NOT_ALNUM)
                 for k, shard in enumerate(shards):
                     best: dict[tuple[int, int], tuple] = {}
-                    grams: dict[tuple[int, int], dict] = {}
+                    grams: dict[tuple[int, int], dict[int, np.ndarray]] = {}
                     for d, first, item, score in shard.search(words, start, threshold):
                         passage = words[start[d] + first : min(start[d + 1], start[d] + first + 2 * shard.span)]
                         q, a = shard.overlap(item, passage, grams.setdefault((d, first), {}))
@@ -212,36 +221,90 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
     """A row for each document and benchmark item that it contains: doc_id, item_id, first_word (of the passage that matches best), score, question_overlap, answer_overlap.
 
     A passage is `2 * span` words at every `span` words of the whole text, where span is 64 or the longest item of its index
-    shard; words are lower-case runs of letters and digits. Retrieved: score of at least `threshold`. Verified: at least the
+    shard (SHARD_ITEMS items of like length); words are lower-case runs of letters and digits. Retrieved: score of at least `threshold`. Verified: at least the
     share `overlap` of the n-grams (5 words) of the item's question, and of its answer, occur in the passage. Items of fewer
     than `min_words` words and those in scripts without spaces (see _SCRIPTS) are found where all of their units stand in one
     run, whatever cuts them; first_word is then the first unit, score and overlaps are 1. Such an item of one common word is
     found in every document with that word. Items without a unit tell nothing; rows that repeat an item_id are items of their own.
     Null and empty texts contain nothing; null ids are returned as null. Other columns of `docs` and `items` take no part.
-    Items are indexed on the driver in passes of about PASS_BYTES of text, and each pass's index is broadcast.
+    How many items have a word, and their number and mean length, are counted over all items. The index is built on the driver,
+    item by item in order of length, and broadcast in passes of about INDEX_BYTES, each of which reads `docs` once.
     """
-    spark = docs.sparkSession
+    found, _ = _contaminated(docs, items, threshold, overlap, min_words, id_col, text_col)
+    return found
+
+
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        for text in batch.column(1).to_pylist():
+            words = _words(text)
+            term, count = np.unique(words, return_counts=True)
+            rows.append((len(words), term.view(np.int64), count))
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["n", "words", "terms", "counts"])
+
+
+def _indexes(items: DataFrame, min_words: int, folder: str) -> Iterator[tuple[list[Shard], Runs]]:
+    """The items' index, pass by pass."""
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0")
-    passes = max(1, math.ceil((wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / PASS_BYTES))
+    wanted = stage(wanted.withColumn("n", F.monotonically_increasing_id()), f"{folder}/items")
+    counted = stage(wanted.select("n", "text").mapInArrow(_terms_of, "n long, words long, terms array<long>, counts array<long>"), f"{folder}/terms")
+    indexed = counted.filter(F.col("words") >= min_words)
+    total, mean = indexed.agg(F.count(F.lit(1)), F.avg("words")).first()
+    single = indexed.select("n", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("n", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
+    df = small(stage(single.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{folder}/df"))
+    listed = single.join(df, "term").groupBy("n").agg(F.collect_list(F.struct("term", "tf", "df")).alias("t"))
+    listed = listed.select("n", "t.term", "t.tf", "t.df")
+    ordered = wanted.join(counted.select("n", "words"), "n").join(listed, "n", "left").orderBy("words", "item_id", "text", "n")
+    shards: list[Shard] = []
+    held: list[tuple] = []
+    runs: list[tuple] = []
+    size = 0
+
+    def closed() -> tuple[list[Shard], Runs]:
+        nonlocal shards, runs, size
+        out = shards, Runs(runs)
+        shards, runs, size = [], [], 0
+        return out
+
+    for r in stage(ordered, f"{folder}/ordered").orderBy("words", "item_id", "text", "n").toLocalIterator(prefetchPartitions=False):
+        if r.words < min_words:
+            runs.append(((-1, r.n), r.item_id, r.text))
+            size += 400 + 8 * len(r.text)
+        else:
+            if pc.match_substring_regex(pa.array([r.text]), f"[{_SCRIPTS}]")[0].as_py():
+                runs.append(((len(shards), len(held)), r.item_id, r.text))
+                size += 400 + 8 * len(r.text)
+            held.append((r.item_id, r.text, r.words, r.term, r.tf, r.df))
+        if len(held) == SHARD_ITEMS or held and size + 300 * sum(len(h[3]) for h in held) >= INDEX_BYTES:
+            shards.append(Shard(held, total, mean))
+            size, held = size + shards[-1].bytes(), []
+        if not held and size >= INDEX_BYTES:
+            yield closed()
+    if held:
+        shards.append(Shard(held, total, mean))
+    yield closed()
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.5, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list]:
+    """What contaminated() returns, and the broadcast indexes that it holds."""
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
-    out = None
-    for p in range(passes):
-        rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).toLocalIterator()
-        own = sorted(((len(_words(r.text)), r.item_id, r.text) for r in rows), key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2]))
-        short = [x for x in own if x[0] < min_words]
-        own = own[len(short) :]
-        shards = [Shard([(i, t) for _, i, t in own[k : k + SHARD_ITEMS]]) for k in range(0, len(own), SHARD_ITEMS)]
-        single = pc.match_substring_regex(pa.array([t for *_, t in own], pa.string()), f"[{_SCRIPTS}]").to_pylist()
-        runs = Runs([((-1, n), i, t) for n, (_, i, t) in enumerate(short)] + [(divmod(n, SHARD_ITEMS), i, t) for n, (_, i, t) in enumerate(own) if single[n]])
-        found = source.mapInArrow(_searcher(spark.sparkContext.broadcast((shards, runs)), threshold, overlap), schema)
+    out, indexes = None, []
+    for index in _indexes(items, min_words, scratch(spark)):
+        indexes.append(spark.sparkContext.broadcast(index))
+        found = source.mapInArrow(_searcher(indexes[-1], threshold, overlap), schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return out, indexes
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """`docs` without the documents that contain an item (see contaminated()); all columns and all other rows stay, those with a null id too."""
     id_col = how.get("id_col", "doc_id")
-    leaks = stage(contaminated(docs, items, **how).select(F.col("doc_id").alias("_leak")).distinct(), f"{scratch(docs.sparkSession)}/leaks")
-    leaks = small(leaks)
+    found, indexes = _contaminated(docs, items, **how)
+    leaks = small(stage(found.select(F.col("doc_id").alias("_leak")).distinct(), f"{scratch(docs.sparkSession)}/leaks"))
+    for index in indexes:
+        index.unpersist()
     return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
