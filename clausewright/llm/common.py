@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a driver-side count may confirm before a table of (id, small values) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes in their columns, that a count may confirm before a table is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 #: Bytes of text that a numpy kernel takes at a time (a longer document is taken alone).
 SLICE_BYTES = 1 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -37,8 +37,11 @@ def stage(df: DataFrame, path: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks `df` for broadcast if it is counted to have no more than `rows` rows; else leaves the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marks `df` for broadcast if it is counted to have no more than `rows` rows and BROADCAST_BYTES; else leaves the join to Spark."""
+    text = [F.octet_length(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
+    size = sum(text, F.lit(8 * len(df.columns))).cast("long")
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

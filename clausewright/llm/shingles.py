@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64
+from .common import SLICE_BYTES, mix64
 
 _P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -14,17 +14,18 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER += 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers = (np.zeros(0, np.uint64),) * 2
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        if size > 1 << 22:  # for a single very long text; not worth keeping
-            return _make_powers(size)
-        _powers[size] = _make_powers(size)
-    return _powers[size]
+    """P**i and P**-i modulo 2**64 for i < n at least. A worker keeps one table, as large as a slice needs; a longer text's is dropped."""
+    global _powers
+    if n <= len(_powers[0]):
+        return _powers
+    made = _make_powers(max(1 << 16, n) if n > SLICE_BYTES else min(SLICE_BYTES, 1 << max(16, (n - 1).bit_length())))
+    if n <= SLICE_BYTES:
+        _powers = made
+    return made
 
 
 def _make_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
