@@ -24,10 +24,19 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id; rows that repeat an id share its fate, and rows without one stay."""
-    judged = near_duplicates(docs, words=5, percent=80)
-    gone = stage(judged.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), f"{scratch(spark)}/gone")
-    return docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One document of each near-duplicate group, that of the smallest doc_id.
+
+    Rows that repeat an id with one text count as one document: one of them stays; with other texts they share the id's fate.
+    Rows without an id are in no group, but of those of one text one stays too.
+    """
+    folder = scratch(spark)
+    judged = stage(near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"), f"{folder}/judged")
+    gone = small(stage(judged.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), f"{folder}/gone"))
+    again = small(stage(judged.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), f"{folder}/again"))
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    repeated = F.col("doc_id").eqNullSafe(F.col("_again"))
+    once = kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, repeated, "left_anti").unionByName(once)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
