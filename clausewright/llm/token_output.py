@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, row_slices, scratch
+from .common import row_slices, scratch
 from .rans import decode_segment, encode_segment
 from .tokenize import encoder
 
 #: Ids that share one frequency table; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 21
+#: Bytes of text that are encoded at a time.
+TEXT_BYTES = 4 << 20
 #: The place of rows without an id.
 NULL_ID = -(1 << 63)
 FILE_SCHEMA = "part int, segment int, start long, n_docs long, n_tokens long, data binary"
@@ -42,7 +44,7 @@ def _tokenizer(path: str, end_id: int, bounds: list[int]):
         tokens = encoder(path)
         wide = np.dtype("<u2" if max(tokens.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
-            for row, n in row_slices(batch.column(1), SLICE_BYTES):
+            for row, n in row_slices(batch.column(1), TEXT_BYTES):
                 ids = batch.column(0).slice(row, n)
                 flat, sizes = tokens.encode(batch.column(1).slice(row, n))
                 ends = np.cumsum(sizes)

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that the cache of a worker holds at most.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 BETWEEN = "~"
 #: Fixed: the pattern of pre-tokens for which _CUTS holds.
 _PRE_TOKENS = str({"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
