@@ -1,7 +1,6 @@
 """Patterns, words and texts that the results depend on."""
 
 STANDARD = r"(?<![A-Za-z])(GBJ|GB|JGJ|CJJ|DB(?U:\d){2}|T)(?U:\s)*(/(?:(?U:\s)*T)?)?(?U:\s)*((?U:\d){2,5})(?:(?U:\s)*[-—–](?U:\s)*((?U:\d){4}))?"
-LEVELS = r"(?U)(\d{1,2}(?:\s*[.．]\s*\d{1,3}){1,3})"
 LABELLED = rf"(?U)(?:第\s*)?(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*[.．]\s*条)?\s*条|第\s*(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})"
 BARE = rf"(?U)(?:表|附表)?\s*(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*-\s*\d{{1,2}})?"
 APPENDIX = r"(?U)(?:附\s*[表录]\s*([A-Za-z])\b|附录\s*([一二三四五六七八九十]+))"
@@ -12,6 +11,8 @@ DASHES, PLAIN_DASHES = "－—–‐−", "-----"
 
 REFUSAL = "本知识库未收录该内容"
 NO_HIT_REPLY = "本知识库未收录该内容。"
+#: Faults of a whole answer in words.
+REASONS = {"empty_answer": "答案为空", "model_refused": "模型按铁律拒答", "no_citation": "答案没有标注任何条文号，无法核实出处"}
 EXTRACT_HEAD = "【降级·抽取式回答】模型生成的回答未通过引用校验，以下直接引用检索片段原文："
 
 QUESTION_CHARS = "的了吗呢吧啊什么怎样怎么如何为啥哪些哪个多少能否可否可以应该需要要求规定是否包括请给出说明一下为什么这那有以为对把被几多个条条款项"

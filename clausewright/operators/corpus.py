@@ -29,6 +29,19 @@ def listed_missing(chunks: DataFrame, listed: DataFrame | None = None) -> DataFr
     return F.broadcast(rules).join(have, ["standard", "article_no"], "left_anti")
 
 
+def without_rules(chunks: DataFrame) -> DataFrame:
+    """Standards of the corpus for which no rule gives a status."""
+    known = [*R.FULL_STANDARDS, *(s for s, *_ in R.LISTED)]
+    return chunks.select("standard").distinct().filter(~F.coalesce(F.col("standard").isin(*known), F.lit(False)))
+
+
+def untraced(contexts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows of `contexts` (text) whose exact text no chunk has; a null text is in none."""
+    have = chunks.select(F.sha2("text", 256).alias("_text"), F.length("text").alias("_chars")).distinct()
+    rows = contexts.withColumn("_text", F.sha2("text", 256)).withColumn("_chars", F.length("text"))
+    return rows.join(have, ["_text", "_chars"], "left_anti").drop("_text", "_chars")
+
+
 def split_clauses(lines: DataFrame) -> DataFrame:
     """`lines` (file, line, text) to clauses: file, article_no, text, page_start, page_end.
 

@@ -33,7 +33,7 @@ def extracts(hits: DataFrame, most: int = 400) -> DataFrame:
 
 
 def apply_policy(verified: DataFrame, extract: DataFrame, relevant: DataFrame | None = None) -> DataFrame:
-    """`verified` with final, strategy (keep, extractive, refuse) and degraded; questions out of domain get no extract."""
+    """`verified` with final, strategy (keep, extractive, refuse), degraded and sources: what is cited of a kept answer, the origin of an extract, nothing of a refusal. Questions out of domain get no extract."""
     rows = verified.join(extract, "qid", "left")
     if relevant is not None:
         rows = rows.join(relevant.select("qid", "in_domain"), "qid", "left")
@@ -41,9 +41,21 @@ def apply_policy(verified: DataFrame, extract: DataFrame, relevant: DataFrame |
     strategy = F.when(F.col("refusal_only"), "refuse").when(F.col("ok"), "keep").when(~domain, "refuse").when(F.col("extract").isNotNull(), "extractive").otherwise("refuse")
     rows = rows.withColumn("strategy", strategy)
     final = F.when(F.col("strategy") == "keep", F.col("answer")).when(F.col("strategy") == "extractive", F.col("extract")).otherwise(R.NO_HIT_REPLY)
+    full = lambda standard, number, name, score: F.struct(standard.alias("standard"), number.alias("article_no"), name.alias("standard_name"), score.alias("score"))
+    kept = F.transform("cited", lambda c: full(c["standard"], c["article_no"], F.lit(None).cast("string"), F.lit(None).cast("double")))
+    quoted = F.array(full(F.col("source.standard"), F.col("source.article_no"), F.col("source.standard_name"), F.col("source.score")))
+    sources = F.when(F.col("strategy") == "keep", kept).when(F.col("strategy") == "extractive", quoted).otherwise(F.array().cast("array<struct<standard:string,article_no:string,standard_name:string,score:double>>"))
+    rows = rows.withColumn("sources", sources)
     return rows.withColumn("final", final).withColumn("degraded", ~F.col("refusal_only") & ~F.col("ok"))
 
 
 def refused(decided: DataFrame, used_model: str = "used_model") -> DataFrame:
     """`decided` with `refused`: by policy, by the model, or unverified without a model."""
     return decided.withColumn("refused", (F.col("strategy") == "refuse") | F.col("refusal_only") | (~F.col("ok") & ~F.col(used_model)))
+
+
+def summarize(decided: DataFrame) -> DataFrame:
+    """What a client may see of a decision: verdicts, no texts of the model; with `in_domain`, n_hits and top_score where `decided` has them."""
+    more = [c for c in ("in_domain", "n_hits", "top_score") if c in decided.columns]
+    relevance = [F.struct(*more).alias("relevance")] if more else []
+    return decided.select("qid", "ok", "codes", "cited", "unverified", "coverage", "strategy", "degraded", *relevance)

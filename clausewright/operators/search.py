@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.vectors import cosine
 from .predicates import Where, compile_where
 
-#: Questions that are broadcast against all rows at a time; larger batches run in blocks of about so many.
-QUESTIONS = 10_000
+#: Questions, and bytes of their vectors, that are broadcast against all rows at a time; larger batches run in blocks of about so many.
+QUESTIONS, QUESTION_BYTES = 10_000, 16 << 20
 
 
 def top_k_single(rows: DataFrame, vector: list[float], k: int = 5, where: Where | None = None, min_score: float | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -21,23 +26,91 @@ def top_k_single(rows: DataFrame, vector: list[float], k: int = 5, where: Where
     return best if min_score is None else best.filter(F.col("score") >= min_score)
 
 
-def top_k(rows: DataFrame, questions: DataFrame, k: int = 5, where: Where | None = None, min_score: float | None = None, pair: Column | None = None, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", qvector_col: str = "qvector") -> DataFrame:
-    """The k best rows for each question, with `rank` from 1; ties to the smaller id.
+def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of length 1, and which have a score: of `dim` components, all finite, not all zero."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = pc.cast(lists.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), dim))
+    fits = np.flatnonzero(np.diff(ends) == dim)
+    out[fits] = flat[ends[fits][:, None] + np.arange(dim)]
+    norm = np.sqrt((out * out).sum(axis=1))
+    valid = np.isfinite(norm) & (norm > 0)
+    valid[np.diff(ends) != dim] = False
+    out[valid] /= norm[valid, None]
+    out[~valid] = 0
+    return out, valid
 
-    The questions are broadcast against all rows in blocks, as many as keep a block at about QUESTIONS; a question is whole in
-    one block (by a hash of its qid), so its ranks are those of a single block. Ranks above k are cut before and after the one
-    exchange (by question) of each block. `pair`: a condition on question and row.
+
+def _best(shared, k: int, others_only: bool, id_col: str, vector_col: str, qid_col: str):
+    """The rows of each batch that are among the k best of their question so far in the task, with the question's columns and the score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, unit, ids = shared.value
+        kth = np.full(len(unit), -np.inf)
+        for batch in batches:
+            own, valid = _units(batch.column(batch.schema.get_field_index(vector_col)), unit.shape[1])
+            row_ids = batch.column(batch.schema.get_field_index(id_col))
+            order = np.argsort(pc.rank(row_ids, tiebreaker="first").to_numpy(), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            same = np.array(row_ids.to_pylist(), object) if others_only else None
+            chosen, of, scores = [], [], []
+            for first in range(0, len(unit), 256):
+                near = unit[first : first + 256] @ own.T
+                near[:, ~valid] = -np.inf
+                for j, line in enumerate(near, first):
+                    fits = np.flatnonzero(line >= kth[j] - 1e-9) if kth[j] > -np.inf else np.flatnonzero(valid)
+                    if same is not None and ids[j] is not None:
+                        fits = fits[same[fits] != ids[j]]
+                    if len(fits) > 4 * k:  # the k best and what ties with them
+                        least = np.partition(line[fits], -k)[-k]
+                        fits = fits[line[fits] >= least - 1e-9]
+                    if not len(fits):
+                        continue
+                    exact = (own[fits] * unit[j]).sum(axis=1)  # in one order of summing for all rows, so equal rows tie
+                    top = np.lexsort((place[fits], -exact))[:k]
+                    if len(top) == k:
+                        kth[j] = max(kth[j], exact[top[-1]])
+                    chosen.append(fits[top])
+                    of.append(np.full(len(top), j))
+                    scores.append(exact[top])
+            if chosen:
+                rows = batch.take(pa.array(np.concatenate(chosen)))
+                questions = asked.take(pa.array(np.concatenate(of)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *questions.columns, pa.array(np.concatenate(scores))], [*rows.schema.names, *questions.schema.names, "score"])
+
+    return run
+
+
+def top_k(rows: DataFrame, questions: DataFrame, k: int = 5, where: Where | None = None, min_score: float | None = None, others_only: bool = False, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", qvector_col: str = "qvector") -> DataFrame:
+    """The k best rows by cosine for each question, with all columns of both, `score`, and `rank` from 1; ties to the smaller id.
+
+    The questions are a stated set: they are broadcast in blocks of about QUESTION_BYTES and QUESTIONS, by a hash of qid, so a
+    question is whole in one block. Each task keeps the k best of its rows by matrix products, and one exchange by question
+    ranks what the tasks found. Vectors that are null or zero, hold a null or non-finite component, or have another length than
+    the longest question's, take no part. `others_only`: a row is no hit of the question of its own id.
     """
-    blocks = max(1, math.ceil(questions.count() / QUESTIONS))
-    found = None
-    for b in range(blocks):
-        own = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b)
-        asked = F.broadcast(own.select(*(F.col(c).alias(c) for c in questions.columns)))
-        both = rows.filter(compile_where(where)).join(asked, F.lit(True) if pair is None else pair, "inner")
-        scored = both.withColumn("score", cosine(F.col(vector_col), F.col(qvector_col))).filter("score is not null")
-        order = Window.partitionBy(qid_col).orderBy(F.desc("score"), id_col)
-        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= (k or 5))
-        found = best if found is None else found.unionByName(best)
+    spark, k = rows.sparkSession, k or 5
+    kept = rows.filter(compile_where(where))
+    schema = StructType([*kept.schema.fields, *questions.schema.fields, StructField("score", DoubleType())])
+    dim, total, held = questions.agg(F.max(F.size(qvector_col)), F.count(F.lit(1)), F.sum(F.size(qvector_col) * 8)).first()
+    found, order = None, Window.partitionBy(qid_col).orderBy(F.desc("score"), id_col)
+    blocks = max(1, math.ceil(total / QUESTIONS), math.ceil((held or 0) / QUESTION_BYTES))
+    for b in range(blocks if total and dim and dim > 0 else 0):
+        own = questions.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if not own.num_rows:
+            continue
+        unit, valid = _units(own.column(qvector_col), dim)
+        asked = own.filter(pa.array(valid)).combine_chunks()
+        asked = asked.to_batches()[0] if asked.num_rows else None
+        if asked is not None:
+            shared = spark.sparkContext.broadcast((asked, unit[valid], asked.column(asked.schema.get_field_index(qid_col)).to_pylist()))
+            best = kept.mapInArrow(_best(shared, k, others_only, id_col, vector_col, qid_col), schema)
+            found = best if found is None else found.unionByName(best)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return found if min_score is None else found.filter(F.col("score") >= min_score)
 
 

@@ -3,18 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.text import strip
+from ..functions.text import shortened, strip
 from ..operators.citations import verify
 from ..operators.policy import apply_policy, extracts, refused, relevance
 from ..operators.predicates import Where, with_default_kind
 from ..operators.search import top_k
+from ..sources.staging import shared_folder, staged
 
-RULES = "只依据【检索片段】作答；每个结论标注规范号与条文号；条文号必须逐字出现在片段中；片段未涉及时回答：本知识库未收录该内容。"
+#: What the generator is told.
+RULES = "\n".join(
+    (
+        "你只能依据【检索片段】回答建筑规范问题。",
+        "一、片段以外的知识、经验和推测一律不用。",
+        "二、每个结论都写明出处，形如【GB 50352-2019】2.0.16。",
+        "三、条文号必须逐字见于片段，不推断、不拼接、不补全。",
+        "四、片段与问题无关时，只答：本知识库未收录该内容。",
+        "五、片段缺少具体数值时，说明该数值在收录内容中缺失。",
+        "六、不同规范的条文不合并成一条。",
+        "七、图示、设备型号等未覆盖的内容，说明未收录。",
+    )
+)
+#: What to do about a status of the generator's server.
+HINTS = {400: "check the model's name and the messages", 401: "check the key and its region", 403: "check that the service is enabled for the key", 429: "wait, or check the balance", 500: "try again later", 503: "try again later"}
+
+
+class ChatError(RuntimeError):
+    """A failed call of a generator; `status` as of HTTP, where there is one."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(f"HTTP {status}: {HINTS.get(status, 'unknown status')}: {message}" if status else message)
 
 
 def validate(requests: DataFrame) -> DataFrame:
@@ -39,26 +64,71 @@ def messages(questions: DataFrame, context: DataFrame) -> DataFrame:
     return questions.join(context, "qid", "left").select("qid", F.lit(RULES).alias("system"), user.alias("user"))
 
 
-def generate(prompts: DataFrame, chat: Callable[[str, str], str]) -> DataFrame:
-    """(qid, answer) by an injected generator, called once for each row on the executors."""
+def encode(questions: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
+    """`questions` with `qvector`, by an injected encoder: `encoder()` loads it, once for each task, and it takes texts batch by batch. A null question counts as empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"qid": frame["qid"], "answer": [chat(s, u) for s, u in zip(frame["system"], frame["user"], strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_vectors = encoder()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("question")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to_vectors(texts), pa.list_(pa.float64()))], [*batch.schema.names, "qvector"])
+
+    base = questions.drop("qvector")
+    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("qvector", ArrayType(DoubleType()))]))
 
-    return prompts.mapInPandas(run, f"qid {dict(prompts.dtypes)['qid']}, answer string")
 
+def generate(prompts: DataFrame, chat: Callable[[str, str], str | tuple[str, int]], timeout: float = 90) -> DataFrame:
+    """(qid, answer, tokens, error) by an injected generator, called once for each row on the executors.
 
-def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str], str] | None, k: int = 5, where: Where | None = None, min_score: float | None = None, min_run: int = 0) -> DataFrame:
-    """(qid, final, strategy, degraded, refused, codes, coverage, in_domain) for `questions` (qid, question, qvector).
+    `chat` returns a text, or a text and the tokens it used. Where it raises ChatError, or takes longer than `timeout` seconds,
+    the answer is null and `error` says why.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for system, user in zip(frame["system"], frame["user"], strict=True):
+                pool = ThreadPoolExecutor(1)
+                try:
+                    got = pool.submit(chat, system, user).result(timeout)
+                    made.append((*got, None) if isinstance(got, tuple) else (got, None, None))
+                except ChatError as e:
+                    made.append((None, None, str(e)))
+                except TimeoutError:
+                    made.append((None, None, f"no answer within {timeout:g} seconds"))
+                finally:
+                    pool.shutdown(wait=False)
+            yield pd.DataFrame({"qid": frame["qid"], "answer": [m[0] for m in made], "tokens": pd.array([m[1] for m in made], "Int64"), "error": [m[2] for m in made]})
+
+    return prompts.mapInPandas(run, f"qid {dict(prompts.dtypes)['qid']}, answer string, tokens long, error string")
+
+
+def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str], str | tuple[str, int]] | None, k: int = 5, where: Where | None = None, min_score: float | None = None, min_run: int = 0, encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, timeout: float = 90) -> DataFrame:
+    """(qid, final, strategy, degraded, refused, codes, reasons, sources, coverage, in_domain, tokens, error) for `questions` (qid, question, and qvector unless an encoder is given).
 
     Questions without hits or out of domain do not reach the generator; without a generator (`chat` None) no answer is made.
+    Hits and answers are written to the shared folder before they are verified: the generator is called once for each question,
+    and what is verified is what is returned, also where an executor is lost. A call that fails leaves an empty answer.
     """
-    hits = top_k(chunks, questions.select("qid", "qvector"), k, with_default_kind(where), min_score)
+    folder = shared_folder(chunks.sparkSession)
+    if encoder is not None:
+        questions = staged(encode(questions, encoder), f"{folder}/questions")
+    hits = staged(top_k(chunks, questions.select("qid", "qvector"), k, with_default_kind(where), min_score).drop("embedding", "qvector"), f"{folder}/hits")
     relevant = relevance(questions, hits, min_run)
     open_questions = questions.join(relevant.filter("in_domain").select("qid"), "qid", "left_semi")
-    made = generate(messages(open_questions, render(hits)), chat) if chat else open_questions.select("qid", F.lit("").alias("answer"))
+    no_answer = (F.lit(None).cast("string").alias("answer"), F.lit(None).cast("long").alias("tokens"), F.lit(None).cast("string").alias("error"))
+    made = generate(messages(open_questions, render(hits)), chat, timeout) if chat else open_questions.select("qid", *no_answer)
+    made = staged(made, f"{folder}/answers")
     answers = questions.select("qid").join(made, "qid", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
     decided = apply_policy(verify(answers, hits), extracts(hits), relevant)
     flagged = refused(decided.withColumn("used_model", F.coalesce("in_domain", F.lit(False)) & F.lit(chat is not None)))
-    return flagged.select("qid", "final", "strategy", "degraded", "refused", "codes", "coverage", "in_domain")
+    flagged = flagged.join(made.select("qid", "tokens", "error"), "qid", "left")
+    return flagged.select("qid", "final", "strategy", "degraded", "refused", "codes", "reasons", "sources", "coverage", "in_domain", "tokens", "error")
+
+
+def shown(hits: DataFrame, most: int = 200) -> DataFrame:
+    """(qid, text): the hits of each question as lines for a terminal, texts cut to `most` characters."""
+    named = lambda c, missing: F.coalesce(F.col(c), F.lit(missing))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 相似度 "), F.format_string("%.4f", F.col("score").cast("double")), F.lit("\n    《"), named("standard_name", "?"), F.lit("》"), named("standard", "?"), F.lit("  第 "), named("article_no", "?"), F.lit(" 条  ［"), named("status", ""), F.lit("；"), named("force_status", ""), F.lit("］\n    "), shortened(F.replace(strip(named("text", "")), F.lit("\n"), F.lit(" ")), most, "…"))
+    rows = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
+    return rows.select("qid", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))

@@ -80,7 +80,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _asked(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
     return _vectors(spark, sf_dir).filter(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("embedding").alias("qvector"), F.col("label").alias("qlabel"))
 
 
@@ -90,7 +90,7 @@ _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding A
 def _topk_sql(where: str = "true", k: int = 5, floor: str = "true", pair: str = "true") -> str:
     return f"""SELECT qid, vec_id, rank, round(score, 6) AS score FROM (
         SELECT q.vec_id AS qid, e.vec_id, {_COS} AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INTEGER) AS rank
-        FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND {pair} AND ({where})) WHERE rank <= {k} AND {floor}"""
+        FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {pair} AND ({where})) WHERE rank <= {k} AND {floor}"""
 
 
 def _ranked(found: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def article_index_max(spark, d):
 
 @query("citation_classify", f"WITH {_HITS}, {_CITES} SELECT qid, coalesce(code, 'ok') AS code, count(*) AS n FROM j GROUP BY ALL")
 def citation_classify(spark, d):
-    judged = citations.classify(citations.cited_clauses(answers(spark, d)), citations.article_index(hits(spark, d)))
+    judged = citations.classify(citations.cited_clauses(answers(spark, d)), hits(spark, d))
     return judged.groupBy("qid", F.coalesce("code", F.lit("ok")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -209,6 +209,22 @@ def citation_verify(spark, d):
     return v.select("qid", "ok", F.array_join(F.sort_array("codes"), ",").alias("codes"), F.size("unverified").alias("n_unverified"), F.size("cited").alias("n_cited"), "coverage")
 
 
+_REASONS = """w AS (SELECT qid, code, CASE code WHEN 'not_in_hits' THEN '条文号 ' || a || '.' || b || ' 不在本次检索片段里'
+        WHEN 'standard_mismatch' THEN '第 ' || a || '.' || b || ' 条出自 ' || array_to_string(list_transform(owners, lambda o: 'GB ' || o || '-2019'), '、') || '，答案却标成 GB ' || named || '-2019'
+        ELSE '第 ' || a || '.' || b || ' 条在 ' || array_to_string(list_transform(owners, lambda o: 'GB ' || o || '-2019'), '、') || ' 里都有，答案没有指明出处' END AS reason FROM j LEFT JOIN o USING (qid, a, b) WHERE code IS NOT NULL)"""
+
+
+@query("citation_reasons", f"WITH {_HITS}, {_CITES}, {_REASONS} SELECT DISTINCT qid, reason FROM w")
+def citation_reasons(spark, d):
+    return citations.verify(answers(spark, d), hits(spark, d)).select("qid", F.explode("reasons").alias("reason"))
+
+
+@query("policy_sources", f"WITH {_HITS}, {_CITES}, bad AS (SELECT DISTINCT qid FROM j WHERE code IS NOT NULL) SELECT qid, count(*) AS n FROM j WHERE qid NOT IN (SELECT qid FROM bad) GROUP BY qid UNION ALL SELECT qid, 1 AS n FROM bad")
+def policy_sources(spark, d):
+    decided = policy.apply_policy(citations.verify(answers(spark, d), hits(spark, d)), policy.extracts(hits(spark, d)))
+    return decided.select("qid", F.size("sources").cast("long").alias("n"))
+
+
 @query("not_in_hits_anti", f"WITH {_HITS}, {_CITES} SELECT qid, a || '.' || b AS key, count(*) AS n FROM j WHERE code = 'not_in_hits' GROUP BY ALL")
 def not_in_hits_anti(spark, d):
     rows = citations.not_in_hits(citations.cited_clauses(answers(spark, d)), citations.article_index(hits(spark, d)))
@@ -235,7 +251,7 @@ def relevance_stats(spark, d):
 
 def _ranks(spark, d) -> tuple[DataFrame, DataFrame]:
     asked = _asked(spark, d, 10)
-    found = search.top_k(_vectors(spark, d), asked, 10, pair=F.col("id") != F.col("qid"))
+    found = search.top_k(_vectors(spark, d), asked, 10, others_only=True)
     gold = asked.select("qid", F.col("qlabel").alias("label"))
     return found, evaluation.gold_ranks(asked, found, gold, ["label"]).join(asked.select("qid", "qlabel"), "qid")
 

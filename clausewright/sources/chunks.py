@@ -13,6 +13,11 @@ def without_sections(chunks: DataFrame) -> DataFrame:
     return chunks.filter(~F.col("kind").eqNullSafe("section"))
 
 
+def dropped_sections(chunks: DataFrame) -> DataFrame:
+    """How many rows without_sections() drops: `dropped`."""
+    return chunks.agg(F.count_if(F.col("kind").eqNullSafe("section")).alias("dropped"))
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return without_sections(spark.read.schema(CHUNKS).json(path))
 

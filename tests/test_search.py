@@ -11,10 +11,16 @@ def vectors(spark, n):
 
 
 def test_questions_beyond_one_block(spark, monkeypatch):
-    rows = vectors(spark, 40)
-    asked = rows.selectExpr("id as qid", "embedding as qvector").union(spark.createDataFrame([(None, [1.0, 0.0, 0.0]), (99, None)], "qid long, qvector array<float>"))
-    how = {"k": 3, "where": {"id": {"$ne": 4}}, "pair": search.F.expr("id <=> qid = false"), "min_score": 0.5}
+    rows = vectors(spark, 40).union(spark.createDataFrame([(50, None), (51, [0.0] * 3), (52, [1.0, float("nan"), 1.0]), (53, [1.0, None, 1.0]), (54, [1.0])], "id long, embedding array<double>"))
+    asked = rows.selectExpr("id as qid", "embedding as qvector").union(spark.createDataFrame([(None, [1.0, 0.0, 0.0]), (99, None)], "qid long, qvector array<double>"))
+    how = {"k": 3, "where": {"id": {"$ne": 4}}, "others_only": True, "min_score": 0.5}
     one = sorted(str(tuple(r)) for r in search.top_k(rows, asked, **how).select("qid", "rank", "id", "score").collect())
+    data = {r.id: r.embedding for r in vectors(spark, 40).collect()}
+    for q, v in [*data.items(), (None, [1.0, 0.0, 0.0])]:
+        score = {i: sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) ** 0.5 * sum(b * b for b in w) ** 0.5) for i, w in data.items() if i not in (q, 4)}
+        best = sorted(score, key=lambda i: (-round(score[i], 12), i))[:3]
+        got = [(r.rank, r.id) for r in search.top_k(rows, asked.filter(search.F.col("qid").eqNullSafe(q)), **how).collect()] if q in (0, 9, None) else None
+        assert got is None or sorted(got) == list(enumerate(best, 1))
     monkeypatch.setattr(search, "QUESTIONS", 6)
     found = search.top_k(rows, asked, **how).select("qid", "rank", "id", "score").collect()
     assert sorted(str(tuple(r)) for r in found) == one and {r.qid for r in found} == {None, *range(40)}
