@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from clausewright.llm import pivot_search
 from clausewright.llm.boosted_trees import fit
 from clausewright.llm.decontaminate import contaminated, decontaminate
 from clausewright.llm.mixture import mixture
@@ -94,7 +96,41 @@ def test_near_duplicates(spark, rows, docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
-def test_pivot_top_k(spark):
+def linked(texts, k, percent):
+    """Smallest id reachable, by brute force; ids are places in `texts`."""
+    own, root = [shingles(t, k) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(range(len(texts)), 2):
+        both = len(own[a] & own[b])
+        if 100 * both >= percent * (len(own[a]) + len(own[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    """Documents of one passage and own words on both sides of the threshold, all in the same buckets."""
+    from clausewright.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "LARGE", 4)
+    monkeypatch.setattr(near_dedup, "RARE", 2)
+    rng = random.Random(9)
+    passages = [[rng.choice(WORDS) for _ in range(60)] for _ in range(2)]
+    texts = [" ".join(rng.choice(passages)[rng.randint(0, 2) :] + [f"{rng.choice('xyz')}{rng.randint(0, 40)}" for _ in range(rng.randint(2, 12))]) for _ in range(160)]
+    want = linked(texts, 3, 85)
+    assert 10 < len(set(want)) < 150
+    for keys in (256, 0):
+        monkeypatch.setattr(near_dedup, "SET_KEYS", keys)
+        got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=3, percent=85).collect()
+        assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
+def test_pivot_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 8)).astype(np.float32)
     x[10:14] = x[9]
@@ -111,6 +147,13 @@ def test_pivot_top_k(spark):
         want += [(q, n, int(ids[j]), int(score[j])) for n, j in enumerate(order, 1)]
     assert sorted(got) == sorted(want)
     assert pivot_top_k(frame.limit(0), frame.limit(0)).count() == 0
+    # Rows that repeat a query's id, and vectors that repeat; few queries at a time.
+    monkeypatch.setattr(pivot_search, "QUERY_BYTES", 200)
+    twice = spark.createDataFrame([(9, [1.0, 0.0]), (9, [0.0, 1.0]), (9, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    flat = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(40)] + [(9, [2.0, 2.0])], "vec_id long, embedding array<float>")
+    rows = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in pivot_top_k(flat, twice, k=4).collect())
+    one, other = [2, 5, 8, 11], [0, 1, 2, 3]
+    assert rows == Counter([(9, n, i, 2 << 20) for n, i in enumerate(one, 1)] * 2 + [(9, n, i, 1 << 20) for n, i in enumerate(other, 1)])
 
 
 def test_token_files(spark, rows, docs, empty):
@@ -213,6 +256,42 @@ def test_decontamination(spark, empty):
     assert contaminated(frame, bench.limit(0)).count() == 0 and contaminated(empty, bench).count() == 0
 
 
+def test_bm25_retrieval_equals_brute_force(spark, monkeypatch):
+    """All passages by all items, scored term by term; several shards and passes."""
+    import math
+
+    from clausewright.llm import decontaminate as module
+
+    rng = random.Random(6)
+    common = WORDS[:60]
+    items = [(i, " ".join(rng.choice(common if rng.random() < 0.5 else WORDS) for _ in range(rng.randint(8, 40)))) for i in range(150)]
+    texts = []
+    for i in range(60):
+        words = items[rng.randrange(150)][1].split()
+        rng.shuffle(words)
+        texts.append(" ".join([rng.choice(common) for _ in range(rng.randint(0, 150))] + words[: rng.randint(4, 40)] + [rng.choice(common) for _ in range(150)]))
+    sets = [Counter(t.split()) for _, t in items]
+    df = Counter(w for s in sets for w in s)
+    mean = sum(sum(s.values()) for s in sets) / len(sets)
+    want = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        for first in range(0, len(words), 64):
+            have = set(words[first : first + 128])
+            for (i, _), tf in zip(items, sets, strict=True):
+                long = 1.2 * (0.25 + 0.75 * sum(tf.values()) / mean)
+                own = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + long) for w, f in tf.items()}
+                score = sum(v for w, v in own.items() if w in have) / sum(own.values())
+                if score >= 0.6:
+                    want[d, i] = max(want.get((d, i), 0), score)
+    frame, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for shard, size in ((1024, 64 << 20), (20, 64 << 20), (20, 30_000)):
+        monkeypatch.setattr(module, "SHARD_ITEMS", shard)
+        monkeypatch.setattr(module, "INDEX_BYTES", size)
+        got = {(r.doc_id, r.item_id) for r in contaminated(frame, bench, threshold=0.6, overlap=0.0).collect()}
+        assert got == set(want) and 60 <= len(want)
+
+
 def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
     japanese = "日本で一番高い山は何ですか。答えは富士山で、標高は三千七百七十六メートルです。"
     thai = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
@@ -281,6 +360,30 @@ def test_url_rules_and_mining(spark):
     assert judge_urls(frame.limit(0), URL_RULES).count() == 0
 
 
+def test_mined_rules_match_what_all_combinations_match(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("klmnop") for _ in range(3)) + str(i) for i in range(8)]
+    labelled = [("http://h/" + "/".join(rng.sample(words, rng.randint(1, 5))), rng.choice(["block", "block", "allow"])) for _ in range(60)]
+    labelled += [("http://h/" + "/".join(f"only{i}x" for i in range(60)), "block"), ("http://h/" + "/".join(f"rest{i}x" for i in range(60)), "allow"), (None, "block"), ("http://h/a", None)]
+    urls = ["http://h/" + "/".join(rng.sample(words, rng.randint(0, 8))) for _ in range(200)] + ["http://h/only7x", "http://h/rest7x"]
+    cut = lambda u: {"h:h"} | {"p:" + w for w in u[9:].split("/") if w} | ({"n:"} if re.search(r"\d", u) else set())
+    baskets = [(cut(u), v) for u, v in labelled if u and v]
+    for support, confidence in ((0.001, 0.9), (0.06, 0.75)):
+        least = np.ceil(support * len(baskets))
+        rules = []
+        for size in (1, 2, 3, 4):
+            for part in combinations(sorted({t for b, _ in baskets for t in b if t[2:6] not in ("only", "rest")} | {"p:only7x"}), size):
+                own = [v for b, v in baskets if b >= set(part)]
+                if own.count("block") >= least and own.count("block") / len(own) >= confidence:
+                    rules.append(set(part))
+        frame = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+        began = time.monotonic()
+        got = judge_urls(frame, [], spark.createDataFrame(labelled, "url string, label string"), support=support, confidence=confidence).collect()
+        assert time.monotonic() - began < 90
+        for r in got:
+            assert r.verdict == ("block" if any(x <= cut(urls[r.page_id]) for x in rules) else "allow"), urls[r.page_id]
+
+
 @pytest.mark.parametrize("fallback", [True, False])
 def test_token_counts(fallback):
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -346,6 +449,13 @@ def test_warc(spark, tmp_path):
     text, found = parse_html(page, "http://h.org/x/")
     assert text == "One two\nthree\nfour" and found["Title"] == "A & B"
     assert found["Links"] == [{"path": "A@/href", "url": "http://h.org/q?a=1&b=2", "rel": "next"}]
+    assert parse_html("a<p title='x>y'>b</p\n><!-- <p> -->c<![CDATA[>]]>d<!DOCTYPE x>e<br/", "")[0] == "a\nb\ncde<br/"
+    assert parse_html('<a href="x>y<b>z</b>', "")[0] == "yz" and parse_html("1 < 2 <3", "")[0] == "1 < 2 <3"
+    assert parse_html("<title>t</title>x<script>if (a<b) '<p>'</script>y", "")[0] == "xy"
+    began = time.monotonic()
+    for broken in ("<a " + '"' * 10_001, "<a " + "\"'" * 10_000 + ">", '<a ">" ' * 20_000, "<a \" " * 20_000, "<!" * 50_000, "<a" * 50_000, "<" * 50_000 + ">", "<script>" * 20_000, "<!--" * 50_000):
+        parse_html(broken, "")
+    assert time.monotonic() - began < 5
     rows = [(1, "http://h.org/x/", page, "k"), (2, None, None, "k"), (3, "u", "", "k"), (1, "http://h.org/x/", page, "k"), (4, "http://[bad", "<a href='http://[x'>é\r\n\r\nWARC/1.0", "k"), (None, "u", "<" * 5000, "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, block string")
     responses = responses_of_pages(pages)
