@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+ROUNDS = 99
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,15 +24,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(id, component) for every id that an edge (u, v) names: the smallest id it is connected with. Null ends and loops take no part; with no edge, the result is empty."""
+    """(id, component) for every id that an edge (u, v) names: the smallest id it is connected with. Null ends and loops take no part; with no edge, the result is empty.
+
+    Rounds grow with the logarithm of the longest path; RuntimeError where they do not settle within ROUNDS.
+    """
     now = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/cc0")
     digest = None
-    for i in range(1, 100):
+    for i in range(1, ROUNDS + 1):
         now = stage(_small_star(_large_star(now)).filter("u <> v").distinct(), f"{folder}/cc{i}")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == digest:
             break
         digest = tuple(seen)
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     ends = now.select("u", "v")
     roots = ends.select(F.col("v").alias("id")).distinct()
     return ends.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))

@@ -6,7 +6,7 @@ where one A_i and one B_j agree; all candidates that are not already connected a
 
 Size of the work: documents of one and the same shingle set are one node from the start. Only nodes of which some A_i and
 some B_j also occur in another node are given keys (16 rows a node tell that, where all keys would be 64), and of those only
-keys of agreeing groups. In each bucket, all are first verified against its smallest id; what stays unconnected within a
+keys of agreeing groups. A node carries its keys as one array, so joins by id have one row a node. In each bucket, all are first verified against its smallest id; what stays unconnected within a
 bucket is then verified pair by pair across components, so a bucket of n near copies costs about n pairs, and no link is lost.
 """
 
@@ -26,6 +26,8 @@ from .shingles import shingle_sets
 TABLES = 8
 #: A bucket of more documents than this is not paired directly; a shingle in at most so many of its documents is rare.
 LARGE, RARE = 32, 8
+#: A set of shingles with more keys than this meets a document once for each key that they share, and the pair is made unique behind that.
+SET_KEYS = 256
 
 
 def _signer(words: int, tables: int):
@@ -67,6 +69,20 @@ def _setter(words: int):
     return sets_of
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (id, shingles) rows, a row for each shingle of a batch: s, how many of its rows have it, and their ids, if RARE at most."""
+    for batch in batches:
+        lists = batch.column(1)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ids = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=flat[order][:1] - 1)) if len(flat) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(flat)))
+        told = np.where(n <= RARE, n, 0)
+        held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(told)]).astype(np.int32)), pa.array(ids[order][np.repeat(n <= RARE, n)]))
+        yield pa.RecordBatch.from_arrays([pa.array(flat[order][first]), pa.array(n.astype(np.int32)), held], ["s", "n", "ids"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (u, v), those with 100 * |intersection| >= percent * |union|, on full sets."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
@@ -75,33 +91,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("u", "v")
 
 
-def _large_bucket_pairs(member: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
-    """The pairs (u, v) across components in large buckets that could be links, without forming all pairs.
+def _large_bucket_pairs(nodes: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """The pairs (u, v) across components of `nodes` (id, n, component, keys: its large buckets, all1 and all2: a digest of its shingles) that connect all that could be linked, without forming all pairs.
 
-    A shingle is rare if at most RARE of these documents have it. A document's other shingles bound what it can share with a
-    document with which it has no rare one in common; pairs that have are found by those shingles, whose lists are short.
+    A shingle is rare if at most RARE of these documents have it. Pairs that share a rare one are found by it, whose lists are
+    short. A pair that shares none has in common what their sets of other shingles have in common, whatever else they hold: so
+    of all documents of one such set the shortest, its head, is linked with every document that one of them is linked with.
+    Hence each document meets the heads of the sets in its buckets, if the sizes allow a link. A null n (an id that repeats with
+    other texts) is a set of its own and excludes nothing.
     """
-    nodes = stage(member.select("id", "n", "component").distinct(), f"{folder}/large")
-    own = stage(sets.join(nodes.select("id").distinct(), "id", "left_semi").select("id", F.explode("shingles").alias("s")), f"{folder}/large_shingles")
-    per = stage(own.groupBy("s").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("id")).filter(F.col("docs") <= RARE), f"{folder}/rare")
-    listed = stage(own.join(per.filter("docs > 1").select("s"), "s"), f"{folder}/listed")
-    rare = per.filter("docs = 1").select("id").unionByName(listed.select("id"))
-    once = sets.groupBy("id").count().filter("count = 1").select("id")  # an id that repeats with other texts gets no bound
-    common = F.col("n") - F.coalesce("rare", F.lit(0))
-    nodes = stage(nodes.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare")).join(once, "id"), "id", "left").select("id", "n", "component", common.alias("common")), f"{folder}/bounds")
-
-    def side(frame: DataFrame, x: str, *by: str) -> DataFrame:
-        return frame.select(*by, F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "common", "keys") if c in frame.columns))
-
-    crosses = (F.col("component_u") != F.col("component_v")) & (F.col("u") > F.col("v"))
-    could = lambda shared: (100 + percent) * (F.least("common_u", "common_v") + shared) >= percent * (F.col("n_u") + F.col("n_v"))
-    wide = member.select("key", "id").join(nodes.filter(100 * F.col("common") >= percent * F.col("n")), "id")
-    wide = stage(wide.join(wide.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), f"{folder}/wide")  # at most tables**2 keys for a set
-    once_each = F.array_min(F.array_intersect("keys_u", "keys_v")) == F.col("key")  # two documents meet in many buckets
-    without = side(wide, "u", "key").join(side(wide, "v", "key"), "key").filter(crosses & could(F.lit(0)) & once_each).select("u", "v")
+    own = sets.join(nodes.select("id"), "id", "left_semi").select("id", "shingles").mapInArrow(_counted, "s long, n int, ids array<long>")
+    own = stage(own, f"{folder}/large_shingles")
+    per = own.groupBy("s").agg(F.sum("n").alias("docs"), F.min(F.get("ids", F.lit(0))).alias("id")).filter(F.col("docs") <= RARE)
+    per = stage(per, f"{folder}/rare")
+    listed = stage(own.join(per.filter("docs > 1").select("s"), "s").select("s", F.explode("ids").alias("id")), f"{folder}/listed")
+    digest = [F.bit_xor(F.xxhash64("s", F.lit(i))).alias(f"rare{i}") for i in (1, 2)]
+    rare = per.filter("docs = 1").select("id", "s").unionByName(listed.select("id", "s")).groupBy("id").agg(F.count(F.lit(1)).alias("rare"), *digest)
+    others = F.concat_ws(":", *(F.col(f"all{i}").bitwiseXOR(F.coalesce(f"rare{i}", F.lit(0))).cast("string") for i in (1, 2)))  # a digest of the shingles that are not rare
+    bounds = nodes.join(rare, "id", "left").withColumn("set", F.when(F.col("n").isNull(), F.concat(F.lit("="), F.col("id").cast("string"))).otherwise(others))
+    nodes = bounds.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare", "rare1", "rare2", "all1", "all2")
+    nodes = stage(nodes, f"{folder}/bounds")
+
+    could = lambda shared: F.coalesce((100 + percent) * (F.least("common_u", "common_v") + shared) >= percent * (F.col("n_u") + F.col("n_v")), F.lit(True))
+    bounded = F.col("n_u").isNotNull() & F.col("n_v").isNotNull()  # least() passes over a null
+    crosses = F.col("component_u") != F.col("component_v")
+    side = lambda x, *also: nodes.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "common", *also)))
+
+    wide = nodes.filter(F.coalesce(100 * F.col("common") >= percent * F.col("n"), F.lit(True)))
+    heads = wide.groupBy("set").agg(F.min(F.struct("n", "id", "component", "common")).alias("h"))
+    heads = stage(heads.select("set", F.col("h.id").alias("v"), F.col("h.n").alias("n_v"), F.col("h.component").alias("component_v"), F.col("h.common").alias("common_v")), f"{folder}/heads")
+    listed_heads = stage(wide.select("set", F.explode("keys").alias("key")).distinct(), f"{folder}/set_keys")
+    few = listed_heads.groupBy("set").count().filter(F.col("count") <= SET_KEYS).select("set")
+    keys = listed_heads.join(few, "set").groupBy("set").agg(F.collect_list("key").alias("keys_v"))
+    listed_heads = listed_heads.join(heads.join(keys, "set", "left"), "set").drop("set")
+    asking = wide.select(F.explode("keys").alias("key"), F.col("id").alias("u"), *(F.col(c).alias(f"{c}_u") for c in ("n", "component", "common", "keys")))
+    once_each = F.coalesce(F.array_min(F.array_intersect("keys_u", "keys_v")) == F.col("key"), F.lit(True))  # they meet in many buckets
+    without = asking.join(listed_heads, "key").filter(crosses & (~bounded | could(F.lit(0))) & once_each).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     met = listed.select("s", F.col("id").alias("u")).join(listed.select("s", F.col("id").alias("v")), "s").filter("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
-    with_rare = met.join(side(nodes, "u"), "u").join(side(nodes, "v"), "v").filter(crosses & could(F.col("shared"))).select("u", "v")
-    return without.unionByName(with_rare).distinct()
+    with_rare = met.join(side("u"), "u").join(side("v"), "v").filter(crosses & (~bounded | could(F.col("shared")))).select("u", "v")
+    return without.distinct().unionByName(with_rare).distinct()
+
+
+def _set_digest(i: int):
+    return F.aggregate("shingles", F.lit(0).cast("long"), lambda x, s: x.bitwiseXOR(F.xxhash64(s, F.lit(i))))
+
+
+def _bit(t, tables: int):
+    """The bits of the two groups of key t in a mask of groups."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (t / tables).cast("int")).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (tables + t % tables).cast("int")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,36 +153,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tables:
     folder = scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(source.mapInArrow(_signer(words, tables), "id long, n_shingles long, cls binary, groups array<bigint>"), f"{folder}/signed")
-    classes = stage(signed.filter("n_shingles > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups")), f"{folder}/classes")
+    classes = stage(signed.filter("n_shingles > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("groups").alias("groups")), f"{folder}/classes")
 
     single = classes.select("id", F.posexplode("groups").alias("g", "x")).select("id", "g", F.xxhash64("g", "x").alias("key"))
     shared = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     half = (1 << tables) - 1
     agreeing = single.join(shared, "key", "left_semi").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, g)")).alias("mask")).filter(((F.col("mask").bitwiseAND(half)) > 0) & (F.col("mask") > half))
-    nodes = stage(classes.join(agreeing, "id").select("id", "n", "mask", "groups"), f"{folder}/nodes")
-
-    keys = nodes.select("id", "n", "mask", "groups", F.explode(F.sequence(F.lit(0), F.lit(tables * tables - 1))).alias("t")).select(
-        "id", "n", "mask", "groups", F.expr(f"t div {tables}").cast("int").alias("i"), F.expr(f"{tables} + t % {tables}").cast("int").alias("j")
-    ).filter("(shiftright(mask, i) & 1) = 1 and (shiftright(mask, j) & 1) = 1")
-    keys = keys.select("id", "n", F.xxhash64("i", "j", F.expr("groups[i]"), F.expr("groups[j]")).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
-    buckets = stage(keys.join(heads, "key"), f"{folder}/buckets")
-
-    linked = stage(buckets.filter("id <> lo").select(F.col("id").alias("u"), F.col("lo").alias("v")).distinct(), f"{folder}/first_pairs")
+    # A row for each node, with its keys as an array; rows of single keys are made only to meet by key.
+    pairs = F.filter(F.sequence(F.lit(0), F.lit(tables * tables - 1)), lambda t: F.col("mask").bitwiseAND(_bit(t, tables)) == _bit(t, tables))
+    keys = F.transform(pairs, lambda t: F.xxhash64(t, F.get("groups", (t / tables).cast("int")), F.get("groups", tables + t % tables)))
+    nodes = stage(classes.join(agreeing, "id").select("id", keys.alias("keys")), f"{folder}/nodes")
+    single = nodes.select("id", F.explode("keys").alias("key"))
+    heads = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
+    met = F.collect_set(F.struct("key", "lo")).alias("met")
+    buckets = stage(single.join(heads, "key").groupBy("id").agg(met), f"{folder}/buckets")
+
+    lows = F.explode(F.array_distinct(F.transform("met", lambda m: m["lo"]))).alias("v")
+    linked = stage(buckets.select(F.col("id").alias("u"), lows).filter("u <> v").distinct(), f"{folder}/first_pairs")
     wanted = linked.select(F.col("u").alias("id")).union(linked.select("v")).distinct()
     sets = stage(source.join(small(wanted), "id", "left_semi").mapInArrow(_setter(words), "id long, shingles array<bigint>"), f"{folder}/sets")
     edges = stage(_verified(linked, sets, percent), f"{folder}/edges1")
 
     # What is still unconnected within a bucket: every pair across components, once.
     named = components(edges, f"{folder}/first")
-    member = buckets.join(named, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = member.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    member = member.join(split, "key")
-    member = stage(member.join(member.groupBy("key").agg((F.count(F.lit(1)) > LARGE).alias("large")), "key"), f"{folder}/open")
-    crosses = (F.col("cu") != F.col("cv")) & (F.col("u") > F.col("v"))
-    left, right = (member.select("key", "large", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-    few = left.filter("not large").join(right.drop("large"), "key").filter(crosses).select("u", "v").distinct()
-    rest = few.unionByName(_large_bucket_pairs(member.filter("large"), sets, percent, folder)).distinct().join(linked, ["u", "v"], "left_anti")
+    member = stage(buckets.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.transform("met", lambda m: m["key"]).alias("keys")), f"{folder}/member")
+    single = member.select("id", "component", F.explode("keys").alias("key"))
+    split = single.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), (F.count(F.lit(1)) > LARGE).alias("large")).filter("a < b").select("key", "large")
+    member = stage(single.join(split, "key"), f"{folder}/open")
+    crosses = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv"))
+    left, right = (member.filter("not large").select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    few = left.join(right, "key").filter(crosses).select("u", "v").distinct()
+    large = member.filter("large").groupBy("id").agg(F.first("component").alias("component"), F.collect_set("key").alias("keys"))
+    every = [_set_digest(i).alias(f"all{i}") for i in (1, 2)]
+    once = sets.join(large.select("id"), "id", "left_semi").select("id", F.size("shingles").alias("n"), *every)
+    once = once.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("n")).alias("n"), F.first("all1").alias("all1"), F.first("all2").alias("all2"))  # an id that repeats with other texts gets no bound
+    large = stage(large.join(once, "id"), f"{folder}/large")
+    rest = few.unionByName(_large_bucket_pairs(large, sets, percent, folder)).distinct().join(linked, ["u", "v"], "left_anti")
     more = stage(_verified(stage(rest, f"{folder}/second_pairs"), sets, percent), f"{folder}/edges2")
     final = components(edges.unionByName(more), f"{folder}/second")
 
