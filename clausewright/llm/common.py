@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder that the cluster names; a local one where none is named, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the shared folder that the cluster names, else below the context's own checkpoint folder; where there is neither, a local one on a local master, as in tests, and RuntimeError on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         base = "/tmp/clausewright-scratch"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
