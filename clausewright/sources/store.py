@@ -1,30 +1,35 @@
-"""Published versions of an index: each is a folder of its own, and the live one is what the newest record of the log names.
+"""Published versions of an index in Spark's catalog.
 
-Records of the log are written by Spark's commit protocol, one folder each, numbered; a reader takes the highest number whose
-commit is complete. So publishing is one atomic step on any store, a failure before it leaves the old version live, and
-nothing has to be renamed or restored.
+Each version is a table of its own. The live one is what a view of the store's name selects from, and the view's properties
+are its manifest; so publishing is one CREATE OR REPLACE VIEW, and whatever fails before it leaves the old version live.
+The catalog is the session's: a shared metastore on a cluster.
 """
 
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import self_hits
 
-MANIFEST = "version string, sha1 string, model string, dim int, count long, created long"
+PREFIX = "clausewright."
 
 
 class GateError(RuntimeError):
     """The embeddings do not belong to the rows; nothing was written."""
 
+    exit_code = 3
+
 
 class PublishError(RuntimeError):
     """The new version could not be verified; the old one is still live."""
 
+    exit_code = 4
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -55,34 +60,48 @@ def manifest_problems(given: dict | None, sha1: str, model: str, count: int, dim
     return out
 
 
+def model_of(given: dict | None) -> str | None:
+    """The model that a manifest names; None for a blank one."""
+    return ((given or {}).get("model") or "").strip() or None
+
+
 class IndexStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _log(self) -> list:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/log")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(done, key=lambda p: int(p.getName()))
+    def __init__(self, spark: SparkSession, name: str, database: str = "default"):
+        self.spark, self.name, self.database = spark, name, database
+
+    def _at(self, name: str) -> str:
+        return f"`{self.database}`.`{name}`"
+
+    def _properties(self, name: str) -> dict[str, str]:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._at(name)}").filter(F.startswith("key", F.lit(PREFIX))).collect()
+        return {r["key"].removeprefix(PREFIX): r["value"] for r in rows}
 
     def live(self) -> dict | None:
         """The live version's manifest; None before the first."""
-        log = self._log()
-        return self.spark.read.schema(MANIFEST).json(log[-1].toString()).first().asDict() if log else None
+        if not self.spark.catalog.tableExists(self._at(self.name)):
+            return None
+        now = self._properties(self.name)
+        return now | {"dim": int(now["dim"]), "count": int(now["count"])}
 
-    def open(self, model: str | None = None, dim: int | None = None) -> DataFrame:
-        """The live version's rows; GateError where it was made by another model or has another width."""
+    def problems(self, model: str | None = None, dim: int | None = None, sha1: str | None = None) -> list[str]:
+        """What speaks against reading the live version with these; what is not given is not compared, nor a fingerprint that the version lacks."""
         now = self.live()
         if now is None:
-            raise GateError("nothing published")
-        if model is not None and now["model"] != model:
-            raise GateError("model differs")
+            return ["nothing published"]
+        out = []
+        if model is not None and model_of(now) != model:
+            out.append("model differs" if model_of(now) else "model missing")
         if dim is not None and now["dim"] != dim:
-            raise GateError("dim differs")
-        return self.spark.read.parquet(f"{self.root}/versions/{now['version']}")
+            out.append("dim differs")
+        if sha1 and now["sha1"] and now["sha1"] != sha1:
+            out.append("sha1 differs")
+        return out
+
+    def open(self, model: str | None = None, dim: int | None = None, sha1: str | None = None) -> DataFrame:
+        """The live version's rows; GateError where it was made by another model, has another width or holds other rows."""
+        if problems := self.problems(model, dim, sha1):
+            raise GateError("; ".join(problems))
+        return self.spark.table(self._at(self.name))
 
     def verify(self, rows: DataFrame, want: Manifest, sample: int = 3) -> list[str]:
         """Problems of written rows: count, width, and the first rows' own vectors not finding them."""
@@ -94,28 +113,52 @@ class IndexStore:
             out.append("a row does not find itself")
         return out
 
-    def publish(self, rows: DataFrame, want: Manifest, given: dict, sample: int = 3, max_records: int = 0) -> str:
-        """Gate, write, verify, then one record in the log. Returns the version's name."""
+    def _point(self, manifest: dict) -> None:
+        text = lambda v: "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        properties = ", ".join(f"{text(PREFIX + k)} = {text(v)}" for k, v in manifest.items())
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self._at(self.name)} TBLPROPERTIES ({properties}) AS SELECT * FROM {self._at(manifest['version'])}")
+
+    def publish(self, rows: DataFrame, want: Manifest, given: dict, sample: int = 3, max_records: int = 0, at: Callable[[str], None] = lambda step: None) -> str:
+        """Gate, write, verify, then point the view at the new version. Returns the version's name.
+
+        `at` is called behind each step (written, verified, published). If it raises or the live rows cannot be counted again,
+        the version that was live before is live afterwards.
+        """
         if problems := manifest_problems(given, want.sha1, want.model, want.count, want.dim):
             raise GateError("; ".join(problems))
-        log = self._log()
-        number = int(log[-1].getName()) + 1 if log else 1
-        version = f"v{number:09d}-{time.time_ns()}"
-        writer = rows.write.mode("errorifexists")
-        (writer.option("maxRecordsPerFile", max_records) if max_records else writer).parquet(f"{self.root}/versions/{version}")
-        if problems := self.verify(self.spark.read.parquet(f"{self.root}/versions/{version}"), want, sample):
+        if (n := rows.count()) != want.count:
+            raise GateError(f"{n} rows, not {want.count}")
+        before = self.live()
+        version = f"{self.name}_v{time.time_ns()}"
+        writer = rows.write.format("parquet").mode("errorifexists")
+        (writer.option("maxRecordsPerFile", max_records) if max_records else writer).saveAsTable(self._at(version))
+        at("written")
+        if problems := self.verify(self.spark.table(self._at(version)), want, sample):
             raise PublishError("; ".join(problems))
-        record = self.spark.createDataFrame([(version, want.sha1, want.model, want.dim, want.count, time.time_ns() // 1_000_000_000)], MANIFEST)
-        record.coalesce(1).write.mode("errorifexists").json(f"{self.root}/log/{number:09d}")
+        at("verified")
+        self._point(asdict(want) | {"version": version, "created": time.time_ns() // 1_000_000_000})
+        try:
+            at("published")
+            if (n := self.spark.table(self._at(self.name)).count()) != want.count:
+                raise PublishError(f"{n} live rows, not {want.count}")
+        except Exception:
+            if before is None:
+                self.spark.sql(f"DROP VIEW {self._at(self.name)}")
+            else:
+                self._point(before)
+            raise
+        self.spark.sql(f"ALTER TABLE {self._at(version)} SET TBLPROPERTIES ('{PREFIX}published' = 'true')")
         return version
 
     def vacuum(self, keep: int = 1) -> list[str]:
-        """Removes versions but the live one and `keep` before it, unpublished ones too; returns their names."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        named = {self.spark.read.schema(MANIFEST).json(p.toString()).first().version for p in self._log()[-1 - keep :]}
-        gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() not in named] if fs.exists(path) else []
-        for p in gone:
-            fs.delete(p, True)
-        return [p.getName() for p in gone]
+        """Drops versions but the live one and the `keep` published last before it, unpublished ones too, and returns their names. For a time when nothing is being published."""
+        now = self.live()
+        names = {r["tableName"] for r in self.spark.sql(f"SHOW TABLES IN `{self.database}` LIKE '{self.name}_v*'").collect()}
+        versions = sorted(n for n in names if n.removeprefix(f"{self.name}_v").isdigit())
+        older = [n for n in versions if now is None or n < now["version"]]
+        published = [n for n in older if "published" in self._properties(n)]
+        kept = {*published[len(published) - keep :], *([now["version"]] if now else [])} if keep else {now["version"]} if now else set()
+        gone = [n for n in versions if n not in kept]
+        for n in gone:
+            self.spark.sql(f"DROP TABLE {self._at(n)}")
+        return gone

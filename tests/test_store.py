@@ -1,7 +1,11 @@
+import json
+
+import numpy as np
 import pytest
 
 from clausewright.sources.chunks import fingerprint, read_chunks, read_marked_text
-from clausewright.sources.store import GateError, IndexStore, Manifest, PublishError, manifest_problems
+from clausewright.sources.matrix import ManifestError, cache_state, read_manifest, read_matrix, with_vectors
+from clausewright.sources.store import GateError, IndexStore, Manifest, PublishError, manifest_problems, model_of
 
 
 def rows(spark, n, dim=4):
@@ -12,27 +16,76 @@ def given(n, **more):
     return {"sha1": "x", "model": "m", "dim": 4, "count": n, "shape": [n, 4]} | more
 
 
-def test_publish_gate_and_failure(spark, tmp_path):
-    store = IndexStore(spark, str(tmp_path / "index"))
-    assert store.live() is None
-    store.publish(rows(spark, 5), Manifest("x", "m", 4, 5), given(5))
-    assert store.open("m", 4).count() == 5
-    with pytest.raises(GateError):
+def test_publish_gate_and_failure(spark):
+    store = IndexStore(spark, "clauses_a")
+    assert store.live() is None and store.problems() == ["nothing published"]
+    first = store.publish(rows(spark, 5), Manifest("x", "m", 4, 5), given(5))
+    assert store.open("m", 4, "x").count() == 5
+    with pytest.raises(GateError) as gate:
         store.publish(rows(spark, 3), Manifest("y", "m", 4, 3), given(3))
-    with pytest.raises(PublishError):
-        store.publish(rows(spark, 4), Manifest("x", "m", 4, 3), given(3))
-    assert store.open().count() == 5
-    store.publish(rows(spark, 3), Manifest("x", "m", 4, 3), given(3))
-    assert store.open().count() == 3 and store.live()["count"] == 3
-    assert len(store.vacuum(keep=0)) == 2 and store.open().count() == 3
     with pytest.raises(GateError):
-        store.open("other")
+        store.publish(rows(spark, 4), Manifest("x", "m", 4, 3), given(3))
+    with pytest.raises(PublishError) as failed:
+        store.publish(rows(spark, 3, 3), Manifest("x", "m", 4, 3), given(3))
+    assert (gate.value.exit_code, failed.value.exit_code) == (3, 4)
+    assert store.open().count() == 5 and store.live()["version"] == first
+    store.publish(rows(spark, 3), Manifest("x", "it's", 4, 3), given(3, model="it's"))
+    assert store.open().count() == 3 and store.live()["count"] == 3 and store.live()["model"] == "it's"
+    assert len(store.vacuum(keep=1)) == 1 and store.vacuum(keep=0) == [first] and store.open().count() == 3
+    for wrong in ({"model": "other"}, {"dim": 5}, {"sha1": "y"}):
+        with pytest.raises(GateError):
+            store.open(**wrong)
+
+
+@pytest.mark.parametrize("step", ["written", "verified", "published"])
+def test_a_fault_leaves_the_old_version_live(spark, step):
+    store = IndexStore(spark, f"clauses_{step}")
+
+    def fault(at):
+        if at == step:
+            raise OSError(step)
+
+    with pytest.raises(OSError):
+        store.publish(rows(spark, 2), Manifest("x", "m", 4, 2), given(2), at=fault)
+    assert store.live() is None
+    version = store.publish(rows(spark, 5), Manifest("x", "m", 4, 5), given(5))
+    with pytest.raises(OSError):
+        store.publish(rows(spark, 3), Manifest("x", "m", 4, 3), given(3), at=fault)
+    assert store.live()["version"] == version and store.open().count() == 5
+    assert len(store.vacuum(keep=5)) == 2 and store.open().count() == 5
 
 
 def test_manifest():
     assert manifest_problems(None, "x", "m", 3) and manifest_problems({}, "x", "m", 3)
     assert manifest_problems(given(3), "x", "m", 3, 4) == []
     assert manifest_problems(given(3, dim=True), "x", "m", 3) and manifest_problems(given(3, shape=[4, 3]), "x", "m", 3)
+    assert model_of(None) is None and model_of({"model": " "}) is None and model_of(given(3)) == "m"
+    assert cache_state(given(3), True, "x", "m", 3) == (True, []) and cache_state(given(3), False, "x", "m", 3) == (False, ["matrix missing"])
+
+
+def test_matrix(spark, tmp_path):
+    assert read_manifest(spark, str(tmp_path / "none.json")) is None
+    (tmp_path / "broken.json").write_text("{")
+    with pytest.raises(ManifestError):
+        read_manifest(spark, str(tmp_path / "broken.json"))
+    (tmp_path / "m.json").write_text(json.dumps(given(5)))
+    manifest = read_manifest(spark, str(tmp_path / "m.json"))
+    assert manifest == given(5)
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    matrix = np.arange(20, dtype=np.float32).reshape(5, 4)
+    np.save(folder / "a.npy", matrix[:3])
+    np.save(folder / "b.npy", matrix[3:])
+    assert [r.embedding for r in read_matrix(spark, str(folder)).orderBy("pos").collect()] == matrix.tolist()
+    own = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "pos long, id string")
+    got = with_vectors(own, manifest, str(folder), "x", "m", 4).orderBy("pos").collect()
+    assert [(r.id, r.embedding) for r in got] == [(f"r{i}", matrix[i].tolist()) for i in range(5)]
+    np.save(tmp_path / "flat.npy", matrix.ravel())
+    with pytest.raises(Exception, match="dimensions"):
+        read_matrix(spark, str(tmp_path / "flat.npy")).count()
+    for wrong in ((own.filter("pos < 4"), manifest, folder), (own, given(5, model="o"), folder), (own, manifest, tmp_path / "none"), (own, manifest, folder / "a.npy"), (own.withColumn("pos", own.pos + 1), manifest, folder)):
+        with pytest.raises(GateError):
+            with_vectors(wrong[0], wrong[1], str(wrong[2]), "x", "m")
 
 
 def test_sources(spark, tmp_path):
