@@ -9,7 +9,7 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Config:
-    index_root: str = "index"
+    index: str = "index"
     chunks_file: str = "chunks.jsonl"
     embed_model: str = "encoder"
     embed_dim: int = 1024

@@ -7,6 +7,8 @@ APPENDIX = r"(?U)(?:附\s*[表录]\s*([A-Za-z])\b|附录\s*([一二三四五六
 YEAR = r"(?U)\d{4}\s*年"
 QUANTITY = r"(?U)\d+(?:\.\d+)?\s*(?:m|mm|cm|℃|%|kg|级|座|人|册|米|米²|米2)(?![.\d])"
 SENTENCE_END = r"[。；;\n]"
+#: The heading behind which a standard has explanations and no clauses.
+BACK_MATTER = r"(?U)^(附\s*[:：]?\s*)?条\s*文\s*说\s*明$"
 DASHES, PLAIN_DASHES = "－—–‐−", "-----"
 
 REFUSAL = "本知识库未收录该内容"

@@ -47,7 +47,8 @@ def split_clauses(lines: DataFrame) -> DataFrame:
 
     A line that starts with a number of three levels opens a clause; titles of one or two levels close it and open none. A
     page mark `<!-- page N -->` sets the page of what follows; a bare number that is the last line of a page is its footer.
-    What stands before a file's first clause goes. Lines are ordered within each file: one file is one document.
+    What stands before a file's first clause goes, and behind its clauses what follows a line that is the heading of the
+    explanations alone. Lines are ordered within each file: one file is one document.
     """
     by = Window.partitionBy("file").orderBy("line")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -58,6 +59,8 @@ def split_clauses(lines: DataFrame) -> DataFrame:
     number = F.regexp_extract("text", r"^(\d{1,2}\.\d{1,3}\.\d{1,3})(?![.\d])", 1)
     title = F.col("text").rlike(r"^\d{1,2}(\.\d{1,3})?\s+\D")
     rows = rows.withColumn("number", number).withColumn("opens", F.col("number") != "").withColumn("cut", F.col("opens") | title)
+    back = F.col("text").rlike(R.BACK_MATTER) & F.max("opens").over(so_far)
+    rows = rows.withColumn("back", back).withColumn("back", F.max("back").over(so_far)).filter("not back")
     rows = rows.withColumn("clause", F.sum(F.col("cut").cast("int")).over(so_far))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     out = rows.groupBy("file", "clause").agg(F.max("number").alias("article_no"), body.alias("text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))

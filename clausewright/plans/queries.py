@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import catalog, citations, corpus, evaluation, policy, predicates, quality_gate, search
-from ..sources.chunks import without_sections
+from ..sources.chunks import dropped_sections, without_sections
 from . import ask
 
 STANDARDS = ("GB 55031-2022", "JGJ 38-2015", "GB 50352-2019", "GB 55037-2022", "GB 99999-2099")
@@ -242,10 +242,11 @@ def policy_strategy(spark, d):
     return policy.refused(decided.withColumn("used_model", F.col("qid") % 2 == 0)).select("qid", "strategy", "degraded", "refused")
 
 
-@query("relevance_stats", f"WITH {_HITS} SELECT qid, count(*) AS n_hits, round(max(score), 4) AS top_score, CAST(2 AS INTEGER) AS longest_run, true AS in_domain FROM h GROUP BY qid")
+@query("relevance_stats", f"WITH {_HITS} SELECT qid, count(*) AS n_hits, round(max(score), 4) AS top_score, CAST(CASE qid % 3 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS longest_run, qid % 3 = 0 AS in_domain FROM h GROUP BY qid")
 def relevance_stats(spark, d):
     found = hits(spark, d)
-    questions = found.select("qid").distinct().withColumn("question", F.lit("图书馆正文面积"))
+    asked = F.when(F.col("qid") % 3 == 0, "图书馆正文面积").when(F.col("qid") % 3 == 1, "元宇宙展厅").otherwise("正面文字")
+    questions = found.select("qid").distinct().withColumn("question", asked)
     return policy.relevance(questions, found, 2).select("qid", "n_hits", "top_score", "longest_run", "in_domain")
 
 
@@ -343,15 +344,83 @@ def numeric_key_extract(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("key"))
 
 
-@query("longest_run", "SELECT * FROM (VALUES (1, 2), (2, 0), (3, 2)) t(case_id, run)")
+_RUN_SQL = "SELECT p_partkey AS id, CAST(CASE WHEN greatest(p_partkey % 5, p_partkey % 4) >= 2 THEN greatest(p_partkey % 5, p_partkey % 4) ELSE 0 END AS INTEGER) AS run FROM part"
+
+
+@query("longest_run", _RUN_SQL)
 def longest_run(spark, d):
-    rows = [(1, "书库的净高是多少", ["书库的净高不应小于2.40m。"]), (2, "元宇宙展厅", ["书库的净高"]), (3, "甲乙丙丁", ["甲乙x", "乙丙丁"])]
-    cases = spark.createDataFrame(rows, "case_id int, question string, texts array<string>")
-    return cases.select("case_id", T.longest_run(F.col("question"), F.col("texts")).alias("run"))
+    """The first half of the question is in one text with k % 5 of its characters, the second in another with k % 4."""
+    k = F.col("p_partkey")
+    left, right = F.lit("甲乙丙丁"), F.lit("戊己庚辛")
+    texts = F.array(F.concat(F.lit("书"), F.substring(left, F.lit(1), (k % 5).cast("int")), F.col("p_name")), F.concat(F.substring(right, F.lit(2), (k % 4).cast("int")), F.lit("库")))
+    rows = _table(spark, d, "part").select(k.alias("id"), F.concat(left, right, F.lit("？")).alias("question"), texts.alias("texts"))
+    return rows.select("id", T.longest_run(F.col("question"), F.col("texts")).alias("run"))
 
 
-@query("clause_split", "SELECT * FROM (VALUES ('6.1.1', '6.1.1 甲' || chr(10) || '续', 1, 2), ('6.1.2', '6.1.2 乙', 2, 2)) t(article_no, text, page_start, page_end)")
+_SPLIT_SQL = """WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    l AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS x FROM p),
+    n AS (SELECT doc_id, i, '6.' || (i // 3 // 900 + 1) || '.' || (i // 3 % 900 + 1) AS num, x FROM l)
+    SELECT doc_id, num AS article_no, string_agg(CASE WHEN i % 3 = 0 THEN num || ' ' ELSE '段' END || x || '。', chr(10) ORDER BY i) AS text,
+        CAST(min(i) // 4 + 1 AS INTEGER) AS page_start, CAST(max(i) // 4 + 1 AS INTEGER) AS page_end FROM n GROUP BY doc_id, num"""
+
+
+@query("clause_split", _SPLIT_SQL)
 def clause_split(spark, d):
-    text = ["前言", "<!-- page 1 -->", "6 总则", "6.1 节", "6.1.1 甲", "12", "<!-- page 2 -->", "续", "6.1.2 乙", "6.2 节", "附言"]
-    lines = spark.createDataFrame([("a", i, t) for i, t in enumerate(text)], "file string, line int, text string")
-    return corpus.split_clauses(lines).drop("file")
+    """Every document as a standard: front matter, a page mark before each fourth line, a clause in each third, explanations behind."""
+
+    def marked(x: Column, i: Column) -> Column:
+        group = F.floor(i / 3)
+        number = _s("6.", F.floor(group / 900) + 1, ".", group % 900 + 1, " ")
+        line = F.concat(F.when(i % 3 == 0, number).otherwise("段"), x, F.lit("。"))
+        page = F.when(i % 4 == 0, F.array(_s("<!-- page ", F.floor(i / 4) + 1, " -->"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(page, F.array(line))
+
+    body = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), marked))
+    whole = F.concat(F.array(F.lit("前言"), F.lit("条文说明"), F.lit("6 总则")), body, F.array(F.lit("7 附则"), F.lit("条 文 说 明"), F.lit("6.1.1 说明")))
+    lines = _table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(whole).alias("line", "text"))
+    return corpus.split_clauses(lines).withColumnRenamed("file", "doc_id")
+
+
+_FORMS = """CASE p_partkey % 6 WHEN 0 THEN a || '.' || b || '.' || c WHEN 1 THEN a || '.' || b || '.' || c WHEN 4 THEN '附录' || chr(CAST(65 + p_partkey % 8 AS INTEGER)) WHEN 5 THEN a || '.' || b ELSE NULL END"""
+
+
+@query("article_number_forms", f"SELECT * FROM (SELECT p_partkey AS id, {_FORMS} AS key FROM (SELECT p_partkey, p_partkey % 9 + 1 AS a, p_partkey % 7 + 1 AS b, p_partkey % 40 + 1 AS c FROM part)) WHERE key IS NOT NULL")
+def article_number_forms(spark, d):
+    """Labelled and bare numbers, quantities, years and standards (which are none), appendices, tables."""
+    k = F.col("p_partkey")
+    a, b, c = k % 9 + 1, k % 7 + 1, k % 40 + 1
+    forms = (_s("依第 ", a, ".", b, ".", c, " 条"), _s("见 ", a, ".", b, ".", c), _s("净高 ", a, ".", b, "m"), _s(k % 60 + 1960, "年发布的 GB ", k % 900 + 50000, "-2019"), _s("见附录", F.char(k % 8 + 65)), _s("按表 ", a, ".", b, "-1 取值"))
+    text = F.element_at(F.array(*forms), (k % 6 + 1).cast("int"))
+    return _table(spark, d, "part").select(k.alias("id"), F.explode(T.article_numbers(text)).alias("key"))
+
+
+_FAULT_CODES = ("empty_answer", "model_refused", "no_citation", "ambiguous_article", "", "not_in_hits", "standard_mismatch")
+
+
+@query("answer_faults", "SELECT p_partkey AS qid, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_FAULT_CODES)) + " END AS codes, CASE WHEN p_partkey % 7 IN (1, 4) THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage, CASE p_partkey % 7 WHEN 1 THEN 'refuse' WHEN 4 THEN 'keep' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'extractive' ELSE 'refuse' END END AS strategy FROM part")
+def answer_faults(spark, d):
+    """Each fault of a whole answer and of a citation; every second question has no clause that could be quoted."""
+    k = F.col("p_partkey")
+    texts = [F.when(k % 2 == 0, " "), F.lit(R.REFUSAL + "。"), F.lit("没有条文。"), F.lit("见第 6.1.1 条。"), F.lit("【GB 50001-2019】第 6.1.1 条。"), F.lit("【GB 50001-2019】第 9.9.9 条。"), F.lit("【GB 50003-2019】第 6.1.1 条。")]
+    asked = _table(spark, d, "part").select(k.alias("qid"), F.element_at(F.array(*texts), (k % 7 + 1).cast("int")).alias("answer"))
+    standard = F.posexplode(F.array(F.lit("GB 50001-2019"), F.lit("GB 50002-2019"))).alias("rank", "standard")
+    found = asked.select("qid", standard).select("qid", "rank", "standard", F.lit("6.1.1").alias("article_no"), F.lit("").alias("standard_name"), F.lit("article").alias("kind"), F.lit(0.5).alias("score"), F.when(F.col("qid") % 2 == 0, "正文").alias("text"))
+    decided = policy.apply_policy(citations.verify(asked, found), policy.extracts(found))
+    return decided.select("qid", F.array_join("codes", ",").alias("codes"), "coverage", "strategy")
+
+
+@query("standards_without_rules", f"WITH {_CHUNKS} SELECT DISTINCT standard FROM c WHERE rule_status = 'UNKNOWN'")
+def standards_without_rules(spark, d):
+    return corpus.without_rules(chunks(spark, d))
+
+
+@query("dropped_section_count", f"WITH {_CHUNKS} SELECT count(*) FILTER (kind = 'section') AS dropped FROM c")
+def dropped_section_count(spark, d):
+    return dropped_sections(chunks(spark, d))
+
+
+@query("untraced_contexts", "SELECT c.doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '。' ELSE text END AS text FROM documents) c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.text = c.text)")
+def untraced_contexts(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    cut = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("。"))).otherwise(F.col("text"))
+    return corpus.untraced(docs.select("doc_id", cut.alias("text")), docs).select("doc_id")
