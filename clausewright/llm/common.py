@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes in their columns, that a count may confirm before a table is broadcast; beyond either the join shuffles.
@@ -46,6 +46,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
+def share_of_hashes(*columns: str, share: float) -> Column:
+    """Whether a row's hash of `columns` is among the smallest `share` of all hashes: a bound on a sample that holds at any size of table."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(min(int(share * 2**63), 2**63 - 1))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer on uint64 (wraps)."""
     x = x ^ (x >> np.uint64(30))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import share_of_hashes
+
 #: Fixed patterns, in the order in which kinds are listed: kind, pattern, group that is measured, its least length.
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -99,11 +101,11 @@ class RandomStrings:
 
 
 def ordinary_words(docs: DataFrame, texts: int = SAMPLE_TEXTS, words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Samples of the class of ordinary identifiers: distinct runs of 4 characters or more outside the fixed patterns, from about `texts` texts (all, if fewer; else of the smallest hashes of id), `words` at most."""
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
+    """Samples of the class of ordinary identifiers: distinct runs of 4 characters or more outside the fixed patterns, from about `texts` texts (all, if fewer; else those of the smallest hashes of id and text), `words` at most."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
     total = rows.count()
     if total > texts:
-        rows = rows.filter(F.pmod("h", F.lit(1_000_000)) < max(1, texts * 1_000_000 // total))
+        rows = rows.filter(share_of_hashes("id", "text", share=texts / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
