@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .boosted_trees import Trees, fit
-from .common import text_slices
+from .common import share_of_hashes, text_slices
 from .shingles import NOT_ALNUM, word_hashes
 
 #: About so many labelled rows are fitted on; with more, those of the smallest hashes of the id.
@@ -70,9 +70,9 @@ def _column_statistics(texts: pa.Array) -> np.ndarray:
 
 def _measurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = _column_statistics(batch.column(1))
+        x = _column_statistics(batch.column(2))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["_id", "y", "x"])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -84,17 +84,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_
     """Trees fitted on the labelled rows of `docs` that are not held out.
 
     Labels other than 0 and 1, and ids whose labels disagree, tell nothing. About `fit_rows` labelled rows at most are
-    measured and brought to the driver as WIDTH numbers each: beyond it, those with the smallest hashes of the id.
+    measured and brought to the driver as WIDTH numbers each: beyond it, those with the smallest hashes of the id. Of rows
+    that repeat an id, the one with the least statistics counts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id"))
     known = known.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_top")).filter("y = _top").select("_id", "y")
     known = known.filter(~held_out("_id"))
     total = known.count()
     if total > fit_rows:
-        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < fit_rows * 1_000_000 // total)
+        known = known.filter(share_of_hashes("_id", share=fit_rows / total))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     near = F.broadcast(known) if min(total, fit_rows) <= FIT_ROWS else known
-    measured = rows.join(near, "_id").select("y", "text").mapInArrow(_measurer, "y int, x array<double>").toPandas()
+    measured = rows.join(near, "_id").select("_id", "y", "text").mapInArrow(_measurer, "_id long, y int, x array<double>")
+    measured = measured.groupBy("_id").agg(F.min(F.struct("x", "y")).alias("m")).select("m.y", "m.x").toPandas()
     x = np.stack(measured["x"].to_numpy()) if len(measured) else np.zeros((0, WIDTH))
     y = measured["y"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # sums do not depend on the order in which tasks ended

@@ -473,3 +473,20 @@ def test_warc(spark, tmp_path):
     assert Counter((r.headers["WARC-Record-ID"], bytes(r.block).decode()) for r in back) == Counter((r.record_id, r.block) for r in got)
     assert all(r.headers["WARC-Refers-To"] in by_id for r in back)
     assert derivatives(responses_of_pages(pages.limit(0))).count() == 0
+
+
+def test_samples_are_bounded(spark):
+    """Rows that repeat one id, or have none, do not escape the bounds of the samples for fitting."""
+    from clausewright.llm.common import share_of_hashes
+    from clausewright.llm.quality import fit_quality
+    from clausewright.llm.secret_scan import ordinary_words
+
+    rows = spark.range(4000)
+    assert 20 < rows.filter(share_of_hashes("id", share=0.01)).count() < 70
+    assert rows.filter(share_of_hashes("id", share=1)).count() == 4000 and rows.filter(share_of_hashes("id", share=1e-18)).count() == 0
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('word', id) as text")
+    assert 10 < len(ordinary_words(docs, texts=50)) < 120
+    once = spark.createDataFrame([(i, "Good plain text. " * (i + 1)) for i in range(40)], "doc_id long, text string")
+    labels = once.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    first, again = fit_quality(once, labels), fit_quality(once.unionByName(once).unionByName(once.filter("doc_id = 1")), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(vars(first).values(), vars(again).values()))
