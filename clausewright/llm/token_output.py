@@ -22,7 +22,7 @@ from .tokenize import encoder
 #: Ids that share one frequency table; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 21
 #: Bytes of text that are encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 #: The place of rows without an id.
 NULL_ID = -(1 << 63)
 FILE_SCHEMA = "part int, segment int, start long, n_docs long, n_tokens long, data binary"
@@ -57,6 +57,7 @@ def _tokenizer(path: str, end_id: int, bounds: list[int]):
                 parts = parts_of(ids.fill_null(NULL_ID).to_numpy(), sums).astype(np.int32)
                 lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([pa.array(parts), ids, pa.array(np.full(n, wide.itemsize, np.int32)), lists, pa.array(sums)], ["part", "doc_id", "width", "ids", "sum"])
+        pa.default_memory_pool().release_unused()  # the worker lives on, for tasks of other kinds
 
     return run
 
