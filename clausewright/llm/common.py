@@ -85,3 +85,15 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES):
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     for row, n in row_slices(texts, limit):
         yield row, data[at[row] : at[row + n]], at[row : row + n + 1] - at[row]
+
+
+def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int, add: int = 0) -> DataFrame:
+    """(id, v array<bigint>): floor(scale * x) + add of each component as double. Null and empty vectors, and such as hold a null or non-finite component, go; rows without an id stay."""
+    x = F.col(vector_col)
+    valid = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    return vectors.filter(valid).select(F.col(id_col).alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale) + F.lit(add)).alias("v"))
+
+
+def whole_matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of `dim` long integers each."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), dim)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
 from .decontaminate import contaminated
+from .dual_tree import dual_tree_clusters
 from .mixture import mixture
 from .near_dedup import near_duplicates
 from .pivot_search import pivot_top_k
@@ -18,6 +20,7 @@ from .token_counts import token_counts
 from .token_output import token_output
 from .url_filter import Rule, judge_urls
 from .warc import derivatives, responses_of_pages
+from .whitening import whiten
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -126,6 +129,47 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    plain = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(plain, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: The centroids, rounds, components and scale of op12.
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIM, CLUSTER_SCALE = 16, 3, 64, 64
+
+
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree_clusters(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_DIM, CLUSTER_SCALE)
+
+
+def _clusters_sql() -> str:
+    """Every vector against every centroid, round by round; a quotient that is rounded down also where the sum is negative."""
+    rounds = []
+    for i in range(CLUSTER_ROUNDS + 1):
+        rounds.append(f"""a{i} AS (SELECT row, cluster, d FROM (SELECT v.row, c.cluster, d, row_number() OVER (PARTITION BY v.row ORDER BY d, c.cluster) AS turn FROM v, c{i} c,
+            LATERAL (SELECT CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d)) WHERE turn = 1)""")
+        rounds.append(f"""m{i + 1} AS (SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM (
+            SELECT cluster, i, sum(e) AS s, count(*) AS n FROM (SELECT cluster, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM a{i} JOIN v USING (row)) GROUP BY cluster, i) GROUP BY cluster),
+        c{i + 1} AS (SELECT cluster, CAST(coalesce(m.x, c.x) AS BIGINT[]) AS x FROM c{i} c LEFT JOIN m{i + 1} m USING (cluster))""")
+    last = CLUSTER_ROUNDS
+    return f"""
+        WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor({CLUSTER_SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = {CLUSTER_DIM} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS INTEGER) AS cluster, x FROM v QUALIFY cluster < {CLUSTERS}),
+        {", ".join(rounds[:-1])}
+        SELECT vec_id, cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{last} JOIN v USING (row) JOIN c{last} c USING (cluster)
+    """
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), 16, 64, 1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_pivot_top_k": op2_pivot_top_k,
@@ -137,6 +181,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_association_rules": op8_url_association_rules,
     "op9_unigram_token_counts": op9_unigram_token_counts,
     "op10_markov_secret_scan": op10_markov_secret_scan,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +212,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
     """,
     "op7_hierarchical_mixture": _mixture_sql(),
+    "op12_dual_tree_lloyd": _clusters_sql(),
 }
