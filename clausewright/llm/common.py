@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -51,6 +53,23 @@ def share_of_hashes(*columns: str, share: float) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(min(int(share * 2**63), 2**63 - 1))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind as make it no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: its worker lives on, for tasks of other kinds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finalizer on uint64 (wraps)."""
     x = x ^ (x >> np.uint64(30))

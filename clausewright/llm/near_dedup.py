@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, scratch, small, stage, text_slices
+from .common import give_back, mix64, scratch, small, stage, text_slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -54,6 +54,7 @@ def _signer(words: int, tables: int):
                 fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(cls.tobytes())]).cast(pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 2 * tables), pa.array(groups.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(size), fixed, lists], ["id", "n_shingles", "cls", "groups"])
+        give_back()
 
     return sign
 
@@ -65,6 +66,7 @@ def _setter(words: int):
                 sets, start = shingle_sets(data, at, words)
                 lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), lists], ["id", "shingles"])
+        give_back()
 
     return sets_of
 

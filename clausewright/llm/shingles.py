@@ -2,43 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-from .common import SLICE_BYTES, mix64
+from .common import mix64
 
-_P = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Marks all ASCII but letters and digits; other characters count as letters.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER += 1
-_powers = (np.zeros(0, np.uint64),) * 2
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n at least. A worker keeps one table, as large as a slice needs; a longer text's is dropped."""
-    global _powers
-    if n <= len(_powers[0]):
-        return _powers
-    made = _make_powers(max(1 << 16, n) if n > SLICE_BYTES else min(SLICE_BYTES, 1 << max(16, (n - 1).bit_length())))
-    if n <= SLICE_BYTES:
-        _powers = made
-    return made
-
-
-def _make_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    both = []
-    for p in (_P, pow(_P, -1, 1 << 64)):
-        x = np.full(size, p, np.uint64)
-        x[0] = 1
-        both.append(np.cumprod(x, dtype=np.uint64))
-    return both[0], both[1]
+#: Bytes of a word that are mixed 8 at a time with those of other words; a longer one is hashed by itself.
+_SHORT = 512
+_PARTS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z lower-cased, cut at bytes that `between` marks) of texts that lie one after the other; and the first word of each text, with the total at the end."""
+    """64-bit hashes of the words (A-Z lower-cased, cut at bytes that `between` marks) of texts that lie one after the other; and the first word of each text, with the total at the end.
+
+    A word's bytes are taken 8 at a time, and each 8 are mixed into what came before, so no pattern in words makes hashes meet.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
@@ -50,11 +35,20 @@ def word_hashes(data: np.ndarray, at: np.ndarray, between: np.ndarray = _SPACE)
     first = np.flatnonzero(word & (~before | edge[:n]))
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, word[1:]
-    last = np.flatnonzero(word & (~after | edge[1:])) + 1
-    power, inverse = _power_table(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[data] * power[:n], out=total[1:])
-    return mix64((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)), np.searchsorted(first, at)
+    size = np.flatnonzero(word & (~after | edge[1:])) + 1 - first
+    low = np.zeros(n + 8, np.uint8)
+    low[:n] = _LOWER[data]
+    eights = np.lib.stride_tricks.sliding_window_view(low, 8)
+    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    todo, done = np.flatnonzero(size <= _SHORT), 0
+    while len(todo):
+        left = size[todo] - done
+        part = np.ascontiguousarray(eights[first[todo] + done]).view("<u8").ravel() & _PARTS[np.minimum(left, 8)]
+        out[todo] = mix64((out[todo] ^ part) + np.uint64(1))
+        todo, done = todo[left > 8], done + 8
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(low[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, np.searchsorted(first, at)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

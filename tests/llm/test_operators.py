@@ -20,6 +20,7 @@ from clausewright.llm.pivot_search import pivot_top_k
 from clausewright.llm.quality import quality
 from clausewright.llm.queries import URL_RULES, tokenizer_path
 from clausewright.llm.rans import decode_segment, encode_segment
+from clausewright.llm.shingles import word_hashes
 from clausewright.llm.secret_scan import KINDS, RandomStrings, find_secrets, ordinary_words, random_strings
 from clausewright.llm.token_counts import CountOnlyViterbi, sentencepiece_pieces, token_counts
 from clausewright.llm.token_output import token_output
@@ -69,6 +70,35 @@ def shingles(text, k):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
 
 
+def test_words_of_a_regular_pattern_do_not_meet(spark):
+    word = "a"
+    while len(word) < 2048:  # of Thue and Morse: polynomials of hashes modulo a power of two cannot tell it from its opposite
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (8, 64, 512, 1024, 2048):
+        data = np.frombuffer(f"{word[:n]} {other[:n]} {word[:n].upper()}".encode(), np.uint8)
+        one, two, three = word_hashes(data, np.array([0, len(data)]))[0]
+        assert one != two and one == three
+    docs = spark.createDataFrame([(1, f"{word[:1024]} x y"), (2, f"{other[:1024]} x y"), (3, f"{word} x y"), (4, f"{other} x y")], "doc_id long, text string")
+    assert all(r.kept and r.component_id == r.doc_id for r in near_duplicates(docs, words=3, percent=85).collect())
+
+
+def test_word_hashes_are_of_the_bytes():
+    rng = random.Random(4)
+    texts = ["", " ", *["".join(rng.choice("abAB é中\t") for _ in range(rng.randint(0, 60))) for _ in range(300)], "x" * 511, "x" * 512, "x" * 513, "X" * 513]
+    data = [t.encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    found, start = word_hashes(np.frombuffer(b"".join(data), np.uint8), at)
+    by_word = {}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        own = found[start[i] : start[i + 1]].tolist()
+        assert len(own) == len(words)
+        for w, h in zip(words, own, strict=True):
+            assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+
+
 def test_near_duplicates(spark, rows, docs, empty):
     own = {}
     for i, t, *_ in rows:
