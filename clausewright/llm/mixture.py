@@ -12,7 +12,7 @@ range in which a leaf's prefix ends is ordered row by row, so no leaf is gathere
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,18 +78,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mixture(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], share: float = 1.0, epochs: int = 2, seed: int = 17, tokens: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+def mixture(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], share: float = 1.0, epochs: int = 2, seed: int = 17, tokens: Column | None = None, id_col: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
     """A row for each row of `docs`: doc_id, the levels, n_tokens, budget (of its leaf), copies (how often it is selected, 0 to `epochs`).
 
     `levels` gives the tree from its top, as columns of `docs`; a null name counts as ''. The total budget is the whole part
     of `share` times all tokens. `tokens` counts those of a row (words of `text` by default). Null ids have one place in the order,
     that of an empty id; rows that tie in it follow by their tokens. Rows without tokens are selected with the prefix that
-    reaches them. An empty table gives no row. Other columns take no part.
+    reaches them. An empty table gives no row. Of other columns, those in `carry` come along (and settle what still ties), the rest take no part.
     """
     spark = docs.sparkSession
     folder = scratch(spark)
     names = list(levels)
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), (word_count(F.col("text")) if tokens is None else tokens).cast("long").alias("n_tokens"))
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()), (word_count(F.col("text")) if tokens is None else tokens).cast("long").alias("n_tokens"), *carry)
     rows = stage(counted, f"{folder}/counted")
     leaves = stage(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), f"{folder}/leaves")
     total = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
@@ -106,8 +106,8 @@ def mixture(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str,
     cut = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest")).groupBy(*names).agg(F.min_by(F.struct("range", (F.col("upto") - F.col("in_range")).alias("before")), "range").alias("cut"))
     cut = small(stage(cut.select(*names, F.col("cut.range").alias("cut"), F.col("cut.before").alias("before")), f"{folder}/cut"))
     at = placed.join(cut, names, "left")
-    inside = at.filter("range = cut").withColumn("end", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = at.filter("range = cut").withColumn("end", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("key", "doc_id", "n_tokens", *carry).rowsBetween(Window.unboundedPreceding, 0)))
     inside = inside.withColumn("more", (F.col("end") <= F.col("rest")) & (F.col("rest") > 0))
     others = at.filter("cut is null or range <> cut").withColumn("more", F.coalesce(F.col("range") < F.col("cut"), F.lit(False)) & (F.col("rest") > 0))
-    columns = ["doc_id", *names, "n_tokens", "budget", (F.col("whole") + F.col("more").cast("int")).cast("long").alias("copies")]
+    columns = ["doc_id", *names, "n_tokens", "budget", (F.col("whole") + F.col("more").cast("int")).cast("long").alias("copies"), *carry]
     return inside.select(*columns).unionByName(others.select(*columns))

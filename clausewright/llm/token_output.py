@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_slices, scratch
+from .common import give_back, row_slices, scratch
 from .rans import decode_segment, encode_segment
-from .tokenize import encoder
+from .tokenize import TokenEncoder
 
 #: Ids that share one frequency table; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 21
@@ -41,7 +41,7 @@ def _tokenizer(path: str, end_id: int, bounds: list[int]):
         return first + np.where(own > 1, 1 + (sums * own >> 32), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
+        tokens = TokenEncoder(path)
         wide = np.dtype("<u2" if max(tokens.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
             for row, n in row_slices(batch.column(1), TEXT_BYTES):
@@ -57,7 +57,8 @@ def _tokenizer(path: str, end_id: int, bounds: list[int]):
                 parts = parts_of(ids.fill_null(NULL_ID).to_numpy(), sums).astype(np.int32)
                 lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([pa.array(parts), ids, pa.array(np.full(n, wide.itemsize, np.int32)), lists, pa.array(sums)], ["part", "doc_id", "width", "ids", "sum"])
-        pa.default_memory_pool().release_unused()  # the worker lives on, for tasks of other kinds
+        del tokens
+        give_back()
 
     return run
 
@@ -77,8 +78,9 @@ def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for p, d, w, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            ids = np.frombuffer(x, f"<u{w}")
+        raw = batch.column(3)
+        for i, (p, d, w) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+            ids = np.frombuffer(raw[i].as_buffer(), f"<u{w}")
             if held and (p != part or size + len(ids) > SEGMENT_IDS):
                 yield flush()
             if p != part:
@@ -87,6 +89,7 @@ def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(ids)
     if held:
         yield flush()
+    give_back()
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

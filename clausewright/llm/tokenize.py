@@ -22,7 +22,6 @@ _CUTS = ((rf"([a-z])([{_SIGN}])", r"\1 \2"), ("([0-9])", r" \1 "), (r"([!-&(-/:-
 _ODD = r"[\x1c-\x1f]|<\|"
 #: The byte alphabet: bytes that are no visible character of Latin-1 stand for the characters from U+0100 on. Here, but for ASCII.
 _BYTES = {b: 0x100 + 33 + i for i, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
-_cached: dict[tuple[str, int], TokenEncoder] = {}
 
 
 def drops_white_space(config: dict) -> bool:
@@ -180,10 +179,3 @@ class TokenEncoder:
                 sizes[i] = len(ids)
             flat = np.concatenate(pieces)
         return flat, sizes
-
-
-def encoder(path: str, words: int = CACHE_WORDS) -> TokenEncoder:
-    """The encoder of this Python worker; it lives as long as the worker, across tasks, within the bound of its cache."""
-    if (path, words) not in _cached:
-        _cached[path, words] = TokenEncoder(path, words)
-    return _cached[path, words]
