@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm.common import scratch, small, stage, table
+from clausewright.llm.common import scratch, small, stage, table, unused
 from clausewright.llm.decontaminate import decontaminate
 from clausewright.llm.near_dedup import near_duplicates
 from clausewright.llm.quality import fit_quality, score_quality
@@ -19,8 +19,9 @@ KEEP_SCORE = 0.7
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at KEEP_SCORE or more, empty ones by the score of empty texts; all rows are judged apart."""
-    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), "_quality_score")
-    return scored.filter(F.col("_quality_score") >= KEEP_SCORE).drop("_quality_score")
+    score = unused(docs, "_quality_score")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), score)
+    return scored.filter(F.col(score) >= KEEP_SCORE).drop(score)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +31,12 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id are in no group, but of those of one text one stays too.
     """
     folder = scratch(spark)
+    gone_id, again_id = unused(docs, "_gone"), unused(docs, "_again")
     judged = stage(near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"), f"{folder}/judged")
-    gone = small(stage(judged.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), f"{folder}/gone"))
-    again = small(stage(judged.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), f"{folder}/again"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    repeated = F.col("doc_id").eqNullSafe(F.col("_again"))
+    gone = small(stage(judged.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(gone_id)).distinct(), f"{folder}/gone"))
+    again = small(stage(judged.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(again_id)), f"{folder}/again"))
+    kept = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    repeated = F.col("doc_id").eqNullSafe(F.col(again_id))
     once = kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(again, repeated, "left_anti").unionByName(once)
 
@@ -45,10 +47,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def budget(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture selects them; rows that repeat an id are selected as often as the first of them."""
-    copies = stage(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0"), f"{scratch(spark)}/copies")
-    chosen = docs.join(small(copies), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mixture selects them. Each row is selected for itself, also where ids repeat or are missing, so the rows of a leaf keep within its budget."""
+    folder = scratch(spark)
+    row, copies, copy = unused(docs, "_row"), unused(docs, "_copies"), unused(docs, "_copy")
+    keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), f"{folder}/rows")
+    chosen = mix(keyed, carry=[row]).filter("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
+    often = keyed.join(small(stage(chosen, f"{folder}/copies")), row)
+    return often.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
