@@ -1,20 +1,29 @@
 """Patterns, words and texts that the results depend on."""
 
-STANDARD = r"(?<![A-Za-z])(GBJ|GB|JGJ|CJJ|DB(?U:\d){2}|T)(?U:\s)*(/(?:(?U:\s)*T)?)?(?U:\s)*((?U:\d){2,5})(?:(?U:\s)*[-—–](?U:\s)*((?U:\d){4}))?"
+#: What repeats is taken possessively, and runs of digits are entered at their first: time then goes with the length of a text.
+STANDARD = r"(?<![A-Za-z])(GBJ|GB|JGJ|CJJ|DB(?U:\d){2}|T)(?U:\s)*+(/(?:(?U:\s)*+T)?)?(?U:\s)*+((?U:\d){2,5})(?:(?U:\s)*[-—–](?U:\s)*((?U:\d){4}))?"
 LABELLED = rf"(?U)(?:第\s*)?(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*[.．]\s*条)?\s*条|第\s*(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})"
-BARE = rf"(?U)(?:表|附表)?\s*(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*-\s*\d{{1,2}})?"
+BARE = rf"(?U)(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*-\s*\d{{1,2}})?"
 APPENDIX = r"(?U)(?:附\s*[表录]\s*([A-Za-z])\b|附录\s*([一二三四五六七八九十]+))"
 YEAR = r"(?U)\d{4}\s*年"
-QUANTITY = r"(?U)\d+(?:\.\d+)?\s*(?:m|mm|cm|℃|%|kg|级|座|人|册|米|米²|米2)(?![.\d])"
+QUANTITY = r"(?U)(?<!\d)\d++(?:\.\d++)?\s*+(?:m|mm|cm|℃|%|kg|级|座|人|册|米|米²|米2)(?![.\d])"
 SENTENCE_END = r"[。；;\n]"
 #: The heading behind which a standard has explanations and no clauses.
-BACK_MATTER = r"(?U)^(附\s*[:：]?\s*)?条\s*文\s*说\s*明$"
+BACK_MATTER = r"(?U)^(附\s*+[:：]?\s*+)?条\s*文\s*说\s*明$"
 DASHES, PLAIN_DASHES = "－—–‐−", "-----"
 
 REFUSAL = "本知识库未收录该内容"
 NO_HIT_REPLY = "本知识库未收录该内容。"
 #: Faults of a whole answer in words.
 REASONS = {"empty_answer": "答案为空", "model_refused": "模型按铁律拒答", "no_citation": "答案没有标注任何条文号，无法核实出处"}
+#: Faults of a citation in words: {0} is the clause, {1} the standards that have it, {2} those that the answer names.
+CITATION_REASONS = {
+    "not_in_hits": ("条文号 ", 0, " 不在本次检索片段里"),
+    "standard_mismatch": ("第 ", 0, " 条出自 ", 1, "，答案却标成 ", 2),
+    "ambiguous_article": ("第 ", 0, " 条在 ", 1, " 里都有，答案没有指明出处"),
+}
+#: A secret that is not set, and what stands between and behind the ends of a long one.
+UNSET, MASKED = "(未设置)", ("…", "（长度 ", "）")
 EXTRACT_HEAD = "【降级·抽取式回答】模型生成的回答未通过引用校验，以下直接引用检索片段原文："
 
 QUESTION_CHARS = "的了吗呢吧啊什么怎样怎么如何为啥哪些哪个多少能否可否可以应该需要要求规定是否包括请给出说明一下为什么这那有以为对把被几多个条条款项"

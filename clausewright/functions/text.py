@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import rules as R
+from .runs import greedy_longest
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s++", ""), r"(?U)(?<!\s)\s++$", "")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,7 +53,7 @@ def article_key(number: Column) -> Column:
         return strip(F.regexp_replace(F.regexp_replace(t, "^(第|表|附表|条文号)", ""), "(条|款|项)$", ""))
 
     def plain(bare: Column) -> Column:
-        letter = F.regexp_extract(bare, r"(?U)^([A-Za-z])\s*-?\s*\d+$", 1)
+        letter = F.regexp_extract(bare, r"(?U)^([A-Za-z])\s*+-?\s*+\d+$", 1)
         dotted = F.regexp_extract(bare, r"(?U)^(\d+(?:\.\d+)+)", 1)
         pair = F.when(bare.rlike(two), F.concat_ws(".", F.regexp_extract(bare, two, 1), F.regexp_extract(bare, two, 2))).otherwise(bare)
         return F.coalesce(F.when(letter != "", F.concat(F.lit("附录"), F.upper(letter))), F.nullif(dotted, F.lit("")), pair)
@@ -107,30 +110,25 @@ def question_segments(question: Column) -> Column:
     return F.filter(F.split(t, rf"[^\u4e00-\u9fffA-Za-z0-9]+|[{R.QUESTION_CHARS}]"), lambda s: s != "")
 
 
-def longest_run(question: Column, texts: Column) -> Column:
-    """The longest run of two or more ideographs of the question that stands in one of the texts, scanned greedily from the left: the longest run at a place is taken and the scan goes on behind it."""
-
-    def scan(segment: Column) -> Column:
-        size = F.length(segment)
+@F.pandas_udf(IntegerType())
+def _longest(segments: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([greedy_longest(list(s), () if t is None else t) for s, t in zip(segments, texts, strict=True)], dtype="int32")
 
-        def step(state: Column, at: Column) -> Column:
-            lengths = F.when(size - at >= 1, F.sequence(size - at + 1, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-            fits = F.filter(lengths, lambda n: F.exists(texts, lambda t: F.contains(t, F.substring(segment, at, n))))
-            best = F.coalesce(F.get(fits, 0), F.lit(0))
-            taken = F.struct((at + F.greatest(best, F.lit(1))).alias("next"), F.greatest(state["best"], best).alias("best"))
-            return F.when(at < state["next"], state).otherwise(taken)
-
-        places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.struct(F.lit(1).alias("next"), F.lit(0).alias("best")), step, lambda s: s["best"])
 
+def longest_run(question: Column, texts: Column) -> Column:
+    """The longest run of two or more ideographs of the question that stands in one of the texts, scanned greedily from the left: the longest run at a place is taken and the scan goes on behind it. Time goes with the lengths of question and texts; a null text has no run."""
     ideographs = F.transform(question_segments(question), lambda s: F.regexp_replace(s, r"[^\u4e00-\u9fff]", ""))
-    return F.coalesce(F.array_max(F.transform(ideographs, scan)), F.lit(0))
+    some = F.filter(ideographs, lambda s: F.length(s) > 1)
+    return F.when((F.size(some) > 0) & (F.size(texts) > 0), _longest(some, texts)).otherwise(0)
 
 
 def shortened(text: Column, most: int = 400, mark: str = "……") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 
 
-def mask(secret: Column, shown: int = 4) -> Column:
-    """A secret for display: its first and last characters, or stars alone for a short one."""
-    return F.when(F.length(secret) > 2 * shown, F.concat(F.substring(secret, 1, shown), F.lit("****"), F.right(secret, F.lit(shown)))).otherwise(F.lit("****"))
+def mask(secret: Column) -> Column:
+    """A secret for display: of more than 10 characters the first 3, the last 4 and the length, else the first 2 and stars; a mark for none."""
+    size, (between, opened, closed) = F.length(secret), R.MASKED
+    short = F.concat(F.left(secret, F.lit(2)), F.repeat(F.lit("*"), F.greatest(size - 2, F.lit(0))))
+    long = F.concat(F.left(secret, F.lit(3)), F.lit(between), F.right(secret, F.lit(4)), F.lit(opened), size.cast("string"), F.lit(closed))
+    return F.when(F.coalesce(secret, F.lit("")) == "", R.UNSET).when(size <= 10, short).otherwise(long)

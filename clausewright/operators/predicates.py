@@ -53,7 +53,7 @@ def compile_where(where: Where | None) -> Column:
         elif isinstance(value, dict):
             for op, operand in value.items():
                 if op == "$in":
-                    parts.append(F.coalesce(F.col(field).isin(*operand), F.lit(False)))
+                    parts.append(F.col(field).isNotNull() & F.col(field).isin(*operand))
                 elif op == "$ne":
                     parts.append(~F.col(field).eqNullSafe(operand))
                 elif op == "$eq":
