@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNKS = "id string, text string, standard string, standard_name string, version string, article_no string, chapter string, page_start int, page_end int, kind string, status string, force_status string"
@@ -18,8 +18,12 @@ def dropped_sections(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count_if(F.col("kind").eqNullSafe("section")).alias("dropped"))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return without_sections(spark.read.schema(CHUNKS).json(path))
+def read_chunks(spark: SparkSession, path: str, seen: Observation | None = None) -> DataFrame:
+    """Rows of JSON lines without sections. `seen` gets, from the first action on the rows, how many were read and how many of them dropped: `rows`, `dropped`."""
+    rows = spark.read.schema(CHUNKS).json(path)
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kind").eqNullSafe("section")).alias("dropped"))
+    return without_sections(rows)
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +32,15 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_marked_text(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of text files, one row a line."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    """(file, line, text) of text files of any size, one row a line, lines counted from 0 in each file.
+
+    A file is read in blocks by many tasks. A block's lines are counted by themselves, and start where the blocks before it end;
+    the rows that are carried over a file are one for each block.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("text")
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("first")).alias("offset"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("offset")).alias("line"), "text")

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import npy
+from .npy import ManifestError
 from .store import GateError, manifest_problems
 
 
-class ManifestError(RuntimeError):
-    """A manifest or a matrix that cannot be read."""
-
-
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     """The manifest; None where there is no file, ManifestError where it holds no JSON."""
     try:
@@ -33,25 +27,20 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
         raise ManifestError(f"{path} holds no JSON") from e
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            matrix = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
-            if matrix.ndim != 2:
-                raise ManifestError(f"{path} has {matrix.ndim} dimensions, not 2")
-            for first in range(0, len(matrix), 4096):
-                part = np.ascontiguousarray(matrix[first : first + 4096], np.float32)
-                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
-                lists = pa.ListArray.from_arrays(ends, pa.array(part.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(first, first + len(part))), lists], ["path", "row", "embedding"])
+def read_matrix(spark: SparkSession, path: str, range_bytes: int = npy.RANGE_BYTES) -> DataFrame:
+    """(pos, embedding) of one matrix file or a folder of them, in the order of their names; positions count from 0 over all. A task reads about `range_bytes`."""
+    npy.register(spark)
+    return spark.read.format("matrix").option("rangeBytes", range_bytes).load(path)
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, embedding) of one matrix file or a folder of them (each below 2 GB, in the order of their names); positions count from 0 over all. A file is one task's work: write large matrices in parts."""
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_vectors, "path string, row long, embedding array<float>")
-    before = F.sum("n").over(Window.orderBy("path")) - F.col("n")  # a row for each file
-    first = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", before.alias("first"))
-    return rows.join(first, "path").select((F.col("first") + F.col("row")).alias("pos"), "embedding")
+def matrix_shape(path: str) -> tuple[int, int] | None:
+    """(rows, dim) of one matrix file or a folder of them by their headers; None where there is none, ManifestError where they differ in width."""
+    found = npy.headers(path)
+    if not found:
+        return None
+    if len({m.dim for m in found}) > 1:
+        raise ManifestError(f"the matrices of {path} differ in width")
+    return sum(m.rows for m in found), found[0].dim
 
 
 def cache_state(given: dict | None, exists: bool, sha1: str, model: str, count: int, dim: int | None = None) -> tuple[bool, list[str]]:
@@ -61,20 +50,15 @@ def cache_state(given: dict | None, exists: bool, sha1: str, model: str, count:
 
 
 def with_vectors(rows: DataFrame, manifest: dict | None, matrix: str, sha1: str, model: str, dim: int | None = None) -> DataFrame:
-    """`rows` (pos, from 0 without gaps) with `embedding`, joined by position; GateError where manifest, matrix and rows do not belong together."""
-    count = rows.count()
+    """`rows` (pos, from 0 without gaps) with `embedding`, joined by position; GateError where manifest, matrix and rows do not belong together. The matrix's shape comes from its headers, the rows are looked through once."""
+    count, low, high, different = rows.agg(F.count(F.lit(1)), F.min("pos"), F.max("pos"), F.count_distinct("pos")).first()
     if problems := manifest_problems(manifest, sha1, model, count, dim):
         raise GateError("; ".join(problems))
-    try:
-        vectors = read_matrix(rows.sparkSession, matrix)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise GateError("matrix missing") from e
-    n, narrow, wide = vectors.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
-    if n != count or (n and (narrow, wide) != (manifest["dim"], manifest["dim"])):
+    shape = matrix_shape(matrix)
+    if shape is None:
+        raise GateError("matrix missing")
+    if shape != (count, manifest["dim"]):
         raise GateError("the matrix has another shape than the manifest")
-    joined = rows.join(vectors, "pos")
-    if joined.count() != count:
+    if count and (low, high, different) != (0, count - 1, count):
         raise GateError("positions of the rows are not those of the matrix")
-    return joined
+    return rows.join(read_matrix(rows.sparkSession, matrix), "pos")

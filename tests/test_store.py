@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from clausewright.sources.chunks import fingerprint, read_chunks, read_marked_text
-from clausewright.sources.matrix import ManifestError, cache_state, read_manifest, read_matrix, with_vectors
+from clausewright.sources.matrix import ManifestError, cache_state, matrix_shape, read_manifest, read_matrix, with_vectors
+from clausewright.sources.npy import MatrixReader
 from clausewright.sources.store import GateError, IndexStore, Manifest, PublishError, manifest_problems, model_of
 
 
@@ -81,6 +82,8 @@ def test_matrix(spark, tmp_path):
     got = with_vectors(own, manifest, str(folder), "x", "m", 4).orderBy("pos").collect()
     assert [(r.id, r.embedding) for r in got] == [(f"r{i}", matrix[i].tolist()) for i in range(5)]
     np.save(tmp_path / "flat.npy", matrix.ravel())
+    with pytest.raises(ManifestError, match="dimensions"):
+        matrix_shape(str(tmp_path / "flat.npy"))
     with pytest.raises(Exception, match="dimensions"):
         read_matrix(spark, str(tmp_path / "flat.npy")).count()
     for wrong in ((own.filter("pos < 4"), manifest, folder), (own, given(5, model="o"), folder), (own, manifest, tmp_path / "none"), (own, manifest, folder / "a.npy"), (own.withColumn("pos", own.pos + 1), manifest, folder)):
@@ -88,6 +91,43 @@ def test_matrix(spark, tmp_path):
             with_vectors(wrong[0], wrong[1], str(wrong[2]), "x", "m")
 
 
+def test_matrix_by_ranges(spark, tmp_path):
+    want = np.arange(9_000 * 5, dtype=np.float64).reshape(9_000, 5)
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    np.save(folder / "a.npy", want[:4_000].astype(np.float32))
+    np.save(folder / "b.npy", np.asfortranarray(want[4_000:8_000]))
+    np.save(folder / "c.npy", want[8_000:].astype(np.int32))
+    (folder / "_SUCCESS").write_text("")
+    assert matrix_shape(str(folder)) == (9_000, 5) == matrix_shape(f"file://{folder}") and matrix_shape(str(tmp_path / "none")) is None
+    found = read_matrix(spark, str(folder), range_bytes=10_000)
+    assert found.rdd.getNumPartitions() == sum(-(-rows // (10_000 // size)) for rows, size in ((4_000, 20), (4_000, 40), (1_000, 20)))
+    assert [r.embedding for r in found.orderBy("pos").collect()] == want.tolist()
+    np.save(folder / "d.npy", want[:, :2])
+    with pytest.raises(ManifestError, match="width"):
+        matrix_shape(str(folder))
+    np.save(tmp_path / "text.npy", np.array([["a"]]))
+    (tmp_path / "cut.npy").write_bytes((folder / "a.npy").read_bytes()[:-1])
+    (tmp_path / "none.npy").write_text("no matrix")
+    for name, why in (("text", "plain"), ("cut", "cut off"), ("none", "no header")):
+        with pytest.raises(ManifestError, match=why):
+            matrix_shape(str(tmp_path / f"{name}.npy"))
+
+
+def test_matrix_beyond_two_gigabytes(spark, tmp_path):
+    rows, dim = 2_300_000, 256  # 2.36 GB, of which the disk holds only the end
+    with open(tmp_path / "large.npy", "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (rows, dim)})
+        f.seek(f.tell() + (rows - 1) * dim * 4)
+        f.write(np.full(dim, 7, "<f4").tobytes())
+    reader = MatrixReader(str(tmp_path / "large.npy"), 64 << 20)
+    parts = reader.partitions()
+    assert len(parts) > 30 and sum(p.count for p in parts) == rows
+    *_, last = reader.read(parts[-1])
+    assert last.column(0)[-1].as_py() == rows - 1 and last.column(1)[-1].as_py() == [7.0] * dim
+    assert read_matrix(spark, str(tmp_path / "large.npy")).rdd.getNumPartitions() == len(parts)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"id": "a", "kind": "section"}\n\n{"id": "b", "kind": "article"}\n{"id": "c"}\n')
     assert {r.id for r in read_chunks(spark, str(tmp_path / "c.jsonl")).collect()} == {"b", "c"}
