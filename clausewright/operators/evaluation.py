@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
+#: Size of a sketch: with 200, a merged one is off by 1.65 % of the ranks at most, with 99 % confidence.
+SKETCH = 200
+
 
 def gold_ranks(questions: DataFrame, hits: DataFrame, gold: DataFrame, on: list[str]) -> DataFrame:
     """(qid, best_rank, gold_score): each question's best hit among its gold rows, which match on `on` (with qid); null where none is among the hits."""
@@ -38,6 +43,44 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return scores.select("score", "positive", steps).groupBy("threshold").agg(F.count_if(~F.col("positive") & (F.col("score") >= F.col("threshold"))).alias("negatives_over"), F.count_if(F.col("positive") & (F.col("score") < F.col("threshold"))).alias("positives_under"))
 
 
+def threshold_curve(scores: DataFrame, folder: str) -> DataFrame:
+    """`scores` (score, positive) to (threshold, negatives_over, positives_under, errors): for each distinct score as threshold, the negatives at or above it, the positives below it, and their sum.
+
+    Scores are dealt over ranges; each range's counts are carried to those above and below it (a row for each range), and the
+    running counts are made within each range. Null scores go; a null `positive` counts on neither side. `folder`: a new one
+    that all executors share, in which the ranges are fixed.
+    """
+    per = scores.filter("score is not null").groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    per = staged(per.repartitionByRange("score").withColumn("range", F.spark_partition_id()), folder)
+    order = Window.orderBy("range")
+    sums = per.groupBy("range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))  # no more rows than partitions
+    p_below = F.coalesce(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n_above = F.coalesce(F.sum("n").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    carried = sums.select("range", p_below.alias("p_below"), n_above.alias("n_above"))
+    inside = Window.partitionBy("range").orderBy("score")
+    under = F.col("p_below") + F.coalesce(F.sum("p").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = F.col("n_above") + F.sum("n").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    curve = per.join(F.broadcast(carried), "range").select(F.col("score").alias("threshold"), over.alias("negatives_over"), under.alias("positives_under"))
+    return curve.withColumn("errors", F.col("negatives_over") + F.col("positives_under"))
+
+
+def best_cut(curve: DataFrame) -> DataFrame:
+    """The threshold of the fewest errors, of several the smallest, with its counts."""
+    return curve.agg(F.min_by(F.struct(*curve.columns), F.struct("errors", "threshold")).alias("b")).select("b.*")
+
+
+def score_sketches(rows: DataFrame, by: list[str], score_col: str = "gold_score", size: int = SKETCH) -> DataFrame:
+    """(the slice's columns, n, sketch): a mergeable sketch of each slice's scores, to be stored. Null scores count in none; a slice without a score has a null sketch."""
+    score = F.col(score_col).cast("double")
+    return rows.groupBy(*by).agg(F.count(score).alias("n"), F.kll_sketch_agg_double(score, size).alias("sketch")).withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
+def sketched_percentile(sketches: DataFrame, by: list[str], share: float = 0.05) -> DataFrame:
+    """(by, n, low): the percentile of the scores of merged slices, off by the sketch's error in rank; null where no slice has a score."""
+    some = sketches.filter("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return some.select(*by, "n", F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("low"))
+
+
 def slices(ranks: DataFrame, by: list[str], k: int = 1) -> DataFrame:
     """Recall at k for every value of each column in `by`, and over all (null everywhere), with `slice`, the column's name."""
     sets = [[c] for c in by] + [[]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.vectors import cosine
+from ..sources.staging import shared_folder, staged
 from .predicates import Where, compile_where
 
 #: Questions, and bytes of their vectors, that are broadcast against all rows at a time; larger batches run in blocks of about so many.
@@ -42,11 +44,26 @@ def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, valid
 
 
-def _best(shared, k: int, others_only: bool, id_col: str, vector_col: str, qid_col: str):
-    """The rows of each batch that are among the k best of their question so far in the task, with the question's columns and the score."""
+def _meetings(batch: pa.RecordBatch, by_cell: dict[int, np.ndarray] | None, questions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, questions) that are to be compared: all with all, or by the rows' cells (the column `cell`) the questions that look into them."""
+    if by_cell is None:
+        yield np.arange(batch.num_rows), np.arange(questions)
+        return
+    cells = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+    order = np.argsort(cells, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+        if len(rows) and (wanted := by_cell.get(int(cells[rows[0]]))) is not None:
+            yield rows, wanted
+
+
+def best_of_task(shared, k: int, others_only: bool, id_col: str, vector_col: str, columns: list[str]):
+    """The rows of each batch that are among the k best of their question so far in the task: `columns` of the row, the question's columns and the score.
+
+    `shared` is a broadcast (questions as a batch, their unit vectors, their ids, the questions of each cell or None).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, unit, ids = shared.value
+        asked, unit, ids, by_cell = shared.value
         kth = np.full(len(unit), -np.inf)
         for batch in batches:
             own, valid = _units(batch.column(batch.schema.get_field_index(vector_col)), unit.shape[1])
@@ -56,68 +73,94 @@ def _best(shared, k: int, others_only: bool, id_col: str, vector_col: str, qid_c
             place[order] = np.arange(len(order))
             same = np.array(row_ids.to_pylist(), object) if others_only else None
             chosen, of, scores = [], [], []
-            for first in range(0, len(unit), 256):
-                near = unit[first : first + 256] @ own.T
-                near[:, ~valid] = -np.inf
-                for j, line in enumerate(near, first):
-                    fits = np.flatnonzero(line >= kth[j] - 1e-9) if kth[j] > -np.inf else np.flatnonzero(valid)
-                    if same is not None and ids[j] is not None:
-                        fits = fits[same[fits] != ids[j]]
-                    if len(fits) > 4 * k:  # the k best and what ties with them
-                        least = np.partition(line[fits], -k)[-k]
-                        fits = fits[line[fits] >= least - 1e-9]
-                    if not len(fits):
-                        continue
-                    exact = (own[fits] * unit[j]).sum(axis=1)  # in one order of summing for all rows, so equal rows tie
-                    top = np.lexsort((place[fits], -exact))[:k]
-                    if len(top) == k:
-                        kth[j] = max(kth[j], exact[top[-1]])
-                    chosen.append(fits[top])
-                    of.append(np.full(len(top), j))
-                    scores.append(exact[top])
+            for rows, wanted in _meetings(batch, by_cell, len(unit)):
+                rows = rows[valid[rows]]
+                for first in range(0, len(wanted), 256):
+                    who = wanted[first : first + 256]
+                    for j, line in zip(who.tolist(), unit[who] @ own[rows].T, strict=True):
+                        at = np.flatnonzero(line >= kth[j] - 1e-9)
+                        if same is not None and ids[j] is not None:
+                            at = at[same[rows[at]] != ids[j]]
+                        if len(at) > 4 * k:  # the k best and what ties with them
+                            least = np.partition(line[at], -k)[-k]
+                            at = at[line[at] >= least - 1e-9]
+                        if not len(at):
+                            continue
+                        fits = rows[at]
+                        exact = (own[fits] * unit[j]).sum(axis=1)  # in one order of summing for all rows, so equal rows tie
+                        top = np.lexsort((place[fits], -exact))[:k]
+                        if len(top) == k:
+                            kth[j] = max(kth[j], exact[top[-1]])
+                        chosen.append(fits[top])
+                        of.append(np.full(len(top), j))
+                        scores.append(exact[top])
             if chosen:
-                rows = batch.take(pa.array(np.concatenate(chosen)))
+                found = batch.select(columns).take(pa.array(np.concatenate(chosen)))
                 questions = asked.take(pa.array(np.concatenate(of)))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *questions.columns, pa.array(np.concatenate(scores))], [*rows.schema.names, *questions.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*found.columns, *questions.columns, pa.array(np.concatenate(scores))], [*found.schema.names, *questions.schema.names, "score"])
 
     return run
 
 
-def top_k(rows: DataFrame, questions: DataFrame, k: int = 5, where: Where | None = None, min_score: float | None = None, others_only: bool = False, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", qvector_col: str = "qvector") -> DataFrame:
-    """The k best rows by cosine for each question, with all columns of both, `score`, and `rank` from 1; ties to the smaller id.
-
-    The questions are a stated set: they are broadcast in blocks of about QUESTION_BYTES and QUESTIONS, by a hash of qid, so a
-    question is whole in one block. Each task keeps the k best of its rows by matrix products, and one exchange by question
-    ranks what the tasks found. Vectors that are null or zero, hold a null or non-finite component, or have another length than
-    the longest question's, take no part. `others_only`: a row is no hit of the question of its own id.
-    """
-    spark, k = rows.sparkSession, k or 5
-    kept = rows.filter(compile_where(where))
-    schema = StructType([*kept.schema.fields, *questions.schema.fields, StructField("score", DoubleType())])
+def question_blocks(questions: DataFrame, qid_col: str, qvector_col: str, most: int, carry_vectors: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list]]:
+    """Blocks of at most about `most` questions and QUESTION_BYTES, by a hash of qid: what a question's hits carry, the unit vectors, the ids. Questions without a score go."""
     dim, total, held = questions.agg(F.max(F.size(qvector_col)), F.count(F.lit(1)), F.sum(F.size(qvector_col) * 8)).first()
-    found, order = None, Window.partitionBy(qid_col).orderBy(F.desc("score"), id_col)
-    blocks = max(1, math.ceil(total / QUESTIONS), math.ceil((held or 0) / QUESTION_BYTES))
+    blocks = max(1, math.ceil(total / most), math.ceil((held or 0) / QUESTION_BYTES))
     for b in range(blocks if total and dim and dim > 0 else 0):
         own = questions.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b).toArrow().combine_chunks()
         if not own.num_rows:
             continue
         unit, valid = _units(own.column(qvector_col), dim)
         asked = own.filter(pa.array(valid)).combine_chunks()
-        asked = asked.to_batches()[0] if asked.num_rows else None
-        if asked is not None:
-            shared = spark.sparkContext.broadcast((asked, unit[valid], asked.column(asked.schema.get_field_index(qid_col)).to_pylist()))
-            best = kept.mapInArrow(_best(shared, k, others_only, id_col, vector_col, qid_col), schema)
-            found = best if found is None else found.unionByName(best)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        if asked.num_rows:
+            batch = asked.to_batches()[0]
+            carried = batch if carry_vectors else batch.select([c for c in batch.schema.names if c != qvector_col])
+            yield carried, unit[valid], batch.column(batch.schema.get_field_index(qid_col)).to_pylist()
+
+
+def ranked(found: DataFrame, k: int, qid_col: str, id_col: str) -> DataFrame:
+    order = Window.partitionBy(qid_col).orderBy(F.desc("score"), id_col)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def top_k(rows: DataFrame, questions: DataFrame, k: int = 5, where: Where | None = None, min_score: float | None = None, others_only: bool = False, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", qvector_col: str = "qvector", carry_vectors: bool = True) -> DataFrame:
+    """The k best rows by cosine for each question, with all columns of both, `score`, and `rank` from 1; ties to the smaller id.
+
+    The questions are a stated set: they are broadcast in blocks of about QUESTION_BYTES and QUESTIONS, by a hash of qid, so a
+    question is whole in one block. Each task keeps the k best of its rows by matrix products, and one exchange by question
+    ranks what the tasks found. A block is done, and its broadcast gone, before the next one begins. Vectors that are null or
+    zero, hold a null or non-finite component, or have another length than the longest question's, take no part. `others_only`:
+    a row is no hit of the question of its own id. Without `carry_vectors` the vectors of hits and questions stay behind, which
+    spares the exchange most of its bytes.
+    """
+    spark, k = rows.sparkSession, k or 5
+    kept = rows.filter(compile_where(where))
+    columns = [c for c in kept.columns if carry_vectors or c != vector_col]
+    of_question = [f for f in questions.schema.fields if carry_vectors or f.name != qvector_col]
+    schema = StructType([*kept.select(*columns).schema.fields, *of_question, StructField("score", DoubleType())])
+    passes, last = [], None
+    folder = None
+    for asked, unit, ids in question_blocks(questions, qid_col, qvector_col, QUESTIONS, carry_vectors):
+        if last is not None:
+            folder = folder or shared_folder(spark)
+            passes.append(staged(last[0], f"{folder}/pass{len(passes)}"))
+            last[1].destroy()
+        shared = spark.sparkContext.broadcast((asked, unit, ids, None))
+        best = kept.mapInArrow(best_of_task(shared, k, others_only, id_col, vector_col, columns), schema)
+        last = ranked(best, k, qid_col, id_col), shared
+    if last is not None and passes:
+        passes.append(staged(last[0], f"{folder}/pass{len(passes)}"))
+        last[1].destroy()
+    elif last is not None:
+        passes = [last[0]]
+    found = reduce(DataFrame.unionByName, passes) if passes else ranked(spark.createDataFrame([], schema), k, qid_col, id_col)
     return found if min_score is None else found.filter(F.col("score") >= min_score)
 
 
 def self_hits(rows: DataFrame, sample: int = 10, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """For the first `sample` rows by id: whether the nearest row to a row's own vector is itself."""
     own = rows.orderBy(id_col).limit(sample).select(F.col(id_col).alias("qid"), F.col(vector_col).alias("qvector"))
-    found = top_k(rows, own, 1, id_col=id_col, vector_col=vector_col)
+    found = top_k(rows, own, 1, id_col=id_col, vector_col=vector_col, carry_vectors=False)
     return found.select("qid", F.col(id_col).alias("nearest"), (F.col(id_col) == F.col("qid")).alias("is_self"))
 
 

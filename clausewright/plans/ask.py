@@ -113,7 +113,7 @@ def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str]
     folder = shared_folder(chunks.sparkSession)
     if encoder is not None:
         questions = staged(encode(questions, encoder), f"{folder}/questions")
-    hits = staged(top_k(chunks, questions.select("qid", "qvector"), k, with_default_kind(where), min_score).drop("embedding", "qvector"), f"{folder}/hits")
+    hits = staged(top_k(chunks, questions.select("qid", "qvector"), k, with_default_kind(where), min_score, carry_vectors=False), f"{folder}/hits")
     relevant = relevance(questions, hits, min_run)
     open_questions = questions.join(relevant.filter("in_domain").select("qid"), "qid", "left_semi")
     no_answer = (F.lit(None).cast("string").alias("answer"), F.lit(None).cast("long").alias("tokens"), F.lit(None).cast("string").alias("error"))

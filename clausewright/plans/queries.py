@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import catalog, citations, corpus, evaluation, policy, predicates, quality_gate, search
+from ..operators.inverted_file import InvertedFile
 from ..sources.chunks import dropped_sections, without_sections
+from ..sources.staging import shared_folder
 from . import ask
 
 STANDARDS = ("GB 55031-2022", "JGJ 38-2015", "GB 50352-2019", "GB 55037-2022", "GB 99999-2099")
@@ -52,7 +54,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each question and clause, ranked by score."""
     k = F.col("l_partkey")
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), k.alias("k"), (F.col("l_discount") * 10).alias("score"))
-    rows = rows.groupBy("qid", "k").agg(F.max("score").alias("score"))
+    rows = rows.repartition("qid").groupBy("qid", "k").agg(F.max("score").alias("score"))  # dealt by question once, for all that follows
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "k")))
     k = F.col("k")
     return rows.select("qid", "k", "rank", "score", _s("GB ", k % 7 + 50003, "-2019").alias("standard"), F.lit("规范").alias("standard_name"), F.lit("2019").alias("version"), _s(k % 3 + 1, ".", k % 2).alias("article_no"), F.lit("article").alias("kind"), F.lit("现行").alias("status"), F.lit("非强条").alias("force_status"), _s("正文", k).alias("text"))
@@ -121,17 +123,17 @@ def vector_topk_single(spark, d):
 
 @query("vector_topk_batch", _topk_sql())
 def vector_topk_batch(spark, d):
-    return _ranked(search.top_k(_vectors(spark, d), _asked(spark, d), 5))
+    return _ranked(search.top_k(_vectors(spark, d), _asked(spark, d), 5, carry_vectors=False))
 
 
 for _name, _where in _LABELS.items():
-    QUERIES[f"vector_topk_filtered_{_name}"] = lambda spark, d, w=_where: _ranked(search.top_k(_vectors(spark, d), _asked(spark, d), 5, w))
+    QUERIES[f"vector_topk_filtered_{_name}"] = lambda spark, d, w=_where: _ranked(search.top_k(_vectors(spark, d), _asked(spark, d), 5, w, carry_vectors=False))
     ORACLE_SQL[f"vector_topk_filtered_{_name}"] = _topk_sql(_LABEL_SQL[_name])
 
 
 @query("min_score_postfilter", _topk_sql(k=10, floor="score >= 0.4"))
 def min_score_postfilter(spark, d):
-    return _ranked(search.top_k(_vectors(spark, d), _asked(spark, d), 10, min_score=0.4))
+    return _ranked(search.top_k(_vectors(spark, d), _asked(spark, d), 10, min_score=0.4, carry_vectors=False))
 
 
 @query("self_hit_sample", "SELECT vec_id AS qid, vec_id AS nearest, true AS is_self FROM embeddings ORDER BY vec_id LIMIT 10")
@@ -139,6 +141,27 @@ def self_hit_sample(spark, d):
     return search.self_hits(_vectors(spark, d))
 
 
+@query("indexed_recall", "SELECT count(*) * (SELECT least(10, count(*) - 1) FROM embeddings) AS hits, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def indexed_recall(spark, d):
+    """How many neighbours there are to find for every question, and whether the index finds 95 % of them."""
+    rows, asked, folder = _vectors(spark, d), _asked(spark, d), shared_folder(spark)
+    index = InvertedFile.build(rows, f"{folder}/index")
+    found = index.search(asked, f"{folder}/rounds", 10, others_only=True).select("qid", "id", F.lit(1).alias("found"))
+    exact = search.top_k(rows, asked, 10, others_only=True, carry_vectors=False).join(found, ["qid", "id"], "left")
+    return exact.agg(F.count(F.lit(1)).alias("hits"), (F.count("found") >= 0.95 * F.count(F.lit(1))).alias("reached"))
+
+
+_RARE = (3, 50, 77, 101, 222, 333, 444)
+
+
+@query("indexed_topk_rare", _topk_sql(f"e.vec_id IN {_RARE}", k=10))
+def indexed_topk_rare(spark, d):
+    """A predicate that leaves fewer rows than k: the search goes on to all cells, and is exact."""
+    folder = shared_folder(spark)
+    index = InvertedFile.build(_vectors(spark, d), f"{folder}/index")
+    return _ranked(index.search(_asked(spark, d), f"{folder}/rounds", 10, {"id": {"$in": list(_RARE)}}))
+
+
 _IDS = {
     "default_kind_injected": (None, "kind = 'article'"),
     "explicit_kind_kept": ({"kind": "table"}, "kind = 'table'"),
@@ -252,7 +275,7 @@ def relevance_stats(spark, d):
 
 def _ranks(spark, d) -> tuple[DataFrame, DataFrame]:
     asked = _asked(spark, d, 10)
-    found = search.top_k(_vectors(spark, d), asked, 10, others_only=True)
+    found = search.top_k(_vectors(spark, d), asked, 10, others_only=True, carry_vectors=False)
     gold = asked.select("qid", F.col("qlabel").alias("label"))
     return found, evaluation.gold_ranks(asked, found, gold, ["label"]).join(asked.select("qid", "qlabel"), "qid")
 
@@ -292,6 +315,38 @@ def threshold_sweep(spark, d):
     return evaluation.threshold_sweep(found.withColumn("positive", F.col("label") == F.col("qlabel")), [0.2, 0.3, 0.4, 0.5])
 
 
+_JUDGED = f"""WITH {_RANKS}, c AS (SELECT round(score, 6) AS threshold, count(*) FILTER (label = qlabel) AS p, count(*) FILTER (label <> qlabel) AS n FROM t GROUP BY ALL),
+    curve AS (SELECT threshold, CAST(sum(n) OVER (ORDER BY threshold ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS negatives_over,
+        CAST(coalesce(sum(p) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS positives_under FROM c)"""
+
+
+def _curve(spark, d):
+    found, _ = _ranks(spark, d)
+    return evaluation.threshold_curve(found.select(F.round("score", 6).alias("score"), (F.col("label") == F.col("qlabel")).alias("positive")), f"{shared_folder(spark)}/ranges")
+
+
+@query("threshold_curve", _JUDGED + " SELECT threshold, negatives_over, positives_under, negatives_over + positives_under AS errors FROM curve")
+def threshold_curve(spark, d):
+    return _curve(spark, d)
+
+
+@query("threshold_best", _JUDGED + " SELECT threshold, negatives_over, positives_under, negatives_over + positives_under AS errors FROM curve ORDER BY errors, threshold LIMIT 1")
+def threshold_best(spark, d):
+    return evaluation.best_cut(_curve(spark, d))
+
+
+@query("score_percentile_sketch", "SELECT qlabel, n, true AS within FROM (SELECT label AS qlabel, count(*) AS n FROM embeddings GROUP BY label UNION ALL SELECT NULL, count(*) FROM embeddings)")
+def score_percentile_sketch(spark, d):
+    """The low percentile of the first component by label and over all, from sketches of finer slices, and whether its rank is right to 2 %."""
+    rows = _vectors(spark, d).select(F.col("label").alias("qlabel"), (F.col("id") % 7).alias("part"), F.get("embedding", 0).cast("double").alias("gold_score"))
+    stored = evaluation.score_sketches(rows, ["qlabel", "part"])
+    low = evaluation.sketched_percentile(stored, ["qlabel"]).unionByName(evaluation.sketched_percentile(stored.withColumn("qlabel", F.lit(None).cast("int")), ["qlabel"]))
+    every = rows.unionByName(rows.withColumn("qlabel", F.lit(None).cast("int")))
+    placed = every.join(F.broadcast(low.withColumnRenamed("qlabel", "of").drop("n")), F.col("qlabel").eqNullSafe(F.col("of")))  # a row for each label
+    shares = placed.groupBy("qlabel").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gold_score") < F.col("low")).cast("int")).alias("below"), F.avg((F.col("gold_score") <= F.col("low")).cast("int")).alias("upto"))
+    return shares.select("qlabel", "n", ((F.col("below") - 0.02 <= 0.05) & (F.col("upto") + 0.02 >= 0.05)).alias("within"))
+
+
 @query("eval_slices", f"WITH {_RANKS} SELECT CASE WHEN grouping(qlabel) = 0 THEN 'qlabel' WHEN grouping(half) = 0 THEN 'half' ELSE 'all' END AS slice, qlabel, half, count(*) AS n, round({_SHARE.format(k=1)}, 9) AS recall FROM (SELECT *, qid % 20 AS half FROM r) GROUP BY GROUPING SETS ((qlabel), (half), ())")
 def eval_slices(spark, d):
     out = evaluation.slices(_ranks(spark, d)[1].withColumn("half", F.col("qid") % 20), ["qlabel", "half"])
