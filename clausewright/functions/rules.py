@@ -34,6 +34,20 @@ QUESTION_WORDS = (
     "之间", "其中", "以及", "或者", "还是", "是否应", "能否设",
 )
 
+#: Fixed lines of a report; names stand for values.
+REPORT = {
+    "question": ("❓ ", "question"),
+    "answer": ("💬 ", "answer"),
+    "degraded": ("⚠️ 已降级（策略 ", "strategy", "）：", "reasons"),
+    "kept": ("✅ 引用校验通过（覆盖率 ", "coverage", "）"),
+    "domain": ("🎯 域外判定：", "inside", "（top ", "top", "）"),
+    "hit": ("  [", "rank", "] ", "score", "  《", "name", "》", "standard", "  第 ", "number", " 条  ［", "status", "］"),
+    "tokens": ("（用量：", "tokens", "）"),
+}
+JOINED, SEE_ABOVE, DOMAIN = "；", "见上", ("域内", "域外")
+SOURCES_HEAD = "📎 检索来源（用于核对条文号，也是「引用」块的内容）："
+NO_SOURCES = "（检索 0 条 → 未调用大模型，直接拒答）"
+
 FULL, PARTIAL, REPEALED, NONE, UNKNOWN = "全文强制", "部分强条", "原强条已废止", "非强条", "UNKNOWN"
 FULL_STANDARDS = ("GB 55031-2022", "GB 55037-2022", "GB 55019-2021")
 #: (standard, status of the listed clauses, the clauses); other clauses of these standards have NONE.

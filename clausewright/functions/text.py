@@ -69,6 +69,11 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: x != "")
 
 
+def bare_numbers(text: Column) -> Column:
+    """Numbers of two levels or more as they stand in a text, in order, without what follows a hyphen."""
+    return _all(F.coalesce(text, F.lit("")), R.BARE, 1)
+
+
 def article_numbers(text: Column) -> Column:
     """The distinct clause keys that a text cites, sorted: labelled ones, bare ones of two levels or more (after standards, years and quantities are cut), and lettered appendices."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("．"), F.lit("."))
@@ -76,7 +81,7 @@ def article_numbers(text: Column) -> Column:
     cut = t
     for pattern in (R.STANDARD, R.YEAR, R.QUANTITY):
         cut = F.regexp_replace(cut, pattern, " ")
-    bare = F.filter(F.transform(_all(cut, R.BARE, 1), lambda a: article_key(a)), lambda k: F.contains(k, F.lit(".")))
+    bare = F.filter(F.transform(bare_numbers(cut), lambda a: article_key(a)), lambda k: F.contains(k, F.lit(".")))
     lettered = F.transform(_all(t, R.APPENDIX, 1), lambda a: F.concat(F.lit("附录"), F.upper(a)))
     return F.sort_array(F.array_distinct(F.filter(F.concat(labelled, bare, lettered), lambda k: k != "")))
 

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions import rules as R
 from ..functions.text import shortened, strip
 from ..operators.citations import verify
 from ..operators.policy import apply_policy, extracts, refused, relevance
 from ..operators.predicates import Where, with_default_kind
 from ..operators.search import top_k
 from ..sources.staging import shared_folder, staged
+from .generation import ChatError, generate, generate_stored
 
 #: What the generator is told.
 RULES = "\n".join(
@@ -31,15 +31,6 @@ RULES = "\n".join(
         "七、图示、设备型号等未覆盖的内容，说明未收录。",
     )
 )
-#: What to do about a status of the generator's server.
-HINTS = {400: "check the model's name and the messages", 401: "check the key and its region", 403: "check that the service is enabled for the key", 429: "wait, or check the balance", 500: "try again later", 503: "try again later"}
-
-
-class ChatError(RuntimeError):
-    """A failed call of a generator; `status` as of HTTP, where there is one."""
-
-    def __init__(self, message: str, status: int | None = None):
-        super().__init__(f"HTTP {status}: {HINTS.get(status, 'unknown status')}: {message}" if status else message)
 
 
 def validate(requests: DataFrame) -> DataFrame:
@@ -77,38 +68,14 @@ def encode(questions: DataFrame, encoder: Callable[[], Callable[[list[str]], lis
     return base.mapInArrow(run, StructType([*base.schema.fields, StructField("qvector", ArrayType(DoubleType()))]))
 
 
-def generate(prompts: DataFrame, chat: Callable[[str, str], str | tuple[str, int]], timeout: float = 90) -> DataFrame:
-    """(qid, answer, tokens, error) by an injected generator, called once for each row on the executors.
-
-    `chat` returns a text, or a text and the tokens it used. Where it raises ChatError, or takes longer than `timeout` seconds,
-    the answer is null and `error` says why.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for system, user in zip(frame["system"], frame["user"], strict=True):
-                pool = ThreadPoolExecutor(1)
-                try:
-                    got = pool.submit(chat, system, user).result(timeout)
-                    made.append((*got, None) if isinstance(got, tuple) else (got, None, None))
-                except ChatError as e:
-                    made.append((None, None, str(e)))
-                except TimeoutError:
-                    made.append((None, None, f"no answer within {timeout:g} seconds"))
-                finally:
-                    pool.shutdown(wait=False)
-            yield pd.DataFrame({"qid": frame["qid"], "answer": [m[0] for m in made], "tokens": pd.array([m[1] for m in made], "Int64"), "error": [m[2] for m in made]})
-
-    return prompts.mapInPandas(run, f"qid {dict(prompts.dtypes)['qid']}, answer string, tokens long, error string")
-
-
-def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str], str | tuple[str, int]] | None, k: int = 5, where: Where | None = None, min_score: float | None = None, min_run: int = 0, encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, timeout: float = 90) -> DataFrame:
+def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str], str | tuple[str, int]] | None, k: int = 5, where: Where | None = None, min_score: float | None = None, min_run: int = 0, encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, timeout: float = 90, answers_path: str | None = None, **calls) -> DataFrame:
     """(qid, final, strategy, degraded, refused, codes, reasons, sources, coverage, in_domain, tokens, error) for `questions` (qid, question, and qvector unless an encoder is given).
 
     Questions without hits or out of domain do not reach the generator; without a generator (`chat` None) no answer is made.
     Hits and answers are written to the shared folder before they are verified: the generator is called once for each question,
-    and what is verified is what is returned, also where an executor is lost. A call that fails leaves an empty answer.
+    and what is verified is what is returned, also where an executor is lost. A call that fails leaves an empty answer. With
+    `answers_path`, answers are kept there, and a batch that is asked again calls the generator only for what has none (see
+    generate_stored()); `calls` are the bounds of generate().
     """
     folder = shared_folder(chunks.sparkSession)
     if encoder is not None:
@@ -117,7 +84,12 @@ def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str]
     relevant = relevance(questions, hits, min_run)
     open_questions = questions.join(relevant.filter("in_domain").select("qid"), "qid", "left_semi")
     no_answer = (F.lit(None).cast("string").alias("answer"), F.lit(None).cast("long").alias("tokens"), F.lit(None).cast("string").alias("error"))
-    made = generate(messages(open_questions, render(hits)), chat, timeout) if chat else open_questions.select("qid", *no_answer)
+    if chat is None:
+        made = open_questions.select("qid", *no_answer)
+    elif answers_path is None:
+        made = generate(messages(open_questions, render(hits)), chat, timeout, **calls)
+    else:
+        made = generate_stored(messages(open_questions, render(hits)), chat, answers_path, timeout=timeout, **calls)
     made = staged(made, f"{folder}/answers")
     answers = questions.select("qid").join(made, "qid", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
     decided = apply_policy(verify(answers, hits), extracts(hits), relevant)
@@ -132,3 +104,26 @@ def shown(hits: DataFrame, most: int = 200) -> DataFrame:
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 相似度 "), F.format_string("%.4f", F.col("score").cast("double")), F.lit("\n    《"), named("standard_name", "?"), F.lit("》"), named("standard", "?"), F.lit("  第 "), named("article_no", "?"), F.lit(" 条  ［"), named("status", ""), F.lit("；"), named("force_status", ""), F.lit("］\n    "), shortened(F.replace(strip(named("text", "")), F.lit("\n"), F.lit(" ")), most, "…"))
     rows = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))
     return rows.select("qid", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+
+
+def report(decided: DataFrame, hits: DataFrame, most: int = 180) -> DataFrame:
+    """(qid, text): each result as a client shows it. `decided` has qid, question, final, strategy, degraded, reasons, coverage, and where known in_domain, top_score, used_model and tokens; hits without a model's answer are shown with their text, cut to `most` characters."""
+    has = lambda c, kind: F.col(c) if c in decided.columns else F.lit(None).cast(kind)
+    named = lambda c, missing: F.coalesce(F.col(c), F.lit(missing))
+    W = R.REPORT
+    say = lambda key, **parts: F.concat(*[F.lit(p) if i % 2 == 0 else parts[p] for i, p in enumerate(W[key])])
+    source = say("hit", rank=F.col("rank").cast("string"), score=F.format_string("%.4f", F.col("score").cast("double")), name=named("standard_name", "?"), standard=named("standard", "?"), number=named("article_no", "?"), status=named("status", ""))
+    passage = F.concat(F.lit("\n      "), F.substring(strip(named("text", "")), 1, most))
+    per = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", source.alias("line"), passage.alias("passage")))).alias("_sources"))
+    rows = decided.join(per, "qid", "left")
+    used = F.coalesce(has("used_model", "boolean"), F.lit(False))
+    lines = F.transform("_sources", lambda x: F.when(used, x["line"]).otherwise(F.concat(x["line"], x["passage"])))
+    none = F.lit(None).cast("string")
+    reasons = F.nullif(F.array_join("reasons", R.JOINED), F.lit(""))
+    verdict = F.when(F.col("degraded"), say("degraded", strategy=F.col("strategy"), reasons=F.coalesce(reasons, F.lit(R.SEE_ABOVE)))).when(F.col("strategy") == "keep", say("kept", coverage=F.col("coverage").cast("string")))
+    domain = F.when(has("in_domain", "boolean").isNotNull(), say("domain", inside=F.when(has("in_domain", "boolean"), R.DOMAIN[0]).otherwise(R.DOMAIN[1]), top=F.coalesce(has("top_score", "double").cast("string"), F.lit("?"))))
+    rule, line = F.lit("=" * 66), F.lit("-" * 66)
+    found = F.when(F.col("_sources").isNotNull(), F.concat(F.array(F.lit(""), line, F.lit(R.SOURCES_HEAD)), lines)).otherwise(F.array(F.lit(""), F.lit(R.NO_SOURCES)))
+    tokens = F.when(has("tokens", "long").isNotNull(), F.array(F.lit(""), say("tokens", tokens=has("tokens", "long").cast("string")))).otherwise(F.array(none))
+    whole = F.concat(F.array(rule, say("question", question=named("question", "")), rule, say("answer", answer=named("final", "")), F.lit(""), line, verdict, domain), found, tokens)
+    return rows.select("qid", F.array_join(F.filter(whole, lambda x: x.isNotNull()), "\n").alias("text"))

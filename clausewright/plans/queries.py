@@ -15,7 +15,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import catalog, citations, corpus, evaluation, policy, predicates, quality_gate, search
 from ..operators.inverted_file import InvertedFile
-from ..sources.chunks import dropped_sections, without_sections
+from ..sources.chunks import content_identity, dropped_sections, without_sections
 from ..sources.staging import shared_folder
 from . import ask
 
@@ -191,7 +191,7 @@ def section_filter(spark, d):
 
 @query("text_fingerprint", "SELECT doc_id, sha1(text) AS sha1 FROM documents")
 def text_fingerprint(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.sha1(F.encode("text", "utf-8")).alias("sha1"))
+    return _table(spark, d, "documents").select("doc_id", content_identity(F.encode("text", "utf-8")).alias("sha1"))
 
 
 @query("standard_normalize", "SELECT l_orderkey AS qid, 'GB ' || ((l_partkey + l_linenumber % 2) % 7 + 50003) || '-2019' AS standard, count(*) AS n FROM lineitem WHERE l_linenumber % 4 <> 0 GROUP BY ALL")
@@ -292,6 +292,18 @@ def recall_at_k(spark, d):
     return out.select("n", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
+_GOLD = """g AS (SELECT DISTINCT l_orderkey AS qid, (l_partkey + l_linenumber % 2) % 7 + 50003 AS std, l_partkey % 3 + 1 AS a, l_partkey % 2 AS b FROM lineitem WHERE l_linenumber <= 2)"""
+
+
+@query("gold_on_two_keys", f"WITH {_HITS}, {_GOLD}, q AS (SELECT DISTINCT qid FROM h), f AS (SELECT h.qid, min(h.rank) AS best_rank, max(h.score) AS gold_score FROM h JOIN g USING (qid, std, a, b) GROUP BY h.qid) SELECT qid, best_rank, gold_score FROM q LEFT JOIN f USING (qid)")
+def gold_on_two_keys(spark, d):
+    """Gold clauses by standard and number: one with the right number in another standard is none."""
+    k, ln = F.col("l_partkey"), F.col("l_linenumber")
+    gold = _table(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("qid"), _s("GB ", (k + ln % 2) % 7 + 50003, "-2019").alias("standard"), _s(k % 3 + 1, ".", k % 2).alias("article_no"))
+    found = hits(spark, d)
+    return evaluation.gold_ranks(found.select("qid").distinct(), found, gold, ["standard", "article_no"])
+
+
 @query("mrr", f"WITH {_RANKS} SELECT round(avg(coalesce(1.0 / best_rank, 0.0)), 9) AS mrr FROM r")
 def mrr(spark, d):
     return evaluation.mean_reciprocal_rank(_ranks(spark, d)[1]).select(F.round("mrr", 9).alias("mrr"))
@@ -393,10 +405,9 @@ def hit_projection(spark, d):
     return search.hit_projection(hits(spark, d)).select("qid", "rank", "article_no", "standard", "page", "chapter", "text", "score")
 
 
-@query("numeric_key_extract", "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([0-9]{1,2}(?:[.][0-9]{1,3}){1,3})', 1)) AS key FROM documents")
+@query("numeric_key_extract", r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([0-9]{1,2}(?:\s*[.．]\s*[0-9]{1,3}){1,3})(?:\s*-\s*[0-9]{1,2})?', 1)) AS key FROM documents")
 def numeric_key_extract(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"([0-9]{1,2}(?:[.][0-9]{1,3}){1,3})"), F.lit(1))
-    return _table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("key"))
+    return _table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.bare_numbers(F.col("text")))).alias("key"))
 
 
 _RUN_SQL = "SELECT p_partkey AS id, CAST(CASE WHEN greatest(p_partkey % 5, p_partkey % 4) >= 2 THEN greatest(p_partkey % 5, p_partkey % 4) ELSE 0 END AS INTEGER) AS run FROM part"
@@ -436,6 +447,28 @@ def clause_split(spark, d):
     return corpus.split_clauses(lines).withColumnRenamed("file", "doc_id")
 
 
+_PAGES_SQL = """WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    l AS (SELECT doc_id, len(parts) AS n, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS x FROM p),
+    m AS (SELECT doc_id, i, 0 AS half, '3.' || (i // 5 // 900 + 1) || '.' || (i // 5 % 900 + 1) AS num, CASE WHEN i % 5 = 0 THEN '3.' || (i // 5 // 900 + 1) || '.' || (i // 5 % 900 + 1) || ' ' ELSE '段' END || x || '。' AS t FROM l
+        UNION ALL SELECT doc_id, i, 1, '3.' || (i // 5 // 900 + 1) || '.' || (i // 5 % 900 + 1), CAST(i % 1000 AS VARCHAR) FROM l WHERE i % 3 = 0 AND i % 4 <> 3 AND i < n - 1)
+    SELECT doc_id, num AS article_no, string_agg(t, chr(10) ORDER BY i, half) AS text, CAST(min(i) // 4 + 1 AS INTEGER) AS page_start, CAST(max(i) // 4 + 1 AS INTEGER) AS page_end FROM m GROUP BY doc_id, num"""
+
+
+@query("page_footers", _PAGES_SQL)
+def page_footers(spark, d):
+    """A bare number behind every third line of a document, of which those that end a page are footers."""
+
+    def marked(x: Column, i: Column) -> Column:
+        group = F.floor(i / 5)
+        line = F.concat(F.when(i % 5 == 0, _s("3.", F.floor(group / 900) + 1, ".", group % 900 + 1, " ")).otherwise("段"), x, F.lit("。"))
+        page = F.when(i % 4 == 0, F.array(_s("<!-- page ", F.floor(i / 4) + 1, " -->"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(page, F.array(line), F.when(i % 3 == 0, F.array((i % 1000).cast("string"))).otherwise(F.array().cast("array<string>")))
+
+    body = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), marked))
+    lines = _table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(body).alias("line", "text"))
+    return corpus.split_clauses(lines).withColumnRenamed("file", "doc_id")
+
+
 _FORMS = """CASE p_partkey % 6 WHEN 0 THEN a || '.' || b || '.' || c WHEN 1 THEN a || '.' || b || '.' || c WHEN 4 THEN '附录' || chr(CAST(65 + p_partkey % 8 AS INTEGER)) WHEN 5 THEN a || '.' || b ELSE NULL END"""
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNKS = "id string, text string, standard string, standard_name string, version string, article_no string, chapter string, page_start int, page_end int, kind string, status string, force_status string"
@@ -26,9 +26,28 @@ def read_chunks(spark: SparkSession, path: str, seen: Observation | None = None)
     return without_sections(rows)
 
 
+def content_identity(content: Column) -> Column:
+    """SHA-1 of bytes (or of a text's UTF-8), in hexadecimal."""
+    return F.sha1(content)
+
+
+def positioned_chunks(spark: SparkSession, path: str, segment: int = 65_536) -> DataFrame:
+    """Rows of one file of JSON lines without blank lines and sections, with `pos`: their position among those rows, from 0, as the rows of a matrix are counted.
+
+    Kept rows are counted in segments of lines, whose sums are carried forward; no task holds more than a segment's positions.
+    """
+    lines = read_marked_text(spark, path).filter(F.trim("text") != "")
+    rows = lines.select(F.floor(F.col("line") / segment).alias("_segment"), F.col("line").alias("_line"), F.from_json("text", CHUNKS, {"mode": "FAILFAST"}).alias("c"))
+    rows = rows.filter(~F.col("c.kind").eqNullSafe("section"))
+    counts = rows.groupBy("_segment").agg(F.count(F.lit(1)).alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_segment").orderBy("_line")) - 1 + F.col("_first")
+    return rows.join(counts.select("_segment", first.alias("_first")), "_segment").select(place.cast("long").alias("pos"), "c.*")
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha1) of the bytes of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha1("content").alias("sha1"))
+    return spark.read.format("binaryFile").load(path).select("path", content_identity(F.col("content")).alias("sha1"))
 
 
 def read_marked_text(spark: SparkSession, path: str) -> DataFrame:

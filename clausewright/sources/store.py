@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import self_hits
@@ -109,7 +109,8 @@ class IndexStore:
         out = [] if n == want.count else [f"{n} rows, not {want.count}"]
         if n and (narrow, wide) != (want.dim, want.dim):
             out.append("dim differs")
-        if not out and n and self_hits(rows, min(max(1, sample), n, 10)).filter("not is_self").limit(1).count():
+        looked = min(max(1, sample), n, 10)
+        if not out and n and self_hits(rows, looked).filter("is_self").count() < looked:  # a vector without a score finds nothing
             out.append("a row does not find itself")
         return out
 
@@ -126,12 +127,14 @@ class IndexStore:
         """
         if problems := manifest_problems(given, want.sha1, want.model, want.count, want.dim):
             raise GateError("; ".join(problems))
-        if (n := rows.count()) != want.count:
-            raise GateError(f"{n} rows, not {want.count}")
         before = self.live()
-        version = f"{self.name}_v{time.time_ns()}"
-        writer = rows.write.format("parquet").mode("errorifexists")
+        version, seen = f"{self.name}_v{time.time_ns()}", Observation()
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))  # the rows are made once, and counted as they are written
+        writer = counted.write.format("parquet").mode("errorifexists")
         (writer.option("maxRecordsPerFile", max_records) if max_records else writer).saveAsTable(self._at(version))
+        if (n := seen.get["n"]) != want.count:
+            self.spark.sql(f"DROP TABLE {self._at(version)}")
+            raise GateError(f"{n} rows, not {want.count}")
         at("written")
         if problems := self.verify(self.spark.table(self._at(version)), want, sample):
             raise PublishError("; ".join(problems))
@@ -162,3 +165,17 @@ class IndexStore:
         for n in gone:
             self.spark.sql(f"DROP TABLE {self._at(n)}")
         return gone
+
+
+def row_payload(rows: DataFrame, clean: Callable[[str, Column], Column] | None = None, leave: tuple[str, ...] = ("id", "text", "embedding")) -> DataFrame:
+    """(id, text, meta): what a store keeps of a row beside its vector. `meta` has all columns but those in `leave`, each as `clean(name, column)` gives it; by default, missing texts become empty."""
+    kinds = dict(rows.dtypes)
+    plain = lambda name, column: F.coalesce(column, F.lit("")) if kinds[name] == "string" else column
+    meta = [(clean or plain)(c, F.col(f"`{c}`")).alias(c) for c in rows.columns if c not in leave]
+    return rows.select("id", "text", F.struct(*meta).alias("meta"))
+
+
+def store_by_question(df: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Hits or answers (qid, ...) as a table of the catalog, in `buckets` buckets by question. Tables of as many buckets are verified, extracted from and rendered without an exchange."""
+    df.repartition(buckets, "qid").write.format("parquet").bucketBy(buckets, "qid").sortBy("qid").mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)

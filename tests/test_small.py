@@ -1,9 +1,13 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from clausewright.config import Config
 from clausewright.functions import text as T
-from clausewright.operators import corpus, quality_gate, search
+from clausewright.functions.runs import greedy_longest
+from clausewright.operators import corpus, predicates, quality_gate, search
 from clausewright.plans import ask
 from clausewright.streaming.answers import verify_stream
 
@@ -14,9 +18,9 @@ def test_exit_code(spark):
 
 
 def test_text_helpers(spark):
-    rows = spark.createDataFrame([("sk-1234567890", "书库的净高如何规定", "甲" * 401), ("short", None, None)], "secret string, question string, long string")
+    rows = spark.createDataFrame([("sk-1234567890", "书库的净高如何规定", "甲" * 401), ("short", None, None), (None, None, None), ("", None, None), ("1234567890", None, None)], "secret string, question string, long string")
     got = rows.select(T.mask(F.col("secret")).alias("m"), T.question_segments(F.col("question")).alias("s"), T.shortened(F.col("long")).alias("x")).collect()
-    assert [r.m for r in got] == ["sk-1****7890", "****"]
+    assert [r.m for r in got] == ["sk-…7890（长度 13）", "sh***", "(未设置)", "(未设置)", "12********"]
     assert got[0].s == ["书库", "净高"] and got[1].s == []
     assert got[0].x == "甲" * 400 + "……" and got[1].x is None
 
@@ -53,3 +57,50 @@ def test_verify_stream(spark, tmp_path, pages):
     run.processAllAvailable()
     run.stop()
     assert {(r.qid, r.ok) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(i, i % 2 == 1) for i in range(4)}
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    """A run of a million spaces or digits, which patterns that start anew at each character would take hours for."""
+    n = 1_000_000
+    texts = {"spaces": "a" + " " * n + "b" + " " * n, "digits": "1" * n, "after": "T" + " " * n + "x", "levels": "1" + " " * n + "1.2", "marks": "附" + " " * n + "a", "wide": "\u3000" * n + "x\u3000"}
+    rows = spark.createDataFrame(list(texts.items()), "name string, text string").cache()
+    rows.count()
+    t = F.col("text")
+    began = time.monotonic()
+    found = {r.name: r for r in rows.select("name", T.strip(t).alias("s"), T.article_numbers(t).alias("a"), T.standards(t).alias("d"), T.article_key(t).alias("k"), F.size(T.sentences(t)).alias("n")).collect()}
+    assert time.monotonic() - began < 60
+    assert found["spaces"].s == "a" + " " * n + "b" and found["wide"].s == "x" and found["levels"].a == ["1.2"] and not found["digits"].a
+
+
+def test_predicates_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, label string").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    for where, ids, pushed in (({"label": {"$in": ["a", "c"]}}, {1}, "In(label, [a,c])"), ({"$and": [{"label": {"$in": ["a", "b"]}}, {"id": {"$ne": 1}}]}, {3}, "In(label, [a,b])"), ({"$or": [{"label": {"$in": ["b"]}}, {"id": 2}]}, {2, 3}, "")):
+        found = rows.filter(predicates.compile_where(where))
+        assert {r.id for r in found.collect()} == ids
+        assert pushed in found._jdf.queryExecution().executedPlan().toString()
+    assert rows.filter(predicates.compile_where({"label": {"$in": []}})).count() == 0
+
+
+def test_runs_of_question_and_texts(spark):
+    rng = random.Random(2)
+
+    def greedy(segments, texts):
+        best = 0
+        for s in segments:
+            at = 0
+            while at < len(s):
+                n = next((n for n in range(len(s) - at, 1, -1) if any(s[at : at + n] in t for t in texts)), 0)
+                best, at = max(best, n), at + max(n, 1)
+        return best
+
+    for _ in range(2000):
+        letters = "甲乙丙"[: rng.randint(1, 3)]
+        segments = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 3))]
+        texts = ["".join(rng.choice(letters + "x\n") for _ in range(rng.randint(0, 15))) for _ in range(rng.randint(0, 4))]
+        assert greedy_longest(segments, texts) == greedy(segments, texts)
+    long = "".join(rng.choice("甲乙丙丁") for _ in range(200_000))
+    began = time.monotonic()
+    assert greedy_longest([long[:20_000]], [long, "乙" * 100_000]) == 20_000 and time.monotonic() - began < 10
+    rows = spark.createDataFrame([("图书馆阅览室", ["阅览室面积", None]), (None, ["甲乙"]), ("甲乙", None), ("甲乙", []), ("甲乙x丙丁", ["甲乙丙丁"])], "q string, t array<string>")
+    assert [r.n for r in rows.select(T.longest_run(F.col("q"), F.col("t")).alias("n")).collect()] == [3, 0, 0, 0, 4]

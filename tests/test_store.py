@@ -2,11 +2,15 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
-from clausewright.sources.chunks import fingerprint, read_chunks, read_marked_text
+from clausewright.operators.citations import verify
+from clausewright.sources.chunks import fingerprint, positioned_chunks, read_chunks, read_marked_text
+from clausewright.sources.embedded import EmbeddingCache
 from clausewright.sources.matrix import ManifestError, cache_state, matrix_shape, read_manifest, read_matrix, with_vectors
 from clausewright.sources.npy import MatrixReader
-from clausewright.sources.store import GateError, IndexStore, Manifest, PublishError, manifest_problems, model_of
+from clausewright.sources.store import GateError, IndexStore, Manifest, PublishError, manifest_problems, model_of, row_payload, store_by_question
 
 
 def rows(spark, n, dim=4):
@@ -128,6 +132,73 @@ def test_matrix_beyond_two_gigabytes(spark, tmp_path):
     assert read_matrix(spark, str(tmp_path / "large.npy")).rdd.getNumPartitions() == len(parts)
 
 
+def test_rows_are_made_once_while_they_are_written(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    once = rows(spark, 6).mapInArrow(count, "id int, embedding array<double>")
+    store = IndexStore(spark, "clauses_once")
+    store.publish(once, Manifest("x", "m", 4, 6), given(6))
+    assert made.value == 6 and store.open().count() == 6
+    with pytest.raises(GateError, match="6 rows, not 5"):
+        IndexStore(spark, "clauses_none").publish(once, Manifest("x", "m", 4, 5), given(5))
+    assert not spark.sql("SHOW TABLES LIKE 'clauses_none*'").count()
+
+
+def test_counts_while_reading(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"id": "a", "kind": "section"}\n\n{"id": "b", "kind": "article"}\n{"id": "c"}\n{"id": "d", "kind": "section"}\n')
+    seen = Observation()
+    read_chunks(spark, str(tmp_path / "c.jsonl"), seen).write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"rows": 4, "dropped": 2}
+
+
+def test_positions_in_a_file(spark, tmp_path):
+    lines = ["" if i % 7 == 0 else json.dumps({"id": str(i), "kind": "section" if i % 5 == 0 else None}) for i in range(500)]
+    (tmp_path / "c.jsonl").write_text("\n".join(lines))
+    found = positioned_chunks(spark, str(tmp_path / "c.jsonl"), segment=16).orderBy("pos").collect()
+    assert [(r.pos, r.id) for r in found] == list(enumerate(str(i) for i in range(500) if i % 7 and i % 5))
+
+
+def test_payload(spark):
+    one = spark.createDataFrame([("a", "t", None, 3, [1.0])], "id string, text string, chapter string, page int, embedding array<double>")
+    assert row_payload(one).first().asDict(recursive=True) == {"id": "a", "text": "t", "meta": {"chapter": "", "page": 3}}
+    shown = row_payload(one, lambda name, column: F.concat(F.lit(f"{name}="), F.coalesce(column.cast("string"), F.lit("?"))))
+    assert shown.first().meta.asDict() == {"chapter": "chapter=?", "page": "page=3"}
+
+
+def test_only_new_texts_are_encoded(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def encoder():
+        return lambda texts: [(calls.add(1), [float(len(t)), 1.0])[1] for t in texts]
+
+    cache = EmbeddingCache(spark, "embedded")
+    clauses = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None), (4, "bb"), (5, "")], "id int, text string")
+    got = {r.id: r.embedding for r in cache.embed(clauses, encoder, "m").collect()}
+    assert got == {1: [1.0, 1.0], 2: [2.0, 1.0], 3: [0.0, 1.0], 4: [2.0, 1.0], 5: [0.0, 1.0]} and calls.value == 3
+    changed = clauses.filter("id <> 1").union(spark.createDataFrame([(1, "ccc")], "id int, text string"))
+    assert {r.id: r.embedding[0] for r in cache.embed(changed, encoder, "m").collect()}[1] == 3.0 and calls.value == 4
+    assert cache.embed(clauses, encoder, "m").count() == 5 and calls.value == 4
+    assert cache.embed(clauses, encoder, "other").count() == 5 and calls.value == 7
+    assert cache.embed(clauses.limit(0), encoder, "m").count() == 0 and calls.value == 7
+
+
+def test_stored_answers_are_verified_without_an_exchange(spark):
+    found = spark.createDataFrame([(q, r, f"GB 5000{r}-2019", "6.1.1", 0.5) for q in range(20) for r in (1, 2)], "qid int, rank int, standard string, article_no string, score double")
+    answers = spark.createDataFrame([(q, "【GB 50001-2019】第 6.1.1 条。" if q % 2 else "见第 9.9.9 条。") for q in range(20)], "qid int, answer string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = verify(store_by_question(answers, "kept_answers", 4), store_by_question(found, "kept_hits", 4))
+        assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert {(r.qid, r.ok) for r in kept.collect()} == {(r.qid, r.ok) for r in verify(answers, found).collect()} == {(q, q % 2 == 1) for q in range(20)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"id": "a", "kind": "section"}\n\n{"id": "b", "kind": "article"}\n{"id": "c"}\n')
     assert {r.id for r in read_chunks(spark, str(tmp_path / "c.jsonl")).collect()} == {"b", "c"}
