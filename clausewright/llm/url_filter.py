@@ -14,6 +14,7 @@ from .common import scratch, small, stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PATTERN = r"^.*?://([^/?#]*)([^?#]*)"
 _LABEL = "label"  # no token of a url, as those have a colon
+#: Tokens of a url up to which FP-growth mines; it would make 2**n combinations of n.
 LONGEST = 20
 
 
@@ -62,7 +63,8 @@ def mine_rules(labelled: DataFrame, verdict: str = "block", support: float = 0.0
     part already is a rule is pruned, as it matches nothing more. So tokens that are rules by themselves, and those too rare
     under `verdict` for any rule, are settled by counts. FP-growth mines the combinations of the others, in which tokens that
     occur in the very same urls stand as one, `same`, the least of them: what holds for one holds for all. `first` is the rarest
-    token of a rule, by which it is listed. A url of more than LONGEST such tokens would have 2**LONGEST combinations: ValueError.
+    token of a rule, by which it is listed. Where a url has more than LONGEST such tokens, the same rules are grown level by
+    level instead, which ends at each rule (see _grown()).
     """
     folder = scratch(labelled.sparkSession)
     rows = labelled.filter(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
@@ -84,7 +86,7 @@ def mine_rules(labelled: DataFrame, verdict: str = "block", support: float = 0.0
     if not given:
         return alone, same.select("token", "same")
     if longest > LONGEST:
-        raise ValueError(f"a url has {longest} tokens that are frequent and no rules by themselves; raise the support or give labels that tell more")
+        return alone.unionByName(_grown(items, small(same.filter("token = same").select("token", "n")), least, confidence, total, folder)), same.select("token", "same")
     mark = F.when(F.col("at") <= F.col("hits"), F.array_append("items", F.lit(_LABEL))).otherwise(F.col("items"))
     single = items.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(mark.alias("items"))
     grower = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / given, minConfidence=confidence, **({"numPartitions": parts} if parts else {}))
@@ -100,6 +102,35 @@ def mine_rules(labelled: DataFrame, verdict: str = "block", support: float = 0.0
     return alone.unionByName(rules.select(*alone.columns)), same.select("token", "same")
 
 
+def _grown(items: DataFrame, names: DataFrame, least: int, confidence: float, total: int, folder: str) -> DataFrame:
+    """The rules of mine_rules() on baskets `items` (items, n, hits) of any length: antecedents grow a token at a time.
+
+    Only sets with `least` hits can be part of a rule, and nothing that holds a rule is needed: a level is joined from sets of
+    the level below that are neither too rare nor rules, and so are all their parts. Each set is counted in the baskets that
+    hold its rarest token. Levels end where no set is left; there are as many sets as have `least` hits and no rule inside.
+    """
+    baskets = items.select(F.sort_array("items").alias("items"), "n", "hits")
+    pair = F.flatten(F.transform("items", lambda x: F.transform(F.filter("items", lambda y: y > x), lambda y: F.array(x, y))))
+    wider = baskets.filter("hits > 0").select("hits", F.explode(pair).alias("a")).groupBy("a").agg(F.sum("hits").alias("h")).filter(F.col("h") >= least).select("a")
+    found, size = None, 2
+    while True:
+        first = wider.select("a", F.explode("a").alias("token")).join(names, "token").groupBy("a").agg(F.min_by("token", F.struct("n", "token")).alias("first"))
+        met = baskets.select("items", "n", "hits", F.explode("items").alias("first")).join(first, "first").filter(F.size(F.array_except("a", "items")) == 0)
+        counted = stage(met.groupBy("a", "first").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).filter(F.col("hits") >= least), f"{folder}/level{size}")
+        rules = counted.filter(F.col("hits") / F.col("n") >= confidence)
+        rules = rules.select(F.col("a").alias("antecedent"), (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / F.lit(max(1, total))).alias("support"), "first")
+        found = rules if found is None else found.unionByName(rules)
+        level = counted.filter(F.col("hits") / F.col("n") < confidence).select("a")
+        if level.limit(2).count() < 2:
+            return found
+        one, two = (level.select(F.slice("a", 1, size - 1).alias("head"), F.element_at("a", -1).alias(c)) for c in ("x", "y"))
+        joined = one.join(two, "head").filter("x < y").select(F.concat("head", F.array("x", "y")).alias("a"))
+        size += 1
+        parts = joined.select("a", F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter("a", lambda x, j: j != i))).alias("part"))
+        whole = parts.join(level.withColumnRenamed("a", "part"), "part").groupBy("a").count()
+        wider = whole.filter(F.col("count") == size).select("a")  # all parts are open sets too
+
+
 def _matches(rows: DataFrame, rules: DataFrame, same: DataFrame) -> DataFrame:
     """Ids (`_row`) of the rows whose `tokens` hold all of some rule's. The index lists each rule under its rarest token."""
     single = small(rules.filter(F.size("antecedent") == 1).select(F.col("first").alias("token")).distinct())

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from clausewright.llm import pivot_search
+from clausewright.llm import pivot_search, url_filter
 from clausewright.llm.boosted_trees import fit
 from clausewright.llm.decontaminate import contaminated, decontaminate
 from clausewright.llm.mixture import mixture
@@ -390,7 +390,21 @@ def test_url_rules_and_mining(spark):
     assert judge_urls(frame.limit(0), URL_RULES).count() == 0
 
 
-def test_mined_rules_match_what_all_combinations_match(spark):
+@pytest.mark.parametrize("tokens", [22, 60])
+def test_urls_of_many_open_tokens(spark, tokens):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(tokens)]
+    labelled = [("http://x.net/" + "/".join(words), "block"), *((f"http://x.net/{w}", "allow") for w in words)]
+    urls = [f"http://x.net/{words[3]}", f"http://x.net/{words[3]}/{words[5]}", f"http://x.net/{words[0]}/other/{words[-1]}", "http://x.net/other", "http://x.net/" + "/".join(words)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.monotonic()
+    got = {r.page_id: r.verdict for r in judge_urls(frame, [], spark.createDataFrame(labelled, "url string, label string")).collect()}
+    assert got == {0: "allow", 1: "block", 2: "block", 3: "allow", 4: "block"}
+    assert time.monotonic() - began < 120
+
+
+@pytest.mark.parametrize("longest", [url_filter.LONGEST, 1])
+def test_mined_rules_match_what_all_combinations_match(spark, monkeypatch, longest):
+    monkeypatch.setattr(url_filter, "LONGEST", longest)  # by FP-growth, and grown level by level
     rng = random.Random(4)
     words = ["".join(rng.choice("klmnop") for _ in range(3)) + str(i) for i in range(8)]
     labelled = [("http://h/" + "/".join(rng.sample(words, rng.randint(1, 5))), rng.choice(["block", "block", "allow"])) for _ in range(60)]
