@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ BLOCK, SHARD_ITEMS, INDEX_BYTES = 16, 1024, 64 << 20
 K1, B = 1.2, 0.75
 NGRAM, LEAD = 5, 8
 _CUT = re.compile(r"(?:\n\s*(?:A|Answer)\s*[:.]|[.?!]\s)(?=\s*\S)")
+_BLANK = re.compile(r"\s\s++")
 _CUT_ALSO = r"[\p{Z}\p{P}\p{Cc}\p{Cf}]"
 #: Scripts written without spaces; each of their characters is a unit, and so is each symbol.
 _SCRIPTS = r"\p{Han}\p{Hiragana}\p{Katakana}\x{3000}-\x{30FF}\x{FF66}-\x{FF9F}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Javanese}\p{Balinese}\p{Tai_Le}\p{Tai_Tham}\p{New_Tai_Lue}"
@@ -46,7 +48,8 @@ def _words(text: str) -> np.ndarray:
 
 
 def question_answer(text: str) -> tuple[str, str]:
-    """An item's question and answer: at a line "Answer:", else before the last sentence, else in the middle of the words."""
+    """An item's question and answer: at a line "Answer:", else before the last sentence, else in the middle of the words. Of white space, only whether it has a line end counts."""
+    text = _BLANK.sub(lambda m: m[0][0] + ("\n" if "\n" in m[0][1:] else ""), text)
     cuts = list(_CUT.finditer(text.strip()))
     if cuts:
         at = next((m for m in cuts if "\n" in m[0] and ":" in m[0]), cuts[-1]).end()
@@ -292,12 +295,23 @@ def _contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, ove
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
-    out, indexes = None, []
-    for index in _indexes(items, min_words, scratch(spark)):
-        indexes.append(spark.sparkContext.broadcast(index))
-        found = source.mapInArrow(_searcher(indexes[-1], threshold, overlap), schema)
-        out = found if out is None else out.unionByName(found)
-    return out, indexes
+    folder = scratch(spark)
+    done: list[DataFrame] = []
+    now: tuple | None = None
+
+    def end() -> None:  # a pass is done, and its index gone, before the next begins
+        done.append(stage(now[0], f"{folder}/pass{len(done)}"))
+        now[1].destroy()
+
+    for index in _indexes(items, min_words, folder):
+        if now is not None:
+            end()
+        shared = spark.sparkContext.broadcast(index)
+        now = source.mapInArrow(_searcher(shared, threshold, overlap), schema), shared
+    if not done:
+        return now[0], [now[1]]
+    end()
+    return reduce(DataFrame.unionByName, done), []
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

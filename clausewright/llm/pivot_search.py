@@ -203,9 +203,12 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int
         first = spark.sparkContext.broadcast((number, qids, m, np.full(len(own), -np.inf), places, depths))
         probed = index.mapInArrow(_scorer(centres, most, dim, k, first, True), schema)
         kth = {r.q: float(r.score) for r in probed.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") == k).select("q", "score").collect()}
-        first.unpersist()
+        first.destroy()
         floors = np.array([kth.get(q, -np.inf) for q in number.tolist()])
         second = spark.sparkContext.broadcast((number, qids, m, floors, places, depths))
-        best = index.mapInArrow(_scorer(centres, most, dim, k, second, False), schema)
+        best = index.mapInArrow(_scorer(centres, most, dim, k, second, False), schema).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
+        if chunks > 1:  # a chunk is done, and its broadcast gone, before the next begins
+            best = stage(best, f"{folder}/found{chunk}")
+            second.destroy()
         found = best if found is None else found.unionByName(best)
-    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.select("query_id", "rank", "vec_id", "score")
