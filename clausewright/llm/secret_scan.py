@@ -27,7 +27,7 @@ _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(_CHARS), np.int64)
 _CODE[[ord(c) for c in _CHARS]] = np.arange(len(_CHARS))
 _N = len(_CHARS) + 1  # the last: any other, and the start
-SAMPLE_TEXTS, SAMPLE_WORDS = 2_000, 50_000
+SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_CHARS = 2_000, 50_000, 64
 LEAST_RUN, MARGIN = 12, 12.0
 
 
@@ -101,7 +101,7 @@ class RandomStrings:
 
 
 def ordinary_words(docs: DataFrame, texts: int = SAMPLE_TEXTS, words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Samples of the class of ordinary identifiers: distinct runs of 4 characters or more outside the fixed patterns, from about `texts` texts (all, if fewer; else those of the smallest hashes of id and text), `words` at most."""
+    """Samples of the class of ordinary identifiers: distinct runs of 4 characters or more outside the fixed patterns, from about `texts` texts (all, if fewer; else those of the smallest hashes of id and text), `words` at most, of each its first SAMPLE_CHARS characters."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
     total = rows.count()
     if total > texts:
@@ -113,7 +113,7 @@ def ordinary_words(docs: DataFrame, texts: int = SAMPLE_TEXTS, words: int = SAMP
             for text in batch.column(0).to_pylist():
                 at = 0
                 for s, _, e in [*base_spans(text), (len(text), 0, len(text))]:
-                    found.update(w for w in _RUN.findall(text[at:s]) if len(w) >= 4)
+                    found.update(w[:SAMPLE_CHARS] for w in _RUN.findall(text[at:s]) if len(w) >= 4)
                     at = max(at, e)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
 
@@ -124,7 +124,7 @@ def ordinary_words(docs: DataFrame, texts: int = SAMPLE_TEXTS, words: int = SAMP
 def find_secrets(docs: DataFrame, model: RandomStrings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start and kind, comma-joined; the models' kind is `random`).
 
-    Runs of at least `model.least` key characters, or the random stretches in them, are spans where they overlap no base span. Null and empty texts
+    Runs of at least `model.least` key characters, or the random stretches in them, outside base spans, are spans. Null and empty texts
     have no span. Null and repeated ids stay as they are; other columns take no part. Texts are scanned whole.
     """
 
@@ -134,7 +134,10 @@ def find_secrets(docs: DataFrame, model: RandomStrings, id_col: str = "doc_id",
             for value in batch.column(1):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                more = [r for r in model.scan(text) if not any(s < r[2] and r[0] < e for s, _, e in base)]
+                more, at = [], 0
+                for s, _, e in [*base, (len(text), 0, len(text))]:  # what lies between base spans
+                    more += [(first + at, kind, last + at) for first, kind, last in model.scan(text[at:s])]
+                    at = max(at, e)
                 for k in range(3):
                     out[k].append(sum(b[1] == k for b in base))
                 out[3].append(hashlib.sha256(joined(base).encode()).hexdigest())
