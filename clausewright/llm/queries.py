@@ -35,7 +35,7 @@ def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_output(table(spark, sf_dir, "documents"), tokenizer_path(), words=400_000, text_bytes=4 << 20)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, row_slices, scratch
 from .rans import decode_segment, encode_segment
-from .tokenize import TokenEncoder
+from .tokenize import CACHE_WORDS, TokenEncoder
 
 #: Ids that share one frequency table; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 21
@@ -28,7 +28,7 @@ NULL_ID = -(1 << 63)
 FILE_SCHEMA = "part int, segment int, start long, n_docs long, n_tokens long, data binary"
 
 
-def _tokenizer(path: str, end_id: int, bounds: list[int]):
+def _tokenizer(path: str, end_id: int, bounds: list[int], words: int, text_bytes: int):
     # An id that is several bounds is dealt over the parts behind the first of them, by the CRC-32 of its rows' ids.
     values, repeats = np.unique(np.array(bounds, np.int64), return_counts=True)
 
@@ -41,10 +41,10 @@ def _tokenizer(path: str, end_id: int, bounds: list[int]):
         return first + np.where(own > 1, 1 + (sums * own >> 32), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = TokenEncoder(path)
+        tokens = TokenEncoder(path, words)
         wide = np.dtype("<u2" if max(tokens.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
-            for row, n in row_slices(batch.column(1), TEXT_BYTES):
+            for row, n in row_slices(batch.column(1), text_bytes):
                 ids = batch.column(0).slice(row, n)
                 flat, sizes = tokens.encode(batch.column(1).slice(row, n))
                 ends = np.cumsum(sizes)
@@ -102,13 +102,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), pa.array(doc_ids, mask=nulls), pa.array(start + ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", words: int = CACHE_WORDS, text_bytes: int = TEXT_BYTES) -> None:
     """Writes the ids of every whole text, each text's followed by `end_id`, in ascending order of `id_col`.
 
     Null texts count as empty: they have the end id alone. Rows without an id come first; rows of one id, or of none, follow
     each other by the CRC-32 of their ids, then by the ids, and all are kept: an id with more rows than a part takes several
     parts. Other columns take no part. An empty table gives an empty folder that reads as no rows. A text of more than 2 GB of
-    ids fails. The tokenizer file is opened on the executors.
+    ids fails. The tokenizer file is opened on the executors. `words` that a task's cache holds and `text_bytes` that are
+    encoded at a time trade memory (about 150 bytes a word) for time, and change no id.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -116,7 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     placed = F.coalesce("doc_id", F.lit(NULL_ID))
     cut = source.select(F.percentile_approx(placed, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     bounds = sorted(cut or [])
-    tokens = source.mapInArrow(_tokenizer(tokenizer, end_id, bounds), "part int, doc_id long, width int, ids binary, sum long")
+    tokens = source.mapInArrow(_tokenizer(tokenizer, end_id, bounds, words, text_bytes), "part int, doc_id long, width int, ids binary, sum long")
     ordered = tokens.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "sum", "ids")
     ordered.select("part", "doc_id", "width", "ids").mapInArrow(_coder, FILE_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
@@ -130,8 +131,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, folder: str | None = None, **columns: str) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, folder: str | None = None, **how) -> DataFrame:
     """Writes `docs` and returns what the files hold; see write_tokens() and read_tokens()."""
     folder = folder or f"{scratch(docs.sparkSession)}/tokens"
-    write_tokens(docs, folder, tokenizer, **columns)
+    write_tokens(docs, folder, tokenizer, **how)
     return read_tokens(docs.sparkSession, folder)

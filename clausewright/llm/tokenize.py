@@ -104,7 +104,7 @@ class TokenEncoder:
 
     def _learn(self, words: list[str]) -> None:
         # One pre-token each, which ends where a token carries the end-of-word mark.
-        plain = [w for w in words if w.isalpha() and max(w) < "\u0250" and "\u0130" not in w] if self.lower else []
+        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)] if self.lower else []
         plain.sort(key=str.isascii)
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
