@@ -2,6 +2,8 @@
 
 #: What repeats is taken possessively, and runs of digits are entered at their first: time then goes with the length of a text.
 STANDARD = r"(?<![A-Za-z])(GBJ|GB|JGJ|CJJ|DB(?U:\d){2}|T)(?U:\s)*+(/(?:(?U:\s)*+T)?)?(?U:\s)*+((?U:\d){2,5})(?:(?U:\s)*[-—–](?U:\s)*((?U:\d){4}))?"
+#: What already has the one spelling of a standard, and of a number.
+NORMAL_STANDARD, NORMAL_NUMBER = r"^(GBJ|GB|JGJ|CJJ|DB[0-9]{2})(/T)? [0-9]{2,5}-[0-9]{4}\z", r"^[0-9]+([.][0-9]+)+\z"
 LABELLED = rf"(?U)(?:第\s*)?(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*[.．]\s*条)?\s*条|第\s*(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})"
 BARE = rf"(?U)(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*-\s*\d{{1,2}})?"
 APPENDIX = r"(?U)(?:附\s*[表录]\s*([A-Za-z])\b|附录\s*([一二三四五六七八九十]+))"

@@ -42,7 +42,8 @@ def normalize_standard(text: Column, known: Column | None = None) -> Column:
             full = F.coalesce(full, F.get(F.filter(known, lambda k: F.startswith(k, F.concat(head, F.lit("-")))), 0))
         return F.when(prefix.isin("", "T"), t).otherwise(F.coalesce(full, head))
 
-    return _let(clean, lambda t: _let(F.regexp_extract(t, R.STANDARD, 1), lambda prefix: spelled(t, prefix)))
+    plain = F.coalesce(text, F.lit("")).rlike(R.NORMAL_STANDARD)  # as most are: nothing to do
+    return F.when(plain, text).otherwise(_let(clean, lambda t: _let(F.regexp_extract(t, R.STANDARD, 1), lambda prefix: spelled(t, prefix))))
 
 
 def article_key(number: Column) -> Column:
@@ -62,7 +63,8 @@ def article_key(number: Column) -> Column:
         appendix = F.regexp_extract(t, r"(?U)^(?:附\s*[表录]|附录)\s*([A-Za-z]|[一二三四五六七八九十]+)", 1)
         return F.when(appendix != "", F.concat(F.lit("附录"), F.upper(appendix))).otherwise(_let(unwrapped(t), plain))
 
-    return _let(F.regexp_replace(strip(F.coalesce(number, F.lit(""))), "[．。]", "."), key)
+    whole = _let(F.regexp_replace(strip(F.coalesce(number, F.lit(""))), "[．。]", "."), key)
+    return F.when(F.coalesce(number, F.lit("")).rlike(R.NORMAL_NUMBER), number).otherwise(whole)  # as most are
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -77,12 +79,14 @@ def bare_numbers(text: Column) -> Column:
 def article_numbers(text: Column) -> Column:
     """The distinct clause keys that a text cites, sorted: labelled ones, bare ones of two levels or more (after standards, years and quantities are cut), and lettered appendices."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("．"), F.lit("."))
-    labelled = F.transform(F.concat(_all(t, R.LABELLED, 1), _all(t, R.LABELLED, 2)), lambda a: article_key(a))
-    cut = t
-    for pattern in (R.STANDARD, R.YEAR, R.QUANTITY):
-        cut = F.regexp_replace(cut, pattern, " ")
+    none = F.array().cast("array<string>")
+    where = lambda mark, found: F.when(F.contains(t, F.lit(mark)), found).otherwise(none)  # noqa: E731  spares most texts a pattern
+    labelled = F.transform(F.concat(where("条", _all(t, R.LABELLED, 1)), where("第", _all(t, R.LABELLED, 2))), lambda a: article_key(a))
+    cut = F.regexp_replace(t, R.STANDARD, " ")
+    cut = F.when(F.contains(t, F.lit("年")), F.regexp_replace(cut, R.YEAR, " ")).otherwise(cut)
+    cut = F.regexp_replace(cut, R.QUANTITY, " ")
     bare = F.filter(F.transform(bare_numbers(cut), lambda a: article_key(a)), lambda k: F.contains(k, F.lit(".")))
-    lettered = F.transform(_all(t, R.APPENDIX, 1), lambda a: F.concat(F.lit("附录"), F.upper(a)))
+    lettered = F.transform(where("附", _all(t, R.APPENDIX, 1)), lambda a: F.concat(F.lit("附录"), F.upper(a)))
     return F.sort_array(F.array_distinct(F.filter(F.concat(labelled, bare, lettered), lambda k: k != "")))
 
 
@@ -99,7 +103,8 @@ def sentences(text: Column) -> Column:
 
 def hit_keys(number: Column) -> Column:
     """The keys that a retrieved clause answers to: its own, and for a table that of its clause."""
-    return F.filter(F.array_distinct(F.array(article_key(number), article_key(F.get(F.split(number, "-"), 0)))), lambda k: k != "")
+    every = F.filter(F.array_distinct(F.array(article_key(number), article_key(F.get(F.split(number, "-"), 0)))), lambda k: k != "")
+    return F.when(F.coalesce(number, F.lit("")).rlike(R.NORMAL_NUMBER), F.array(number)).otherwise(every)
 
 
 def base_number(number: Column) -> Column:

@@ -17,6 +17,7 @@ from ..operators import catalog, citations, corpus, evaluation, policy, predicat
 from ..operators.inverted_file import InvertedFile
 from ..sources.chunks import content_identity, dropped_sections, without_sections
 from ..sources.staging import shared_folder
+from ..sources.store import row_payload as store_payload
 from . import ask
 
 STANDARDS = ("GB 55031-2022", "JGJ 38-2015", "GB 50352-2019", "GB 55037-2022", "GB 99999-2099")
@@ -512,3 +513,83 @@ def untraced_contexts(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "text")
     cut = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("。"))).otherwise(F.col("text"))
     return corpus.untraced(docs.select("doc_id", cut.alias("text")), docs).select("doc_id")
+
+
+@query("request_validation", "SELECT conv_id, turn, top_k, CAST(CASE WHEN length(q) < 1 OR length(q) > 500 OR coalesce(top_k, 0) < 0 OR coalesce(top_k, 0) > 20 THEN 422 WHEN trim(q, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 400 ELSE 200 END AS INTEGER) AS status, count(*) AS n FROM (SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN '  ' || chr(10) WHEN conv_id % 13 = 0 THEN '' ELSE coalesce(text, '') END AS q, CASE WHEN conv_id % 7 <> 6 THEN CAST(conv_id % 25 - 2 AS INTEGER) END AS top_k FROM conversations) GROUP BY ALL")
+def request_validation(spark, d):
+    """Every turn of a conversation as a request, of which some are blank or out of bounds."""
+    c = F.col("conv_id")
+    text = F.when(c % 11 == 0, "  \n").when(c % 13 == 0, "").otherwise(F.col("text"))
+    asked = _table(spark, d, "conversations").select("conv_id", "turn", text.alias("question"), F.when(c % 7 != 6, (c % 25 - 2).cast("int")).alias("top_k"))
+    return ask.validate(asked).groupBy("conv_id", "turn", "top_k", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hit_preview", f"WITH {_HITS}, t AS (SELECT *, rtrim(repeat('正文' || k || ' ', CAST(k % 60 AS INTEGER))) AS t FROM h) SELECT qid, string_agg('[' || rank || '] 相似度 ' || printf('%.4f', CAST(score AS DOUBLE)) || chr(10) || '    《规范》GB ' || std || '-2019  第 ' || a || '.' || b || ' 条  ［现行；非强条］' || chr(10) || '    ' || substr(t, 1, 200) || CASE WHEN length(t) > 200 THEN '…' ELSE '' END, chr(10) ORDER BY rank) AS text FROM t GROUP BY qid")
+def hit_preview(spark, d):
+    """Hits as lines for a terminal, long texts cut."""
+    long = F.repeat(_s("正文", F.col("k"), " "), (F.col("k") % 60).cast("int"))
+    return ask.shown(hits(spark, d).withColumn("text", long))
+
+
+@query("text_truncation", "SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '……' ELSE text END AS short FROM documents")
+def text_truncation(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.shortened(F.col("text")).alias("short"))
+
+
+@query("secret_mask", "SELECT doc_id, CASE WHEN secret IS NULL OR secret = '' THEN '(未设置)' WHEN length(secret) <= 10 THEN substr(secret, 1, 2) || repeat('*', greatest(length(secret) - 2, 0)) ELSE substr(secret, 1, 3) || '…' || right(secret, 4) || '（长度 ' || length(secret) || '）' END AS shown FROM (SELECT doc_id, CASE WHEN doc_id % 31 <> 0 THEN substr(text, 1, CAST(doc_id % 25 AS INTEGER)) END AS secret FROM documents)")
+def secret_mask(spark, d):
+    k = F.col("doc_id")
+    secret = F.when(k % 31 != 0, F.substring(F.col("text"), F.lit(1), (k % 25).cast("int")))
+    return _table(spark, d, "documents").select("doc_id", T.mask(secret).alias("shown"))
+
+
+@query("chat_messages", f"WITH {_HITS} SELECT qid, length(system) > 0 AS has_rules, user FROM (SELECT qid, 'x' AS system, '【检索片段】' || chr(10) || string_agg('【片段 ' || rank || '】【规范 GB ' || std || '-2019（2019）】条文号 ' || a || '.' || b || ' ［现行；非强条］' || chr(10) || '正文' || k, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '【用户问题】' || chr(10) || '问题' || qid AS user FROM h GROUP BY qid)")
+def chat_messages(spark, d):
+    found = hits(spark, d)
+    questions = found.select("qid").distinct().withColumn("question", _s("问题", F.col("qid")))
+    return ask.messages(questions, ask.render(found)).select("qid", (F.length("system") > 0).alias("has_rules"), "user")
+
+
+def _decided(spark, d) -> tuple[DataFrame, DataFrame]:
+    found = hits(spark, d)
+    decided = policy.apply_policy(citations.verify(answers(spark, d), found), policy.extracts(found))
+    return decided, found
+
+
+@query("decision_summary", f"WITH {_HITS}, {_CITES}, {_VERDICT} SELECT qid, ok, CAST(good AS INTEGER) AS n_cited, CAST(faults AS INTEGER) AS n_unverified, coverage, CASE WHEN ok THEN 'keep' ELSE 'extractive' END AS strategy, NOT ok AS degraded FROM v")
+def decision_summary(spark, d):
+    told = policy.summarize(_decided(spark, d)[0])
+    return told.select("qid", "ok", F.size("cited").alias("n_cited"), F.size("unverified").alias("n_unverified"), "coverage", "strategy", "degraded")
+
+
+_REPORT_SQL = f"""WITH {_HITS}, {_CITES}, {_VERDICT}, l AS (SELECT qid, count(*) AS n, string_agg('  [' || rank || '] ' || printf('%.4f', CAST(score AS DOUBLE)) || '  《规范》GB ' || std || '-2019  第 ' || a || '.' || b || ' 条  ［现行］' || CASE WHEN qid % 2 = 0 THEN '' ELSE chr(10) || '      正文' || k END, chr(10) ORDER BY rank) AS lines FROM h GROUP BY qid)
+    SELECT qid, repeat('=', 66) || chr(10) || '❓ 问题' || qid || chr(10) || repeat('=', 66) AS head, ok, CASE WHEN ok THEN '✅ 引用校验通过（覆盖率 1.0）' ELSE '⚠️ 已降级（策略 extractive）：' END AS verdict, repeat('-', 66) || chr(10) || '📎 检索来源（用于核对条文号，也是「引用」块的内容）：' || chr(10) || lines || CASE WHEN qid % 3 = 0 THEN '' ELSE chr(10) || chr(10) || '（用量：' || qid || '）' END AS sources FROM v JOIN l USING (qid)"""
+
+
+@query("result_report", _REPORT_SQL)
+def result_report(spark, d):
+    """Whole results as a client shows them, cut apart again: the head, the verdict up to its reasons, the sources."""
+    decided, found = _decided(spark, d)
+    q = F.col("qid")
+    asked = decided.withColumn("question", _s("问题", q)).withColumn("used_model", q % 2 == 0).withColumn("tokens", F.when(q % 3 != 0, q))
+    text = F.col("text")
+    told = ask.report(asked, found).join(decided.select("qid", "ok"), "qid")
+    rule = "\n" + "-" * 66 + "\n"
+    parts = F.split(text, rule)
+    head = F.substring_index(F.get(parts, 0), "\n💬 ", 1)
+    verdict = F.regexp_extract(F.element_at(parts, -2), "^(⚠️ 已降级（策略 [a-z]+）：|✅[^\\n]*)", 1)
+    return told.select("qid", head.alias("head"), "ok", verdict.alias("verdict"), F.concat(F.lit("-" * 66 + "\n"), F.element_at(parts, -1)).alias("sources"))
+
+
+@query("gate_exit_code", f"""WITH {_CHUNKS}, {_LISTED_SQL} SELECT CAST(CASE WHEN (SELECT count(*) FROM c WHERE kind = 'section' OR force_status <> rule_status OR trim(text) = '' OR (kind = 'article' AND length(trim(text)) < 10)) > 0
+    OR EXISTS (SELECT 1 FROM l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.standard = l.standard AND c.base = l.base)) THEN 1 ELSE 0 END AS INTEGER) AS exit_code""")
+def gate_exit_code(spark, d):
+    return quality_gate.exit_code(quality_gate.gate(chunks(spark, d)))
+
+
+@query("row_payload", f"WITH {_CHUNKS} SELECT id, text, standard AS standard, article_no AS article_no, CASE WHEN kind = 'table' THEN '' ELSE kind END AS kind, page_start FROM c")
+def row_payload(spark, d):
+    """What a store keeps of a clause, by a cleaner that empties missing kinds."""
+    rows = chunks(spark, d).withColumn("kind", F.when(F.col("kind") != "table", F.col("kind")))
+    kept = store_payload(rows, lambda name, column: F.coalesce(column, F.lit("")) if name == "kind" else column)
+    return kept.select("id", "text", "meta.standard", "meta.article_no", "meta.kind", "meta.page_start")
