@@ -84,6 +84,22 @@ def test_words_of_a_regular_pattern_do_not_meet(spark):
     assert all(r.kept and r.component_id == r.doc_id for r in near_duplicates(docs, words=3, percent=85).collect())
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    rng, rows, pairs = random.Random(5), [], []
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(5000)]
+    while len(pairs) < 400:
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 200))]
+        other = words[:]
+        for p in rng.sample(range(3, len(words) - 3), rng.randint(1, max(1, len(words) // 25))):
+            other[p] = rng.choice(vocabulary)
+        a, b = shingles(" ".join(words), 3), shingles(" ".join(other), 3)
+        if 0.85 <= len(a & b) / len(a | b) <= 0.9:
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            rows += [(pairs[-1][0], " ".join(words)), (pairs[-1][1], " ".join(other))]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= 399
+
+
 def test_word_hashes_are_of_the_bytes():
     rng = random.Random(4)
     texts = ["", " ", *["".join(rng.choice("abAB é中\t") for _ in range(rng.randint(0, 60))) for _ in range(300)], "x" * 511, "x" * 512, "x" * 513, "X" * 513]
