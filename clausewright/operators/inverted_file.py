@@ -31,7 +31,7 @@ CELLS, FIT_ROWS, MEASURED = 4096, 256, 400
 #: What is added to the wanted recall when it is measured, for the error of the sample.
 MARGIN = 0.02
 #: Questions times cells that the driver orders at a time.
-ORDERED = 1 << 24
+ORDERED = 1 << 22
 
 
 def _share(n: int, of: int, *columns: str):
@@ -39,6 +39,13 @@ def _share(n: int, of: int, *columns: str):
     return F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(min(2**63 - 1, n * 2**63 // max(1, of)))
 
 
+def _scored(rows: DataFrame, vector_col: str) -> DataFrame:
+    """Rows whose vector has a score: finite components, not all of them 0."""
+    x = F.col(vector_col)
+    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    return rows.filter(x.isNotNull() & finite & F.exists(x, lambda e: e != 0))
+
+
 def _to_cells(shared, vector_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
@@ -68,8 +75,7 @@ class InvertedFile:
         if "cell" in (c.lower() for c in rows.columns):
             raise ValueError("the rows have a column cell")
         spark, x = rows.sparkSession, F.col(vector_col)
-        finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-        scored = rows.filter(x.isNotNull() & finite & F.exists(x, lambda e: e != 0))
+        scored = _scored(rows, vector_col)
         per = scored.groupBy(F.size(vector_col).alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
         dim, n = (per["dim"], per["n"]) if per else (0, 0)
         scored = scored.filter(F.size(vector_col) == dim)
@@ -84,16 +90,33 @@ class InvertedFile:
             centres = np.zeros((0, dim))
         table = [(i, c.tolist()) for i, c in enumerate(centres)]
         spark.createDataFrame(table, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/cells")
-        schema = StructType([*rows.schema.fields, StructField("cell", IntegerType())])
-        placed = scored.mapInArrow(_to_cells(spark.sparkContext.broadcast(centres), vector_col), schema) if n else spark.createDataFrame([], schema)
-        placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")  # large cells over several tasks
-        spark.createDataFrame([(len(centres), dim, k, recall, rows.schema.json())], "probes int, dim int, k int, recall double, schema string").write.mode("overwrite").parquet(f"{path}/settings")
         out = InvertedFile(spark, path)
+        out._place(scored, centres, vector_col, "overwrite")
+        out._set(len(centres), dim, k, recall, rows.schema)
         if len(centres) > 1:
-            probes = out._measured(centres, n, recall, k, id_col, vector_col)
-            spark.createDataFrame([(probes, dim, k, recall, rows.schema.json())], "probes int, dim int, k int, recall double, schema string").write.mode("overwrite").parquet(f"{path}/settings")
+            out._set(out._measured(centres, n, recall, k, id_col, vector_col), dim, k, recall, rows.schema)
         return out
 
+    def add(self, rows: DataFrame, vector_col: str = "embedding") -> None:
+        """Appends rows of the same columns to the cells of their nearest centroids, which stay as they are. Vectors without a score, or of another length, go."""
+        if rows.schema.simpleString() != self.rows().drop("cell").schema.simpleString():
+            raise ValueError("the rows have other columns than the index")
+        centres = self.centres()
+        if not len(centres):
+            raise ValueError("the index was built without a vector")
+        self._place(_scored(rows, vector_col).filter(F.size(vector_col) == self.settings()["dim"]), centres, vector_col, "append")
+
+    def _place(self, scored: DataFrame, centres: np.ndarray, vector_col: str, mode: str) -> None:
+        schema = StructType([*scored.schema.fields, StructField("cell", IntegerType())])
+        shared = self.spark.sparkContext.broadcast(centres)
+        placed = scored.mapInArrow(_to_cells(shared, vector_col), schema) if len(centres) else self.spark.createDataFrame([], schema)
+        placed.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{self.path}/rows")  # large cells over several tasks
+        shared.destroy()
+
+    def _set(self, probes: int, dim: int, k: int, recall: float, schema: StructType) -> None:
+        one = self.spark.createDataFrame([(probes, dim, k, recall, schema.json())], "probes int, dim int, k int, recall double, schema string")
+        one.write.mode("overwrite").parquet(f"{self.path}/settings")
+
     def settings(self) -> dict:
         return self.spark.read.parquet(f"{self.path}/settings").first().asDict()
 

@@ -13,6 +13,7 @@ from ..functions import rules as R
 from ..functions.text import shortened, strip
 from ..operators.citations import verify
 from ..operators.policy import apply_policy, extracts, refused, relevance
+from ..operators.inverted_file import InvertedFile
 from ..operators.predicates import Where, with_default_kind
 from ..operators.search import top_k
 from ..sources.staging import shared_folder, staged
@@ -68,19 +69,25 @@ def encode(questions: DataFrame, encoder: Callable[[], Callable[[list[str]], lis
     return base.mapInArrow(run, StructType([*base.schema.fields, StructField("qvector", ArrayType(DoubleType()))]))
 
 
-def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str], str | tuple[str, int]] | None, k: int = 5, where: Where | None = None, min_score: float | None = None, min_run: int = 0, encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, timeout: float = 90, answers_path: str | None = None, **calls) -> DataFrame:
+def ask_batch(chunks: DataFrame, questions: DataFrame, chat: Callable[[str, str], str | tuple[str, int]] | None, k: int = 5, where: Where | None = None, min_score: float | None = None, min_run: int = 0, encoder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, timeout: float = 90, answers_path: str | None = None, index: InvertedFile | None = None, **calls) -> DataFrame:
     """(qid, final, strategy, degraded, refused, codes, reasons, sources, coverage, in_domain, tokens, error) for `questions` (qid, question, and qvector unless an encoder is given).
 
     Questions without hits or out of domain do not reach the generator; without a generator (`chat` None) no answer is made.
     Hits and answers are written to the shared folder before they are verified: the generator is called once for each question,
     and what is verified is what is returned, also where an executor is lost. A call that fails leaves an empty answer. With
+    `index`, an inverted file of the chunks, hits are approximate. With
     `answers_path`, answers are kept there, and a batch that is asked again calls the generator only for what has none (see
     generate_stored()); `calls` are the bounds of generate().
     """
     folder = shared_folder(chunks.sparkSession)
     if encoder is not None:
         questions = staged(encode(questions, encoder), f"{folder}/questions")
-    hits = staged(top_k(chunks, questions.select("qid", "qvector"), k, with_default_kind(where), min_score, carry_vectors=False), f"{folder}/hits")
+    wanted = questions.select("qid", "qvector")
+    if index is None:
+        found = top_k(chunks, wanted, k, with_default_kind(where), min_score, carry_vectors=False)
+    else:
+        found = index.search(wanted, f"{folder}/rounds", k, with_default_kind(where), min_score)
+    hits = staged(found, f"{folder}/hits")
     relevant = relevance(questions, hits, min_run)
     open_questions = questions.join(relevant.filter("in_domain").select("qid"), "qid", "left_semi")
     no_answer = (F.lit(None).cast("string").alias("answer"), F.lit(None).cast("long").alias("tokens"), F.lit(None).cast("string").alias("error"))

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clausewright.operators import inverted_file, search
 from clausewright.operators.inverted_file import InvertedFile
+from clausewright.plans import ask
 
 SCHEMA = "id long, embedding array<double>, label int"
 
@@ -56,6 +58,33 @@ def test_a_rare_predicate_looks_further(rows, index, tmp_path, monkeypatch):
     assert pairs(index.search(asked(rows), str(tmp_path / "b"), 10, where, probes=1)) == want
 
 
+def test_rows_are_added_to_their_cells(spark, rows, tmp_path):
+    grown = InvertedFile.build(rows.filter("id < 2000"), str(tmp_path / "grown"), cells=16)
+    grown.add(rows.filter("id >= 2000"))
+    assert grown.rows().count() == 3900
+    got, want = pairs(grown.search(asked(rows), str(tmp_path / "a"), 10, probes=16)), pairs(search.top_k(rows, asked(rows), 10))
+    assert got == want
+    with pytest.raises(ValueError, match="other columns"):
+        grown.add(rows.drop("label"))
+
+
+def test_answers_from_an_index(spark, tmp_path):
+    clauses = [(f"c{i}", f"正文{i}", "GB 50001-2019", f"6.1.{i + 1}", "article" if i % 2 else "table", [float(i % 4 == j) + 0.01 * i for j in range(4)]) for i in range(12)]
+    chunks = spark.createDataFrame(clauses, "id string, text string, standard string, article_no string, kind string, embedding array<double>")
+    for c in ("standard_name", "version", "status", "force_status"):
+        chunks = chunks.withColumn(c, F.lit("x"))
+    questions = spark.createDataFrame([(i, f"正文{i}", clauses[i][5]) for i in range(12)], "qid int, question string, qvector array<double>")
+    chat = lambda system, user: "【GB 50001-2019】第 " + user.split("条文号 ")[1].split(" ")[0] + " 条。"
+    exact = {r.qid: r for r in ask.ask_batch(chunks, questions, chat, k=2).collect()}
+    index = InvertedFile.build(chunks, str(tmp_path / "index"), cells=4)
+    found = {r.qid: r for r in ask.ask_batch(chunks, questions, chat, k=2, index=index, answers_path=str(tmp_path / "answers")).collect()}
+    assert {q: (r.strategy, r.final) for q, r in found.items()} == {q: (r.strategy, r.final) for q, r in exact.items()}
+    assert {r.strategy for r in found.values()} == {"keep"}
+    silent = lambda system, user: 1 / 0
+    again = ask.ask_batch(chunks, questions, silent, k=2, index=index, answers_path=str(tmp_path / "answers")).collect()  # all are answered
+    assert {r.qid: r.final for r in again} == {q: r.final for q, r in found.items()}
+
+
 def test_little(spark, rows, index, tmp_path):
     nothing = InvertedFile.build(rows.limit(0), str(tmp_path / "none"))
     assert nothing.search(asked(rows), str(tmp_path / "a")).count() == 0
