@@ -57,22 +57,23 @@ def split_clauses(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     A file may be larger than a task: its lines are scanned in segments of `segment` numbers. Each segment is summed up in one
     row (its last page, last opening, first line behind a mark, whether it opens clauses, where its last heading of
     explanations is); these rows are carried forward over the file, and each segment is then cut by itself. Only the lines of
-    one clause meet in one task.
+    one clause meet in one task. Lines of a null file are one file.
     """
-    local = Window.partitionBy("file", "segment").orderBy("line")
+    local = Window.partitionBy("of", "segment").orderBy("line")
     here = local.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.select("file", F.col("line").cast("long").alias("line"), strip(F.coalesce("text", F.lit(""))).alias("text")).withColumn("segment", F.floor(F.col("line") / segment))
+    rows = lines.select(F.struct("file").alias("of"), F.col("line").cast("long").alias("line"), strip(F.coalesce("text", F.lit(""))).alias("text")).withColumn("segment", F.floor(F.col("line") / segment))
     rows = rows.withColumn("mark", F.regexp_extract("text", r"^<!--\s*+page\s++(\d++)\s*+-->$", 1))
     rows = rows.withColumn("mark", F.when(F.col("mark") != "", F.col("mark").cast("int")))
     number = F.regexp_extract("text", r"^(\d{1,2}\.\d{1,3}\.\d{1,3})(?![.\d])", 1)
     title = F.col("text").rlike(r"^\d{1,2}(\.\d{1,3})?\s+\D")
     content = F.col("mark").isNull() & (F.col("text") != "")
+    rows = rows.withColumn("content", content)  # all that is read from a text stands below the windows: what sums up a segment has no texts to carry
     rows = rows.withColumn("number", F.when(content, number)).withColumn("opens", F.coalesce(F.col("number") != "", F.lit(False)))
     rows = rows.withColumn("cut", F.coalesce(content & (F.col("opens") | title), F.lit(False))).withColumn("heading", content & F.col("text").rlike(R.BACK_MATTER))
-    rows = rows.withColumn("page", F.last("mark", ignorenulls=True).over(here)).withColumn("content", content)
+    rows = rows.withColumn("page", F.last("mark", ignorenulls=True).over(here))
 
     first = F.min(F.when(F.col("content"), F.struct("line", F.col("page").alias("page"))))
-    state = rows.groupBy("file", "segment").agg(
+    state = rows.groupBy("of", "segment").agg(
         F.max(F.when(F.col("mark").isNotNull(), F.struct("line", "mark")))["mark"].alias("last_page"),
         F.max(F.when(F.col("cut"), F.struct("line", F.coalesce("number", F.lit("")).alias("number"))))["number"].alias("last_number"),
         F.sum(F.col("cut").cast("long")).alias("cuts"),
@@ -81,7 +82,7 @@ def split_clauses(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
         F.min(F.when(F.col("opens"), F.col("line"))).alias("first_opens"),
         F.max(F.when(F.col("heading"), F.col("line"))).alias("last_heading"),
     )
-    whole = Window.partitionBy("file").orderBy("segment")  # a row for each segment
+    whole = Window.partitionBy("of").orderBy("segment")  # a row for each segment
     before, behind = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
     state = state.withColumn("page_in", F.last("last_page", ignorenulls=True).over(before))
     state = state.withColumn("first_page", F.when(F.col("some"), F.struct(F.coalesce("first_page", "page_in").alias("page"))))
@@ -90,9 +91,9 @@ def split_clauses(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     state = state.withColumn("back_in", F.coalesce(F.max(ends).over(before), F.lit(False)))
     state = state.withColumn("number_in", F.last("last_number", ignorenulls=True).over(before)).withColumn("cuts_in", F.coalesce(F.sum("cuts").over(before), F.lit(0)))
     state = state.withColumn("next_page", F.first("first_page", ignorenulls=True).over(behind))
-    carried = state.select("file", "segment", "page_in", "opened_in", "back_in", "number_in", "cuts_in", "next_page")
+    carried = state.select("of", "segment", "page_in", "opened_in", "back_in", "number_in", "cuts_in", "next_page")
 
-    rows = rows.join(carried, ["file", "segment"]).filter("content and not back_in").withColumn("page", F.coalesce("page", "page_in"))
+    rows = rows.join(carried, ["of", "segment"]).filter("content and not back_in").withColumn("page", F.coalesce("page", "page_in"))
     opened = F.col("opened_in") | F.max("opens").over(here)
     rows = rows.withColumn("heading", F.col("heading") & opened).withColumn("back", F.max("heading").over(here))
     follows = F.coalesce(F.lead(F.struct("page")).over(local), F.col("next_page"))
@@ -101,5 +102,5 @@ def split_clauses(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
     rows = rows.withColumn("article_no", F.coalesce(F.last(F.when(F.col("cut"), F.coalesce("number", F.lit(""))), ignorenulls=True).over(here), "number_in"))
     rows = rows.filter("not back and not footer and article_no <> ''")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    out = rows.groupBy("file", "clause").agg(F.first("article_no").alias("article_no"), body.alias("text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-    return out.select("file", "article_no", "text", "page_start", "page_end")
+    out = rows.groupBy("of", "clause").agg(F.first("article_no").alias("article_no"), body.alias("text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    return out.select("of.file", "article_no", "text", "page_start", "page_end")

@@ -62,11 +62,12 @@ def made(rng):
 def test_segments_give_what_one_scan_gives(spark, segment):
     rng = random.Random(11)
     files = {f"f{i}": made(rng) for i in range(60)} | {"none": [], "blank": ["", " "]}
-    rows = [(f, i, t) for f, lines in files.items() for i, t in enumerate(lines)] + [("null", 0, None), ("null", 1, "1.1.1 a"), ("null", 2, None)]
+    rows = [(f, i, t) for f, lines in files.items() for i, t in enumerate(lines)] + [("null", 0, None), ("null", 1, "1.1.1 a"), ("null", 2, None), (None, 0, "1.1.1 a"), (None, 1, "b")]
     found = {}
     for r in corpus.split_clauses(spark.createDataFrame(rows, "file string, line int, text string"), segment).collect():
         found.setdefault(r.file, []).append((r.article_no, r.text, r.page_start, r.page_end))
     assert found.pop("null") == [("1.1.1", "1.1.1 a", None, None)]
+    assert found.pop(None) == [("1.1.1", "1.1.1 a\nb", None, None)]
     key = lambda c: tuple(str(x) for x in c)
     assert {f: sorted(c, key=key) for f, c in found.items()} == {f: sorted(c, key=key) for f, lines in files.items() if (c := scanned(lines))}
 
@@ -74,7 +75,7 @@ def test_segments_give_what_one_scan_gives(spark, segment):
 def test_no_window_over_a_whole_file(spark):
     lines = spark.createDataFrame([("f", i, "1.1.1 a") for i in range(9)], "file string, line int, text string")
     plan = corpus.split_clauses(lines, 4)._jdf.queryExecution().optimizedPlan().toString()
-    assert set(re.findall(r"\], \[file#\d+\], \[(\w+)#", plan)) == {"segment"}  # over a file: rows of segments, no lines
+    assert set(re.findall(r"\], \[of#\d+\], \[(\w+)#", plan)) == {"segment"}  # over a file: rows of segments, no lines
 
 
 def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
