@@ -33,6 +33,10 @@ def test_exit_codes(spark, tmp_path, capsys):
     assert main(["verify", "--name", "commanded", "--model", "m", "--json", "--chunks", str(tmp_path / "chunks.jsonl")], spark) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["ok"] is True
     assert main(["verify", "--name", "commanded", "--model", "other"], spark) == 1
+    assert main(["standards", "--name", "commanded", "--json"], spark) == 0
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (told["standards"], told["clauses"], told["rows"][0]["n"]) == (1, 5, 5)
+    assert main(["standards", "--name", "none"], spark) == 3
     live = store.live()["version"]
 
     def broken(step):
