@@ -19,7 +19,7 @@ from clausewright.llm.mixture import mixture
 from clausewright.llm.near_dedup import near_duplicates
 from clausewright.llm.pivot_search import pivot_top_k
 from clausewright.llm.quality import quality
-from clausewright.llm.queries import URL_RULES, tokenizer_path
+from clausewright.llm.queries import QUERIES, URL_RULES, tokenizer_path
 from clausewright.llm.rans import decode_segment, encode_segment
 from clausewright.llm.shingles import word_hashes
 from clausewright.llm.secret_scan import KINDS, RandomStrings, find_secrets, ordinary_words, random_strings
@@ -600,3 +600,16 @@ def test_searches_in_passes_hold_one_broadcast(spark, monkeypatch, size):
     assert {r[:3] for r in found} == {r[:3] for r in whole_found} and len(whole_found) >= 24
     if size == 1:
         assert len(held) > 10 and all(b._jbroadcast is None or not b._jbroadcast.isValid() for b in held)
+
+
+def test_held_out_quality(spark):
+    data = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    docs = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
+    rows = QUERIES["op3_quality_trees"](spark, data).collect()
+    assert len(rows) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert len(good) > 5 and len(bad) > 5
+    area = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert area > 0.98, area
