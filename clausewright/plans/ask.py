@@ -17,7 +17,7 @@ from ..operators.inverted_file import InvertedFile
 from ..operators.predicates import Where, with_default_kind
 from ..operators.search import top_k
 from ..sources.staging import shared_folder, staged
-from .generation import ChatError, generate, generate_stored
+from .generation import generate, generate_stored
 
 #: What the generator is told.
 RULES = "\n".join(
