@@ -17,7 +17,9 @@ from ..operators.inverted_file import InvertedFile
 from ..operators.predicates import Where, with_default_kind
 from ..operators.search import top_k
 from ..sources.staging import shared_folder, staged
-from .generation import generate, generate_stored
+from .generation import ChatError, generate, generate_stored
+
+__all__ = ["ChatError", "RULES", "ask_batch", "encode", "generate", "messages", "render", "report", "shown", "validate"]
 
 #: What the generator is told.
 RULES = "\n".join(
