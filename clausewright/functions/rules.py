@@ -1,12 +1,19 @@
 """Patterns, words and texts that the results depend on."""
 
+#: White space of Unicode, as (?U)\\s has it.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What repeats is taken possessively, and runs of digits are entered at their first: time then goes with the length of a text.
 STANDARD = r"(?<![A-Za-z])(GBJ|GB|JGJ|CJJ|DB(?U:\d){2}|T)(?U:\s)*+(/(?:(?U:\s)*+T)?)?(?U:\s)*+((?U:\d){2,5})(?:(?U:\s)*[-—–](?U:\s)*((?U:\d){4}))?"
+#: What has the one spelling of a standard but for its space.
+CLOSE_STANDARD = r"^(GBJ|GB|JGJ|CJJ|DB[0-9]{2})([0-9]{2,5}-[0-9]{4})\z"
 #: What already has the one spelling of a standard, and of a number.
 NORMAL_STANDARD, NORMAL_NUMBER = r"^(GBJ|GB|JGJ|CJJ|DB[0-9]{2})(/T)? [0-9]{2,5}-[0-9]{4}\z", r"^[0-9]+([.][0-9]+)+\z"
-LABELLED = rf"(?U)(?:第\s*)?(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*[.．]\s*条)?\s*条|第\s*(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})"
+_NUMBER = r"\d{1,2}(?:\s*[.．]\s*\d{1,3}){1,3}"
+#: A number behind 第, or before 条.
+LABELLED = rf"(?U)(?:第\s*|(?={_NUMBER}(?:\s*[.．]\s*条)?\s*条))({_NUMBER})"
 BARE = rf"(?U)(\d{{1,2}}(?:\s*[.．]\s*\d{{1,3}}){{1,3}})(?:\s*-\s*\d{{1,2}})?"
-APPENDIX = r"(?U)(?:附\s*[表录]\s*([A-Za-z])\b|附录\s*([一二三四五六七八九十]+))"
+#: A lettered appendix; the letter ends its word.
+LETTERED = r"(?U)附\s*[表录]\s*([A-Za-z])"
 YEAR = r"(?U)\d{4}\s*年"
 QUANTITY = r"(?U)(?<!\d)\d++(?:\.\d++)?\s*+(?:m|mm|cm|℃|%|kg|级|座|人|册|米|米²|米2)(?![.\d])"
 SENTENCE_END = r"[。；;\n]"

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from . import cited
 from . import rules as R
 from .runs import greedy_longest
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s++", ""), r"(?U)(?<!\s)\s++$", "")
+    return F.btrim(text, F.lit(R.WHITE_SPACE))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,8 +44,8 @@ def normalize_standard(text: Column, known: Column | None = None) -> Column:
             full = F.coalesce(full, F.get(F.filter(known, lambda k: F.startswith(k, F.concat(head, F.lit("-")))), 0))
         return F.when(prefix.isin("", "T"), t).otherwise(F.coalesce(full, head))
 
-    plain = F.coalesce(text, F.lit("")).rlike(R.NORMAL_STANDARD)  # as most are: nothing to do
-    return F.when(plain, text).otherwise(_let(clean, lambda t: _let(F.regexp_extract(t, R.STANDARD, 1), lambda prefix: spelled(t, prefix))))
+    given = F.coalesce(text, F.lit(""))  # most lack nothing, or the space
+    return F.when(given.rlike(R.NORMAL_STANDARD), text).when(given.rlike(R.CLOSE_STANDARD), F.regexp_replace(given, R.CLOSE_STANDARD, "$1 $2")).otherwise(_let(clean, lambda t: _let(F.regexp_extract(t, R.STANDARD, 1), lambda prefix: spelled(t, prefix))))
 
 
 def article_key(number: Column) -> Column:
@@ -76,24 +78,34 @@ def bare_numbers(text: Column) -> Column:
     return _all(F.coalesce(text, F.lit("")), R.BARE, 1)
 
 
-def article_numbers(text: Column) -> Column:
-    """The distinct clause keys that a text cites, sorted: labelled ones, bare ones of two levels or more (after standards, years and quantities are cut), and lettered appendices."""
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit("．"), F.lit("."))
-    none = F.array().cast("array<string>")
-    where = lambda mark, found: F.when(F.contains(t, F.lit(mark)), found).otherwise(none)  # noqa: E731  spares most texts a pattern
-    labelled = F.transform(F.concat(where("条", _all(t, R.LABELLED, 1)), where("第", _all(t, R.LABELLED, 2))), lambda a: article_key(a))
-    cut = F.regexp_replace(t, R.STANDARD, " ")
-    cut = F.when(F.contains(t, F.lit("年")), F.regexp_replace(cut, R.YEAR, " ")).otherwise(cut)
-    cut = F.regexp_replace(cut, R.QUANTITY, " ")
-    bare = F.filter(F.transform(bare_numbers(cut), lambda a: article_key(a)), lambda k: F.contains(k, F.lit(".")))
-    lettered = F.transform(where("附", _all(t, R.APPENDIX, 1)), lambda a: F.concat(F.lit("附录"), F.upper(a)))
-    return F.sort_array(F.array_distinct(F.filter(F.concat(labelled, bare, lettered), lambda k: k != "")))
-
-
-def standards(text: Column) -> Column:
-    """The distinct standards that a text names, normalized and sorted. Lower-case prefixes are not names."""
-    found = F.regexp_extract_all(plain_dashes(F.coalesce(text, F.lit(""))), F.lit(R.STANDARD), F.lit(0))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: normalize_standard(s))))
+@F.arrow_udf(ArrayType(StringType()))
+def article_numbers(text: pa.Array) -> pa.Array:
+    """The distinct clause keys that a text cites, sorted (see cited.article_numbers)."""
+    return pa.array([cited.article_numbers(t or "") for t in text.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def standards(text: pa.Array) -> pa.Array:
+    """The distinct standards that a text names, normalized and sorted (see cited.standards)."""
+    return pa.array([cited.standards(t or "") for t in text.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("sentence", IntegerType()), StructField("key", StringType()), StructField("named", ArrayType(StringType()))])))
+def citations(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """For each clause in each sentence of a text, in order: the sentence's place, the clause's key, the standards that the sentence names."""
+    reader = cited.Reader()
+    for batch in texts:
+        ends, places, keys, named = [0], [], [], []
+        for text in batch.to_pylist():
+            for i, sentence in enumerate(cited.sentences(text or "")):
+                own, standards_named = reader.read(sentence)
+                for key in own:
+                    places.append(i)
+                    keys.append(key)
+                    named.append(standards_named)
+            ends.append(len(keys))
+        rows = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(keys, pa.string()), pa.array(named, pa.list_(pa.string()))], ["sentence", "key", "named"])
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 def sentences(text: Column) -> Column:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from clausewright.functions import cited
 from clausewright.functions import text as T
 
 
@@ -33,3 +34,23 @@ def test_longest_run(spark):
     rows = [("书库的净高是多少", ["书库的净高不应小于2.40m。"], 2), ("甲乙丙丁", ["甲乙x", "乙丙丁"], 2), ("元宇宙", [], 0), (None, ["x"], 0)]
     found = spark.createDataFrame(rows, "q string, t array<string>, want int").select("want", T.longest_run(F.col("q"), F.col("t"))).collect()
     assert all(r[0] == r[1] for r in found)
+
+
+def test_sentences_that_come_again_are_read_once(monkeypatch):
+    read = []
+    numbers = cited.article_numbers
+    monkeypatch.setattr(cited, "article_numbers", lambda t: read.append(t) or numbers(t))
+    reader = cited.Reader(most=2)
+    texts = ["依据【GB50003—2019】第 1.0 条", "见附表 b", "没有"]
+    assert [reader.read(t) for t in texts + texts[2:]] == [(["1.0"], ["GB 50003-2019"]), (["附录B"], []), ([], []), ([], [])]
+    assert read == texts and len(reader.known) <= 2
+    assert cited.article_numbers("1.2.3.4.5条，净高 2.40m，附表 bx，第 ３.1 条") == ["1.2.3.4", "2.3.4.5", "３.1"]
+
+
+def test_white_space_is_that_of_unicode(spark):
+    """And is cut from the ends without a pattern, which took most of the time of hits as lines."""
+    points = [c for c in range(1, 0x3100)]
+    rows = spark.createDataFrame([(c, chr(c) + "a" + chr(c)) for c in points], "c int, t string")
+    got = rows.select("c", T.strip(F.col("t")).alias("s"), F.col("t").rlike(r"(?U)^\s").alias("space"))
+    assert all((r.s == "a") == r.space for r in got.collect())
+    assert "regexp" not in rows.select(T.strip(F.col("t")))._jdf.queryExecution().toString()
