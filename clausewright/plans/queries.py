@@ -6,6 +6,7 @@ renders and parses the text of citations; the SQL computes the same answer from
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,11 +52,20 @@ _CHUNKS = f"""c0 AS (SELECT p_partkey AS id, p_partkey % 9 + 1 AS a, p_partkey %
         CASE WHEN id % 13 = 0 THEN '非强条' ELSE {_FORCE} END AS force_status, CASE WHEN id % 29 = 0 THEN ' ' ELSE p_name END AS text FROM c0)"""
 
 
+#: Rows of `lineitem` in a task, so that a task's memory does not grow with the table.
+DEALT = 200_000
+
+
+def _dealt(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """`rows` dealt by question, once for all that follows: tables of as many rows meet by question where they are."""
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(rows.count() / DEALT)), "qid")
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each question and clause, ranked by score."""
     k = F.col("l_partkey")
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), k.alias("k"), (F.col("l_discount") * 10).alias("score"))
-    rows = rows.repartition("qid").groupBy("qid", "k").agg(F.max("score").alias("score"))  # dealt by question once, for all that follows
+    rows = _dealt(spark, rows).groupBy("qid", "k").agg(F.max("score").alias("score"))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "k")))
     k = F.col("k")
     return rows.select("qid", "k", "rank", "score", _s("GB ", k % 7 + 50003, "-2019").alias("standard"), F.lit("规范").alias("standard_name"), F.lit("2019").alias("version"), _s(k % 3 + 1, ".", k % 2).alias("article_no"), F.lit("article").alias("kind"), F.lit("现行").alias("status"), F.lit("非强条").alias("force_status"), _s("正文", k).alias("text"))
@@ -67,7 +77,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.when(ln % 4 == 0, "").otherwise(_s("【GB", (k + ln % 2) % 7 + 50003, "—2019】"))
     piece = _s("依据", named, "第 ", (k + ln % 3) % 3 + 1, ".", (k + ln % 3) % 2, " 条")
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.struct(ln.alias("ln"), k.alias("k"), piece.alias("piece")).alias("s"))
-    return rows.groupBy("qid").agg(F.sort_array(F.collect_list("s")).alias("s")).select("qid", F.array_join(F.transform("s", lambda x: x["piece"]), "。").alias("answer"))
+    return _dealt(spark, rows).groupBy("qid").agg(F.sort_array(F.collect_list("s")).alias("s")).select("qid", F.array_join(F.transform("s", lambda x: x["piece"]), "。").alias("answer"))
 
 
 _HITS = """h AS (SELECT qid, k, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, k) AS INTEGER) AS rank, k % 7 + 50003 AS std, k % 3 + 1 AS a, k % 2 AS b

@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from clausewright.plans import queries
 from clausewright.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -26,3 +27,12 @@ def test_same_rows_as_sql(spark, sql, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     assert got == sorted(str(tuple(dict(zip(names, r, strict=True))[c] for c in columns)) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", ["article_index_max", "hit_projection", "relevance_stats", "chat_messages"])
+def test_tasks_grow_with_the_rows(spark, monkeypatch, name):
+    """More rows make more tasks, also where Spark would join small ones, and no more memory of one."""
+    monkeypatch.setattr(queries, "DEALT", 100)
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in plan
