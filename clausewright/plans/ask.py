@@ -115,8 +115,8 @@ def shown(hits: DataFrame, most: int = 200) -> DataFrame:
     return rows.select("qid", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
 
 
-def report(decided: DataFrame, hits: DataFrame, most: int = 180) -> DataFrame:
-    """(qid, text): each result as a client shows it. `decided` has qid, question, final, strategy, degraded, reasons, coverage, and where known in_domain, top_score, used_model and tokens; hits without a model's answer are shown with their text, cut to `most` characters."""
+def report(decided: DataFrame, hits: DataFrame, most: int = 180, also: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, columns of `decided` in `also`, text): each result as a client shows it. `decided` has qid, question, final, strategy, degraded, reasons, coverage, and where known in_domain, top_score, used_model and tokens; hits without a model's answer are shown with their text, cut to `most` characters."""
     has = lambda c, kind: F.col(c) if c in decided.columns else F.lit(None).cast(kind)
     named = lambda c, missing: F.coalesce(F.col(c), F.lit(missing))
     W = R.REPORT
@@ -135,4 +135,4 @@ def report(decided: DataFrame, hits: DataFrame, most: int = 180) -> DataFrame:
     found = F.when(F.col("_sources").isNotNull(), F.concat(F.array(F.lit(""), line, F.lit(R.SOURCES_HEAD)), lines)).otherwise(F.array(F.lit(""), F.lit(R.NO_SOURCES)))
     tokens = F.when(has("tokens", "long").isNotNull(), F.array(F.lit(""), say("tokens", tokens=has("tokens", "long").cast("string")))).otherwise(F.array(none))
     whole = F.concat(F.array(rule, say("question", question=named("question", "")), rule, say("answer", answer=named("final", "")), F.lit(""), line, verdict, domain), found, tokens)
-    return rows.select("qid", F.array_join(F.filter(whole, lambda x: x.isNotNull()), "\n").alias("text"))
+    return rows.select("qid", *also, F.array_join(F.filter(whole, lambda x: x.isNotNull()), "\n").alias("text"))

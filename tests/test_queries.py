@@ -36,3 +36,8 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in plan
+
+
+def test_report_decides_once(spark):
+    plan = QUERIES["result_report"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
