@@ -46,21 +46,19 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:
 def threshold_curve(scores: DataFrame, folder: str) -> DataFrame:
     """`scores` (score, positive) to (threshold, negatives_over, positives_under, errors): for each distinct score as threshold, the negatives at or above it, the positives below it, and their sum.
 
-    Scores are dealt over ranges; each range's counts are carried to those above and below it (a row for each range), and the
-    running counts are made within each range. Null scores go; a null `positive` counts on neither side. `folder`: a new one
-    that all executors share, in which the ranges are fixed.
+    Scores are dealt over ranges; each range's counts are carried to those above it (a row for each range), and the running
+    counts are made within each range, all from below: Spark sums a frame that ends at the last row anew for each row, so the
+    negatives at or above a score are all but those below it. Null scores go; a null `positive` counts on neither side.
+    `folder`: a new one that all executors share, in which the ranges are fixed.
     """
     per = scores.filter("score is not null").groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
     per = staged(per.repartitionByRange("score").withColumn("range", F.spark_partition_id()), folder)
-    order = Window.orderBy("range")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = per.groupBy("range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))  # no more rows than partitions
-    p_below = F.coalesce(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n_above = F.coalesce(F.sum("n").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    carried = sums.select("range", p_below.alias("p_below"), n_above.alias("n_above"))
-    inside = Window.partitionBy("range").orderBy("score")
-    under = F.col("p_below") + F.coalesce(F.sum("p").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = F.col("n_above") + F.sum("n").over(inside.rowsBetween(0, Window.unboundedFollowing))
-    curve = per.join(F.broadcast(carried), "range").select(F.col("score").alias("threshold"), over.alias("negatives_over"), under.alias("positives_under"))
+    carried = sums.select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_below") for c in "pn"), F.sum("n").over(Window.partitionBy()).alias("negatives"))
+    below = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    p_under, n_under = (F.col(f"{c}_below") + F.coalesce(F.sum(c).over(below), F.lit(0)) for c in "pn")
+    curve = per.join(F.broadcast(carried), "range").select(F.col("score").alias("threshold"), (F.col("negatives") - n_under).alias("negatives_over"), p_under.alias("positives_under"))
     return curve.withColumn("errors", F.col("negatives_over") + F.col("positives_under"))
 
 
