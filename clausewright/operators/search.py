@@ -19,6 +19,10 @@ from .predicates import Where, compile_where
 
 #: Questions, and bytes of their vectors, that are broadcast against all rows at a time; larger batches run in blocks of about so many.
 QUESTIONS, QUESTION_BYTES = 10_000, 16 << 20
+#: A block of more questions than this makes the rows' products dearer than moving the rows: they are dealt over all cores first, about so many to a file at most.
+MANY, DEALT = 2_000, 100_000
+#: Pairs of row and question whose scores a task sums anew at a time (a question's of one batch are taken together).
+PAIRS = 32_768
 
 
 def top_k_single(rows: DataFrame, vector: list[float], k: int = 5, where: Where | None = None, min_score: float | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -64,35 +68,56 @@ def best_of_task(shared, k: int, others_only: bool, id_col: str, vector_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, unit, ids, by_cell = shared.value
-        kth = np.full(len(unit), -np.inf)
+        kth = np.full(len(unit), -2.0)  # below any cosine
+        of_id: dict = {}
+        for j, i in enumerate(ids if others_only else []):
+            if i is not None:
+                of_id.setdefault(i, []).append(j)
         for batch in batches:
             own, valid = _units(batch.column(batch.schema.get_field_index(vector_col)), unit.shape[1])
             row_ids = batch.column(batch.schema.get_field_index(id_col))
             order = np.argsort(pc.rank(row_ids, tiebreaker="first").to_numpy(), kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            same = np.array(row_ids.to_pylist(), object) if others_only else None
+            same: dict[int, list[int]] = {}  # the rows that are the question's own
+            for r, i in enumerate(row_ids.to_pylist() if of_id else []):
+                for j in of_id.get(i, ()):
+                    same.setdefault(j, []).append(r)
             chosen, of, scores = [], [], []
             for rows, wanted in _meetings(batch, by_cell, len(unit)):
                 rows = rows[valid[rows]]
+                if not len(rows):
+                    continue
+                mine, column = own[rows], np.full(batch.num_rows, -1)
+                column[rows] = np.arange(len(rows))
                 for first in range(0, len(wanted), 256):
                     who = wanted[first : first + 256]
-                    for j, line in zip(who.tolist(), unit[who] @ own[rows].T, strict=True):
-                        at = np.flatnonzero(line >= kth[j] - 1e-9)
-                        if same is not None and ids[j] is not None:
-                            at = at[same[rows[at]] != ids[j]]
-                        if len(at) > 4 * k:  # the k best and what ties with them
-                            least = np.partition(line[at], -k)[-k]
-                            at = at[line[at] >= least - 1e-9]
+                    lines = unit[who] @ mine.T
+                    for i, j in enumerate(who.tolist() if same else []):
+                        if j in same:
+                            at = column[same[j]]
+                            lines[i, at[at >= 0]] = -np.inf
+                    least = kth[who]
+                    if len(rows) > 4 * k and len(fresh := np.flatnonzero(least < -1.5)):  # the k best and what ties with them
+                        least[fresh] = np.maximum(least[fresh], np.partition(lines[fresh], -k, axis=1)[:, -k])
+                    fits = np.flatnonzero(lines >= (least - 1e-9)[:, None])
+                    ends = np.searchsorted(fits, np.arange(len(who) + 1) * len(rows))
+                    start = 0
+                    while start < len(who):  # about PAIRS at a time
+                        end = max(start + 1, int(np.searchsorted(ends, ends[start] + PAIRS, "right")) - 1)
+                        i, at = np.divmod(fits[ends[start] : ends[end]], len(rows))
+                        start = end
                         if not len(at):
                             continue
-                        fits = rows[at]
-                        exact = (own[fits] * unit[j]).sum(axis=1)  # in one order of summing for all rows, so equal rows tie
-                        top = np.lexsort((place[fits], -exact))[:k]
-                        if len(top) == k:
-                            kth[j] = max(kth[j], exact[top[-1]])
-                        chosen.append(fits[top])
-                        of.append(np.full(len(top), j))
+                        exact = (mine[at] * unit[who[i]]).sum(axis=1)  # in one order of summing for all rows, so equal rows tie
+                        best = np.lexsort((place[rows[at]], -exact, i))
+                        begins = np.searchsorted(i, i)  # i is sorted, so where each pair's question begins
+                        nth = np.arange(len(i)) - begins
+                        top = best[nth < k]
+                        full = best[nth == k - 1]
+                        kth[who[i[full]]] = np.maximum(kth[who[i[full]]], exact[full])
+                        chosen.append(rows[at[top]])
+                        of.append(who[i[top]])
                         scores.append(exact[top])
             if chosen:
                 found = batch.select(columns).take(pa.array(np.concatenate(chosen)))
@@ -128,7 +153,8 @@ def top_k(rows: DataFrame, questions: DataFrame, k: int = 5, where: Where | None
 
     The questions are a stated set: they are broadcast in blocks of about QUESTION_BYTES and QUESTIONS, by a hash of qid, so a
     question is whole in one block. Each task keeps the k best of its rows by matrix products, and one exchange by question
-    ranks what the tasks found. A block is done, and its broadcast gone, before the next one begins. Vectors that are null or
+    ranks what the tasks found. A block is done, and its broadcast gone, before the next one begins. Where questions are MANY,
+    the rows are dealt over files of the shared folder once: a table may come in one row group, which one task reads. Vectors that are null or
     zero, hold a null or non-finite component, or have another length than the longest question's, take no part. `others_only`:
     a row is no hit of the question of its own id. Without `carry_vectors` the vectors of hits and questions stay behind, which
     spares the exchange most of its bytes.
@@ -139,8 +165,12 @@ def top_k(rows: DataFrame, questions: DataFrame, k: int = 5, where: Where | None
     of_question = [f for f in questions.schema.fields if carry_vectors or f.name != qvector_col]
     schema = StructType([*kept.select(*columns).schema.fields, *of_question, StructField("score", DoubleType())])
     passes, last = [], None
-    folder = None
+    folder, dealt = None, False
     for asked, unit, ids in question_blocks(questions, qid_col, qvector_col, QUESTIONS, carry_vectors):
+        if len(unit) > MANY and not dealt:
+            folder, dealt = folder or shared_folder(spark), True
+            files = max(2 * spark.sparkContext.defaultParallelism, math.ceil(kept.count() / DEALT))
+            kept = staged(kept.repartition(files), f"{folder}/rows")
         if last is not None:
             folder = folder or shared_folder(spark)
             passes.append(staged(last[0], f"{folder}/pass{len(passes)}"))
