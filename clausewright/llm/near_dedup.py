@@ -12,6 +12,7 @@ bucket is then verified pair by pair across components, so a bucket of n near co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ TABLES = 8
 LARGE, RARE = 32, 8
 #: A set of shingles with more keys than this meets a document once for each key that they share, and the pair is made unique behind that.
 SET_KEYS = 256
+#: Shingles of large buckets that a task counts, about.
+COUNTED = 1 << 18
 
 
 def _signer(words: int, tables: int):
@@ -102,8 +105,10 @@ def _large_bucket_pairs(nodes: DataFrame, sets: DataFrame, percent: int, folder:
     Hence each document meets the heads of the sets in its buckets, if the sizes allow a link. A null n (an id that repeats with
     other texts) is a set of its own and excludes nothing.
     """
-    own = sets.join(nodes.select("id"), "id", "left_semi").select("id", "shingles").mapInArrow(_counted, "s long, n int, ids array<long>")
-    own = stage(own, f"{folder}/large_shingles")
+    own = sets.join(nodes.select("id"), "id", "left_semi").select("id", "shingles")
+    # Each task makes a row of a common shingle, so tasks are as many as the shingles ask for and not as the tables were dealt.
+    tasks = math.ceil((nodes.agg(F.sum("n")).first()[0] or 0) / COUNTED)
+    own = stage(own.repartition(max(1, tasks)).mapInArrow(_counted, "s long, n int, ids array<long>"), f"{folder}/large_shingles")
     per = own.groupBy("s").agg(F.sum("n").alias("docs"), F.min(F.get("ids", F.lit(0))).alias("id")).filter(F.col("docs") <= RARE)
     per = stage(per, f"{folder}/rare")
     listed = stage(own.join(per.filter("docs > 1").select("s"), "s").select("s", F.explode("ids").alias("id")), f"{folder}/listed")
