@@ -40,12 +40,17 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Marks a side of a join on equal keys, which then is not broadcast. Spark knows a table by the size of its files: arrays and ids that repeat, and rows made of arrays, can take a hundred times that in the driver."""
+    return df.hint("merge")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks `df` for broadcast if it is counted to have no more than `rows` rows and BROADCAST_BYTES; else leaves the join to Spark."""
+    """Marks `df` for broadcast if it is counted to have no more than `rows` rows and BROADCAST_BYTES; else the join shuffles."""
     text = [F.octet_length(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
     size = sum(text, F.lit(8 * len(df.columns))).cast("long")
     n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else shuffled(df)
 
 
 def share_of_hashes(*columns: str, share: float) -> Column:

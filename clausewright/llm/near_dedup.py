@@ -8,6 +8,8 @@ Size of the work: documents of one and the same shingle set are one node from th
 some B_j also occur in another node are given keys (16 rows a node tell that, where all keys would be 64), and of those only
 keys of agreeing groups. A node carries its keys as one array, so joins by id have one row a node. In each bucket, all are first verified against its smallest id; what stays unconnected within a
 bucket is then verified pair by pair across components, so a bucket of n near copies costs about n pairs, and no link is lost.
+Near copies share keys and shingles, so tables of them are small as files and large as rows: such sides of joins are marked to
+be shuffled, and what the driver broadcasts has been counted before.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, mix64, scratch, small, stage, text_slices
+from .common import give_back, mix64, scratch, shuffled, small, stage, text_slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -93,7 +95,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("s"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    return pairs.join(left, "u").join(right, "v").filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("u", "v")
+    return pairs.join(shuffled(left), "u").join(shuffled(right), "v").filter(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("u", "v")
 
 
 def _large_bucket_pairs(nodes: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
@@ -105,17 +107,17 @@ def _large_bucket_pairs(nodes: DataFrame, sets: DataFrame, percent: int, folder:
     Hence each document meets the heads of the sets in its buckets, if the sizes allow a link. A null n (an id that repeats with
     other texts) is a set of its own and excludes nothing.
     """
-    own = sets.join(nodes.select("id"), "id", "left_semi").select("id", "shingles")
+    own = sets.join(small(nodes.select("id")), "id", "left_semi").select("id", "shingles")
     # Each task makes a row of a common shingle, so tasks are as many as the shingles ask for and not as the tables were dealt.
     tasks = math.ceil((nodes.agg(F.sum("n")).first()[0] or 0) / COUNTED)
     own = stage(own.repartition(max(1, tasks)).mapInArrow(_counted, "s long, n int, ids array<long>"), f"{folder}/large_shingles")
     per = own.groupBy("s").agg(F.sum("n").alias("docs"), F.min(F.get("ids", F.lit(0))).alias("id")).filter(F.col("docs") <= RARE)
     per = stage(per, f"{folder}/rare")
-    listed = stage(own.join(per.filter("docs > 1").select("s"), "s").select("s", F.explode("ids").alias("id")), f"{folder}/listed")
+    listed = stage(own.join(shuffled(per.filter("docs > 1").select("s")), "s").select("s", F.explode("ids").alias("id")), f"{folder}/listed")
     digest = [F.bit_xor(F.xxhash64("s", F.lit(i))).alias(f"rare{i}") for i in (1, 2)]
     rare = per.filter("docs = 1").select("id", "s").unionByName(listed.select("id", "s")).groupBy("id").agg(F.count(F.lit(1)).alias("rare"), *digest)
     others = F.concat_ws(":", *(F.col(f"all{i}").bitwiseXOR(F.coalesce(f"rare{i}", F.lit(0))).cast("string") for i in (1, 2)))  # a digest of the shingles that are not rare
-    bounds = nodes.join(rare, "id", "left").withColumn("set", F.when(F.col("n").isNull(), F.concat(F.lit("="), F.col("id").cast("string"))).otherwise(others))
+    bounds = nodes.join(shuffled(rare), "id", "left").withColumn("set", F.when(F.col("n").isNull(), F.concat(F.lit("="), F.col("id").cast("string"))).otherwise(others))
     nodes = bounds.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare", "rare1", "rare2", "all1", "all2")
     nodes = stage(nodes, f"{folder}/bounds")
 
@@ -129,13 +131,13 @@ def _large_bucket_pairs(nodes: DataFrame, sets: DataFrame, percent: int, folder:
     heads = stage(heads.select("set", F.col("h.id").alias("v"), F.col("h.n").alias("n_v"), F.col("h.component").alias("component_v"), F.col("h.common").alias("common_v")), f"{folder}/heads")
     listed_heads = stage(wide.select("set", F.explode("keys").alias("key")).distinct(), f"{folder}/set_keys")
     few = listed_heads.groupBy("set").count().filter(F.col("count") <= SET_KEYS).select("set")
-    keys = listed_heads.join(few, "set").groupBy("set").agg(F.collect_list("key").alias("keys_v"))
-    listed_heads = listed_heads.join(heads.join(keys, "set", "left"), "set").drop("set")
+    keys = listed_heads.join(shuffled(few), "set").groupBy("set").agg(F.collect_list("key").alias("keys_v"))
+    listed_heads = listed_heads.join(shuffled(heads.join(shuffled(keys), "set", "left")), "set").drop("set")
     asking = wide.select(F.explode("keys").alias("key"), F.col("id").alias("u"), *(F.col(c).alias(f"{c}_u") for c in ("n", "component", "common", "keys")))
     once_each = F.coalesce(F.array_min(F.array_intersect("keys_u", "keys_v")) == F.col("key"), F.lit(True))  # they meet in many buckets
-    without = asking.join(listed_heads, "key").filter(crosses & (~bounded | could(F.lit(0))) & once_each).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    met = listed.select("s", F.col("id").alias("u")).join(listed.select("s", F.col("id").alias("v")), "s").filter("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
-    with_rare = met.join(side("u"), "u").join(side("v"), "v").filter(crosses & (~bounded | could(F.col("shared")))).select("u", "v")
+    without = asking.join(shuffled(listed_heads), "key").filter(crosses & (~bounded | could(F.lit(0))) & once_each).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    met = listed.select("s", F.col("id").alias("u")).join(shuffled(listed.select("s", F.col("id").alias("v"))), "s").filter("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
+    with_rare = met.join(shuffled(side("u")), "u").join(shuffled(side("v")), "v").filter(crosses & (~bounded | could(F.col("shared")))).select("u", "v")
     return without.distinct().unionByName(with_rare).distinct()
 
 
@@ -165,15 +167,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tables:
     single = classes.select("id", F.posexplode("groups").alias("g", "x")).select("id", "g", F.xxhash64("g", "x").alias("key"))
     shared = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     half = (1 << tables) - 1
-    agreeing = single.join(shared, "key", "left_semi").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, g)")).alias("mask")).filter(((F.col("mask").bitwiseAND(half)) > 0) & (F.col("mask") > half))
+    agreeing = single.join(shuffled(shared), "key", "left_semi").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, g)")).alias("mask")).filter(((F.col("mask").bitwiseAND(half)) > 0) & (F.col("mask") > half))
     # A row for each node, with its keys as an array; rows of single keys are made only to meet by key.
     pairs = F.filter(F.sequence(F.lit(0), F.lit(tables * tables - 1)), lambda t: F.col("mask").bitwiseAND(_bit(t, tables)) == _bit(t, tables))
     keys = F.transform(pairs, lambda t: F.xxhash64(t, F.get("groups", (t / tables).cast("int")), F.get("groups", tables + t % tables)))
-    nodes = stage(classes.join(agreeing, "id").select("id", keys.alias("keys")), f"{folder}/nodes")
+    nodes = stage(classes.join(shuffled(agreeing), "id").select("id", keys.alias("keys")), f"{folder}/nodes")
     single = nodes.select("id", F.explode("keys").alias("key"))
     heads = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lo")
     met = F.collect_set(F.struct("key", "lo")).alias("met")
-    buckets = stage(single.join(heads, "key").groupBy("id").agg(met), f"{folder}/buckets")
+    buckets = stage(single.join(shuffled(heads), "key").groupBy("id").agg(met), f"{folder}/buckets")
 
     lows = F.explode(F.array_distinct(F.transform("met", lambda m: m["lo"]))).alias("v")
     linked = stage(buckets.select(F.col("id").alias("u"), lows).filter("u <> v").distinct(), f"{folder}/first_pairs")
@@ -183,23 +185,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, tables:
 
     # What is still unconnected within a bucket: every pair across components, once.
     named = components(edges, f"{folder}/first")
-    member = stage(buckets.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.transform("met", lambda m: m["key"]).alias("keys")), f"{folder}/member")
+    member = stage(buckets.join(shuffled(named), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.transform("met", lambda m: m["key"]).alias("keys")), f"{folder}/member")
     single = member.select("id", "component", F.explode("keys").alias("key"))
     split = single.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), (F.count(F.lit(1)) > LARGE).alias("large")).filter("a < b").select("key", "large")
-    member = stage(single.join(split, "key"), f"{folder}/open")
+    member = stage(single.join(shuffled(split), "key"), f"{folder}/open")
     crosses = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv"))
     left, right = (member.filter("not large").select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-    few = left.join(right, "key").filter(crosses).select("u", "v").distinct()
-    large = member.filter("large").groupBy("id").agg(F.first("component").alias("component"), F.collect_set("key").alias("keys"))
+    few = left.join(shuffled(right), "key").filter(crosses).select("u", "v").distinct()
+    large = stage(member.filter("large").groupBy("id").agg(F.first("component").alias("component"), F.collect_set("key").alias("keys")), f"{folder}/in_large")
     every = [_set_digest(i).alias(f"all{i}") for i in (1, 2)]
-    once = sets.join(large.select("id"), "id", "left_semi").select("id", F.size("shingles").alias("n"), *every)
+    once = sets.join(small(large.select("id")), "id", "left_semi").select("id", F.size("shingles").alias("n"), *every)
     once = once.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("n")).alias("n"), F.first("all1").alias("all1"), F.first("all2").alias("all2"))  # an id that repeats with other texts gets no bound
-    large = stage(large.join(once, "id"), f"{folder}/large")
-    rest = few.unionByName(_large_bucket_pairs(large, sets, percent, folder)).distinct().join(linked, ["u", "v"], "left_anti")
+    large = stage(large.join(shuffled(once), "id"), f"{folder}/large")
+    rest = few.unionByName(_large_bucket_pairs(large, sets, percent, folder)).distinct().join(shuffled(linked), ["u", "v"], "left_anti")
     more = stage(_verified(stage(rest, f"{folder}/second_pairs"), sets, percent), f"{folder}/edges2")
     final = components(edges.unionByName(more), f"{folder}/second")
 
-    member = classes.join(final, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
-    out = signed.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(member, "cls", "left")
+    member = classes.join(shuffled(final), "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
+    out = signed.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("cls")).alias("cls")).join(shuffled(member), "cls", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
